@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import byte_bpe, mixing, near_dedup, quality
+from cairnbook.llm import byte_bpe, mixing, near_dedup, pii, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_minhash_dedup": near_dedup.op4_minhash_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op8_pii_boosting": pii.op8_pii_boosting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
