@@ -348,8 +348,11 @@ def render(root: Node) -> str:
                 lines = _aligned(tables.pop())
                 flow.block(True)
                 for line in lines:
-                    flow.literal(line)
-                    flow.end_line()
+                    if line:
+                        flow.literal(line)
+                        flow.end_line()
+                    else:
+                        flow.gap += 1
                 flow.block(True)
             elif tag in BLOCK and tag != "tr":
                 if tag == "pre":
@@ -409,10 +412,7 @@ def render(root: Node) -> str:
                 elif tag in ("dd", "blockquote"):
                     flow.marker = ""
                     flow.indent.append("  ")
-            if child.children:
-                stack.append((child, 0))
-            else:
-                stack.append((child, 0))
+            stack.append((child, 0))
     return "\n".join(flows[0].finish()).strip("\n")
 
 

@@ -29,6 +29,8 @@ SEED = 20240229
 CELL = 512
 #: Longest remaining budget (words) that the dynamic programme covers, in lengths of the source's longest text.
 SPAN = 3
+#: A budget of so many words at most is left to the dynamic programme as a whole.
+EXACT_WORDS = 1 << 17
 
 
 def text_size() -> Column:
@@ -70,6 +72,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, span: int
     if budget >= have:
         return counts.copy()
     longest = int(lengths.max())
+    if budget + longest <= EXACT_WORDS:
+        span = EXACT_WORDS // longest
     share = max(0.0, budget - span * longest) / have
     take = np.minimum(counts, np.floor(counts * share).astype(np.int64))
     rest = budget - int((take * lengths).sum())
