@@ -40,7 +40,7 @@ def export_completeness(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 
 def loud_scan(listing: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, n: how many listed paths each expected pattern (a regular expression) meets; zero is a finding."""
-    met = patterns.select("pattern").distinct().join(listing.select("path"), F.col("path").rlike(F.col("pattern")), "left")
+    met = patterns.select("pattern").distinct().join(listing.select("path"), F.expr("path rlike pattern"), "left")
     return met.groupBy("pattern").agg(F.count("path").alias("n"))
 
 
