@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
+from cairnbook.functions.lineage import fixed
 
 NATURAL_KEY = ["source_id", "account_id", "native_id"]
 
@@ -40,7 +41,7 @@ def ingest_outcomes(items: DataFrame, current: DataFrame, keys: list[str] | None
 def allocate_ids(keys: DataFrame, order_by: str, high_water: int, parts: int = 64) -> DataFrame:
     """keys with object_id KB-%08d, dense from high_water + 1 in the order of a column. Ranges are numbered apart and
     offset by their counts, so no task sorts everything."""
-    ranged = keys.repartitionByRange(parts, order_by).withColumn("_part", F.spark_partition_id())
+    ranged = fixed(keys.repartitionByRange(parts, order_by).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order_by))

@@ -498,21 +498,21 @@ def _(s, d):
     return search.bm25(docs, search.query_terms(_queries(s, d)), 100).select("query_id", "object_id", "score")
 
 
-@query("R03_expansion_terms")
+@query("R03_expansion_terms", sql.EXPANSION_TERMS)
 def _(s, d):
     docs = objects(s, d)
     terms = search.query_terms(_queries(s, d))
     return search.expansion_terms(docs, search.bm25(docs, terms, 100), terms)
 
 
-@query("R05_match_entities")
+@query("R05_match_entities", sql.ENTITIES_OF)
 def _(s, d):
     entities = read(s, d, "part").select(tx.object_id(F.col("p_partkey")).alias("object_id"), F.col("p_name").alias("title"))
     asked = read(s, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return search.match_entities(asked, entities)
 
 
-@query("R07_hybrid_rank")
+@query("R07_hybrid_rank", sql.HYBRID)
 def _(s, d):
     o = objects(s, d).withColumn("modified_at", F.lit(None).cast("timestamp"))
     sources = o.select(F.col("source_id").alias("object_id"), F.col("source_id").alias("title")).distinct()
@@ -536,7 +536,7 @@ def _(s, d):
     return _chain(s, d).select("object_id", F.array_join("breaks", ";").alias("breaks"))
 
 
-@query("Q02_cite")
+@query("Q02_cite", sql.CITE)
 def _(s, d):
     e = objects(s, d).select(F.col("object_id").alias("source_object"), tx.object_id(F.floor(F.col("doc_id") / 2) + 1).alias("target_object"), F.lit("DERIVED_FROM").alias("relationship_type"))
     return provenance.cite(_chain(s, d), e.filter("source_object <> target_object"))

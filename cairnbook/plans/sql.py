@@ -47,12 +47,49 @@ URL = rf"""p0 AS (
 REGISTRABLE = f"CASE WHEN len(string_split(domain, '.')) <= 2 THEN domain WHEN string_split(domain, '.')[-2] IN ({_quoted(SECOND_LEVELS)}) AND length(string_split(domain, '.')[-1]) = 2 THEN array_to_string(string_split(domain, '.')[-3:], '.') ELSE array_to_string(string_split(domain, '.')[-2:], '.') END"
 VISIT = f"{URL}, visit AS (SELECT event_id, ts, event_type, normalized_url, domain FROM events JOIN u ON user_id = page_id WHERE normalized_url IS NOT NULL)"
 
-BM25 = f"""WITH dt AS (SELECT doc_id, {toks('text')} AS ws FROM documents), {TOKENS},
+_INDEX = f"""dt AS (SELECT doc_id, {toks('text')} AS ws FROM documents), {TOKENS},
 q AS (SELECT DISTINCT item_id AS query_id, t AS term FROM (SELECT item_id, unnest({toks('text')}) AS t FROM benchmark) WHERE t NOT IN ({STOPS})),
-l AS (SELECT doc_id, len(ws) AS len FROM dt), tot AS (SELECT count(*) AS n, avg(len) AS a FROM l),
-p AS (SELECT t AS term, doc_id, count(*) AS tf FROM tok WHERE t IN (SELECT term FROM q) GROUP BY 1, 2),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-s AS (SELECT query_id, p.doc_id AS object_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score
-  FROM q JOIN p ON q.term = p.term JOIN f ON f.term = p.term JOIN l ON l.doc_id = p.doc_id, tot GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS k FROM s)
-SELECT query_id, object_id, score FROM r WHERE k <= 100"""
+l AS (SELECT doc_id, len(ws) AS len FROM dt), tot AS (SELECT count(*) AS n, avg(len) AS a FROM l)"""
+
+
+def _bm25(terms: str, x: str) -> str:
+    """CTEs that rank all documents for a table of (query_id, term); the ranking is r<x>."""
+    return f"""p{x} AS (SELECT t AS term, doc_id, count(*) AS tf FROM tok WHERE t IN (SELECT term FROM {terms}) GROUP BY 1, 2),
+f{x} AS (SELECT term, count(*) AS df FROM p{x} GROUP BY 1),
+s{x} AS (SELECT query_id, p{x}.doc_id AS object_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score
+  FROM {terms} z JOIN p{x} ON z.term = p{x}.term JOIN f{x} ON f{x}.term = p{x}.term JOIN l ON l.doc_id = p{x}.doc_id, tot GROUP BY 1, 2),
+r{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS k FROM s{x})"""
+
+
+def identifier(t: str) -> str:
+    return f"(regexp_matches({t}, '^[0-9]+$') OR regexp_matches({t}, '^[0-9a-f]{{8,}}$') OR length({t}) > 20 OR (length({t}) >= 12 AND regexp_matches({t}, '[0-9]')) OR length(regexp_replace({t}, '[^0-9]', '', 'g')) > 0.3 * length({t}))"
+
+
+BM25 = f"WITH {_INDEX}, {_bm25('q', '1')} SELECT query_id, object_id, score FROM r1 WHERE k <= 100"
+_EXPANSION = f"""h AS (SELECT query_id, object_id AS doc_id FROM r1 WHERE k <= 8),
+hw AS (SELECT DISTINCT query_id, doc_id, term FROM (SELECT h.query_id, h.doc_id, unnest({toks('substr(text, 1, 4000)')}) AS term FROM h JOIN documents USING (doc_id))),
+hc AS (SELECT query_id, term, count(*) AS c FROM hw WHERE length(term) > 2 AND term NOT IN ({STOPS}) AND NOT {identifier('term')} GROUP BY 1, 2 HAVING count(*) >= 2),
+hd AS (SELECT t AS term, count(DISTINCT doc_id) AS df FROM tok WHERE t IN (SELECT term FROM hc) GROUP BY 1),
+hs AS (SELECT hc.query_id, hc.term, round(c * ln(n / df), 6) AS weight FROM hc JOIN hd ON hc.term = hd.term, tot WHERE df <= n * 0.25 AND NOT EXISTS (SELECT 1 FROM q WHERE q.query_id = hc.query_id AND q.term = hc.term)),
+more AS (SELECT query_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term DESC) AS k FROM hs) WHERE k <= 6)"""
+EXPANSION_TERMS = f"WITH {_INDEX}, {_bm25('q', '1')}, {_EXPANSION} SELECT query_id, term, weight FROM more"
+HYBRID = f"""WITH {OBJ}, {_INDEX}, {_bm25('q', '1')}, {_EXPANSION}, {_bm25('more', '2')},
+n1 AS (SELECT query_id, object_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM r1 WHERE k <= 100),
+n2 AS (SELECT query_id, object_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM r2 WHERE k <= 100),
+e AS (SELECT DISTINCT query_id, o.source_id FROM q JOIN obj o ON q.term = o.source_id WHERE length(q.term) >= 4),
+g0 AS (SELECT query_id, doc_id AS object_id, row_number() OVER (PARTITION BY query_id ORDER BY object_id) AS k FROM e JOIN obj USING (source_id)),
+n3 AS (SELECT query_id, object_id, 1.0 AS v FROM g0 WHERE k <= 100),
+m AS (SELECT query_id, object_id, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM (SELECT query_id, object_id, v AS a, 0.0 AS b, 0.0 AS c FROM n1 UNION ALL SELECT query_id, object_id, 0.0, v, 0.0 FROM n2 UNION ALL SELECT query_id, object_id, 0.0, 0.0, v FROM n3) GROUP BY 1, 2),
+w AS (SELECT query_id, o.object_id, round(CAST(a AS DOUBLE), 4) AS c_lexical, round(0.35 * CAST(b AS DOUBLE), 4) AS c_expansion, round(0.5 * CAST(c AS DOUBLE), 4) AS c_graph,
+  round(0.6 * CAST(CASE authority {AUTHORITY} ELSE 0.3 END AS DOUBLE), 4) AS c_authority, CAST(0.0 AS DOUBLE) AS c_recency FROM m JOIN obj o ON o.doc_id = m.object_id),
+t AS (SELECT *, round(c_lexical + c_expansion + c_graph + c_authority + c_recency, 4) AS score FROM w)
+SELECT query_id, object_id, c_lexical, c_expansion, c_graph, c_authority, c_recency, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS rank FROM t) WHERE rank <= 20"""
+CITE = f"""WITH {OBJ}, b AS (SELECT DISTINCT content_hash FROM obj WHERE doc_id % 19 <> 0),
+c AS (SELECT doc_id, object_id, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND b.content_hash IS NOT NULL AS ok FROM obj LEFT JOIN b ON obj.content_hash = b.content_hash)
+SELECT c.object_id, CASE WHEN c.ok THEN 'COMPLETE' WHEN p.ok THEN 'COMPLETE_VIA_PARENTS' ELSE 'INCOMPLETE' END AS status, CAST(CASE WHEN p.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS parents
+FROM c LEFT JOIN c p ON p.doc_id = c.doc_id // 2 AND p.doc_id <> c.doc_id"""
+ENTITIES_OF = f"""WITH e AS (SELECT printf('KB-%08d', p_partkey) AS object_id, p_name AS title FROM part),
+w AS (SELECT DISTINCT object_id, title, t FROM (SELECT object_id, title, unnest({toks('title')}) AS t FROM e)),
+q AS (SELECT DISTINCT query_id, t FROM (SELECT p_partkey AS query_id, unnest({toks('p_name')}) AS t FROM part WHERE p_size = 1) WHERE length(t) >= 4 AND t NOT IN ({STOPS})),
+m AS (SELECT query_id, object_id, title, bool_or(lower(title) = q.t) AS exact FROM q JOIN w ON q.t = w.t GROUP BY 1, 2, 3)
+SELECT query_id, object_id, title, exact FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, object_id) AS k FROM m) WHERE k <= 8"""

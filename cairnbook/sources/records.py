@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnbook.functions.lineage import fixed
 from cairnbook.functions.times import chrome_ts, from_epoch, ts_iso
 from cairnbook.sources.items import item
 
@@ -58,11 +59,11 @@ def current_branch(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
     jump = nodes.select("conversation_id", "node", F.col("parent").alias("up")).filter("up is not null")
     while True:
         step = on.join(jump, ["conversation_id", "node"]).select("conversation_id", F.col("up").alias("node"))
-        grown = on.union(step).distinct().checkpoint()
+        grown = fixed(on.union(step).distinct())
         further = jump.alias("a").join(jump.alias("b"), (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.up") == F.col("b.node"))).select("a.conversation_id", "a.node", "b.up")
         if further.isEmpty():
             break
-        on, jump = grown, further.checkpoint()
+        on, jump = grown, fixed(further)
     marked = grown.withColumn("on_current_branch", F.lit(True))
     return nodes.join(marked, ["conversation_id", "node"], "left").withColumn("on_current_branch", F.coalesce("on_current_branch", F.lit(False)))
 
