@@ -690,3 +690,172 @@ def _(s, d):
     y = read(s, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
     before = F.lag("y").over(Window.partitionBy("o_custkey").orderBy("y"))
     return y.withColumn("p", before).filter("y - p > 1").select("o_custkey", F.col("y").cast("long").alias("revived_in"), F.col("p").cast("long").alias("last_seen_in"))
+
+
+# more forms
+
+
+@query("J03_left_outer_bytes", f"WITH {sql.OBJ}, b AS (SELECT content_hash, max(bytes) AS blob_bytes FROM obj WHERE doc_id % 4 <> 0 GROUP BY 1) SELECT object_id, blob_bytes FROM obj LEFT JOIN b ON obj.content_hash = b.content_hash")
+def _(s, d):
+    o = objects(s, d)
+    b = o.filter("doc_id % 4 <> 0").groupBy("content_hash").agg(F.max("bytes").alias("blob_bytes"))
+    return o.select("object_id", "content_hash").join(b, "content_hash", "left").select("object_id", "blob_bytes")
+
+
+@query("J04_left_join_is_null", "SELECT p_partkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49) x ON p_partkey = l_partkey WHERE l_partkey IS NULL")
+def _(s, d):
+    sold = read(s, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return read(s, d, "part").select("p_partkey").join(sold, "p_partkey", "left_anti")
+
+
+@query("J06_semi", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R')")
+def _(s, d):
+    back = read(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return read(s, d, "supplier").select("s_suppkey").join(back, "s_suppkey", "left_semi")
+
+
+@query("J07_null_safe_natural_key", "WITH a AS (SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg, c_nationkey FROM customer), b AS (SELECT seg, c_nationkey, count(*) AS n FROM a GROUP BY 1, 2) SELECT c_custkey, n FROM a JOIN b ON a.seg IS NOT DISTINCT FROM b.seg AND a.c_nationkey = b.c_nationkey")
+def _(s, d):
+    a = read(s, d, "customer").select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("seg"), "c_nationkey")
+    b = a.groupBy(F.col("seg").alias("s"), F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    return a.join(b, F.col("seg").eqNullSafe(F.col("s")) & (F.col("c_nationkey") == F.col("k"))).select("c_custkey", "n")
+
+
+@query("J12_group_members", f"WITH {sql.OBJ} SELECT content_hash, string_agg(object_id, ',' ORDER BY object_id) AS members FROM obj GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    per = objects(s, d).groupBy("content_hash").agg(F.array_sort(F.collect_list("object_id")).alias("m")).filter(F.size("m") > 1)
+    return per.select("content_hash", F.array_join("m", ",").alias("members"))
+
+
+@query("J15_using", f"WITH {sql.VISIT} SELECT event_type, count(*) AS n FROM visit JOIN (SELECT normalized_url, count(*) AS k FROM visit GROUP BY 1) x USING (normalized_url) WHERE k > 50 GROUP BY 1")
+def _(s, d):
+    v = visits(s, d)
+    busy = v.groupBy("normalized_url").agg(F.count("*").alias("k")).filter("k > 50")
+    return v.join(busy, "normalized_url").groupBy(F.col("visit_kind").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query("A07_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def _(s, d):
+    return read(s, d, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query("A12_set_from_json", "SELECT event_type, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS n_keys FROM events GROUP BY 1")
+def _(s, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    return read(s, d, "events").groupBy("event_type").agg(F.countDistinct(k).alias("n_keys"))
+
+
+@query("W04_top_per_entity", f"WITH {sql.OBJ} SELECT source_id, object_id, k FROM (SELECT source_id, object_id, row_number() OVER (PARTITION BY source_id ORDER BY bytes DESC, object_id) AS k FROM obj) WHERE k <= 5")
+def _(s, d):
+    w = Window.partitionBy("source_id").orderBy(F.desc("bytes"), "object_id")
+    return objects(s, d).withColumn("k", F.row_number().over(w)).filter("k <= 5").select("source_id", "object_id", "k")
+
+
+@query("L02_top_k_ties", f"WITH {sql.OBJ} SELECT object_id, bytes FROM obj ORDER BY bytes DESC, object_id LIMIT 50")
+def _(s, d):
+    return objects(s, d).select("object_id", "bytes").orderBy(F.desc("bytes"), "object_id").limit(50)
+
+
+@query("L03_severity_order", "SELECT o_orderpriority, count(*) AS n, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS severity FROM orders GROUP BY 1")
+def _(s, d):
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    per = read(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return per.withColumn("severity", rank).orderBy("severity", F.desc("n"))
+
+
+@query("U04_candidate_union", f"WITH {sql.OBJ}, a AS (SELECT object_id, 1.0 AS x FROM obj WHERE bytes > 3000), b AS (SELECT object_id, 1.0 AS y FROM obj WHERE source_id = 'src0') SELECT coalesce(a.object_id, b.object_id) AS object_id, CAST(coalesce(x, 0) + coalesce(y, 0) AS DOUBLE) AS score FROM a FULL JOIN b ON a.object_id = b.object_id")
+def _(s, d):
+    o = objects(s, d)
+    a, b = o.filter("bytes > 3000").select("object_id", F.lit(1.0).alias("x")), o.filter("source_id = 'src0'").select("object_id", F.lit(1.0).alias("y"))
+    return a.join(b, "object_id", "full_outer").select("object_id", (F.coalesce("x", F.lit(0.0)) + F.coalesce("y", F.lit(0.0))).alias("score"))
+
+
+@query("F04_ids", "SELECT doc_id, printf('KB-%08d', doc_id + 1) AS object_id, printf('KB-%08d:v%02d', doc_id + 1, doc_id % 7 + 1) AS version_id FROM documents")
+def _(s, d):
+    o = tx.object_id(F.col("doc_id") + 1)
+    return read(s, d, "documents").select("doc_id", o.alias("object_id"), tx.version_id(o, F.col("doc_id") % 7 + 1).alias("version_id"))
+
+
+@query("F07_schemeless", f"""WITH {sql.URL} SELECT page_id, regexp_replace(normalized_url, '^[^:/?#]*://', '') AS "key" FROM u""")
+def _(s, d):
+    from cairnbook.functions.urls import schemeless
+
+    return urls(s, d).select("page_id", schemeless(F.col("normalized_url")).alias("key"))
+
+
+@query("F28_paths", f"WITH {sql.OBJ} SELECT object_id, '/store/' || source_id || '/' || account_id AS parent, 'doc' || doc_id AS stem, '.txt' AS suffix FROM obj")
+def _(s, d):
+    p = F.col("native_path")
+    return objects(s, d).select("object_id", tx.parent_folder(p).alias("parent"), tx.file_stem(p).alias("stem"), tx.file_suffix(p).alias("suffix"))
+
+
+@query("G04_account_edges", f"WITH {sql.MSG} SELECT DISTINCT conversation_id AS object_id, CAST(conv_id % 3 AS VARCHAR) AS title, 'BELONGS_TO' AS relationship_type FROM msg")
+def _(s, d):
+    m = messages(s, d).select(F.col("conversation_id").alias("object_id"), (F.col("conv_id") % 3).cast("string").alias("account_id"))
+    return graph.group_entities(m, "account_id", "BELONGS_TO")
+
+
+@query("G07_rebuild", f"WITH {sql.EDGE} SELECT DISTINCT source_object, target_object, relationship_type FROM edge")
+def _(s, d):
+    e = relationships(s, d)
+    old = e.withColumn("created_by", F.when(F.col("relationship_type") == "PART_OF", "rule:part"))
+    derived = e.filter("relationship_type = 'PART_OF'").withColumn("created_by", F.lit("rule:part"))
+    return graph.rebuild_edges(old, derived).select("source_object", "target_object", "relationship_type")
+
+
+@query("Q04_evidence")
+def _(s, d):
+    o = objects(s, d).withColumn("modified_at", F.lit(None).cast("timestamp"))
+    return provenance.evidence(search.search(o, _queries(s, d), limit=8, expand=False, use_graph=False), o, _chain(s, d))
+
+
+@query("Q05_record_answers", f"WITH {sql.OBJ} SELECT 'A-' || l.doc_id AS source_object, o.object_id AS target_object, 'DERIVED_FROM' AS relationship_type FROM labels l JOIN obj o ON o.doc_id = l.doc_id")
+def _(s, d):
+    answers = read(s, d, "labels").select(F.concat(F.lit("A-"), F.col("doc_id").cast("string")).alias("answer_id"), F.lit("text").alias("text"), F.array(tx.object_id(F.col("doc_id") + 1), F.lit("KB-none")).alias("sources"))
+    return provenance.record_answers(answers, objects(s, d))[1]
+
+
+@query("V08_aliases_have_links", f"WITH {sql.OBJ}, a AS (SELECT object_id, doc_id, min(object_id) OVER (PARTITION BY content_hash) AS c FROM obj) SELECT object_id FROM a WHERE c <> object_id AND doc_id % 2 = 0")
+def _(s, d):
+    o = objects(s, d)
+    links = dedupe.link_duplicates(o)
+    odd = links.filter(F.substring("alias", 4, 8).cast("long") % 2 == 0)  # ids are doc_id + 1
+    return validate.aliases_without_links(dedupe.with_aliases(o, links), odd).select("object_id")
+
+
+@query("X04_redact_at_ingest", f"SELECT doc_id, CASE WHEN regexp_matches(text, '{sql.TOKEN_ASSIGNMENT}') THEN '[WITHHELD: token_assignment]' ELSE text END AS body FROM documents")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", secretscan.redact_at_ingest(F.col("text")).alias("body"))
+
+
+@query("Y01_store_manifest", f"WITH {sql.OBJ}, b AS (SELECT content_hash, max(bytes) AS x FROM obj GROUP BY 1) SELECT md5(min(object_id)) AS lineage, count(*) AS n_objects, max(object_id) AS high_water, (SELECT count(*) FROM b) AS n_blobs, (SELECT CAST(sum(x) AS BIGINT) FROM b) AS bytes FROM obj")
+def _(s, d):
+    o = objects(s, d)
+    return replication.store_manifest(o.select("object_id", F.md5(F.col("object_id").cast("binary")).alias("uuid")), o.groupBy("content_hash").agg(F.max("bytes").alias("bytes")))
+
+
+@query("Y04_restore_drill", "SELECT 'documents' AS \"table\", (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0) AS snapshot_rows, count(*) AS live_rows, count(*) FILTER (WHERE doc_id % 10 = 0) AS lost FROM documents UNION ALL SELECT 'pages', count(*), count(*), 0 FROM pages")
+def _(s, d):
+    docs, pages = read(s, d, "documents"), read(s, d, "pages")
+    return replication.restore_drill({"documents": docs.filter("doc_id % 10 <> 0"), "pages": pages}, {"documents": docs, "pages": pages})
+
+
+@query("Y05_recovery_position", "WITH x AS (SELECT event_type AS tier, max(ts) AS newest, max(ts) FILTER (WHERE event_id % 3 = 0) AS last_proven, count(*) AS n, count(*) FILTER (WHERE value > 50) AS with_evidence FROM events GROUP BY 1) SELECT tier, n, newest, last_proven, with_evidence, CASE WHEN last_proven IS NULL THEN 'never proven' END AS warning FROM x")
+def _(s, d):
+    e = read(s, d, "events").select(F.col("event_type").alias("tier"), F.col("ts").alias("taken_at"), (F.col("event_id") % 3 == 0).alias("proven"), (F.col("value") > 50).alias("with_evidence"))
+    return replication.recovery_position(e, e.select("tier").distinct())
+
+
+@query("T03_replay_safe_log", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    e = read(s, d, "events")
+    return streams.dedup_stream(e.unionAll(e.filter("event_id % 5 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("T06_late_rows", "SELECT count(*) FILTER (WHERE ts >= w) AS in_time, count(*) FILTER (WHERE ts < w) AS late FROM events, (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events)")
+def _(s, d):
+    e = read(s, d, "events").select("event_id", "ts")
+    mark = e.agg((F.max("ts") - F.expr("interval 1 day")).alias("watermark"))
+    good, late = streams.late_rows(e, mark)
+    n = good.agg(F.count("*").alias("in_time"))
+    return n.join(F.broadcast(late.agg(F.count("*").alias("late"))))  # one row each
