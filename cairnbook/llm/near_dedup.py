@@ -4,8 +4,8 @@ components by alternating large-star and small-star.
 Plan: texts are read once for their shingle-set keys, minima and band hashes. Copies of one set are one class, and its
 least document stands for it. In each band bucket all members are paired with its least and its greatest member only;
 signatures, then full shingle sets, confirm the pairs. Members of a bucket that these links leave in different
-components are paired with each other afterwards, so no candidate of the banding is lost, while a bucket of many near
-copies never becomes all its pairs.
+components are compared afterwards, in blocks, so no candidate of the banding is lost, while a bucket of many near
+copies, or of a common passage, never becomes rows for all its pairs.
 """
 
 from __future__ import annotations
@@ -14,18 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.llm.components import connected_components
-from cairnbook.llm.shared import materialise, mix, pieces, salted_left_join, text_or_empty, word_hashes
+from cairnbook.llm.shared import bounded, materialise, mix, pieces, salted_left_join, text_or_empty, word_hashes
 
 #: 36 bands of 4 minima: a pair at similarity 0.8 is missed with probability (1 - 0.8**4)**36 < 1e-8.
 BANDS, ROWS = 36, 4
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Signatures drop a pair whose estimate is below the threshold by SLACK; eight standard errors at 0.8.
-SLACK = 0.27
+#: A signature keeps the low PLANES bits of each minimum, one bit plane after the other, in longs of LANE bits.
+PLANES, LANE = 4, 48
+LONGS = PLANES * BANDS * ROWS // LANE
+#: Documents, and shingles, of a block of documents that are compared with another block.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 80_000
+#: Signatures drop a pair whose estimate is below the threshold by SLACK, five standard errors at 0.8.
+SLACK = 0.175
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Universal hashing of 32-bit keys by multiply-add-shift with 64-bit odd factors.
@@ -63,7 +68,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text"):
             n = batch.num_rows
             counts, key1, key2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             least = np.zeros((n, BANDS * ROWS), np.uint64)
@@ -72,13 +77,13 @@ def _sign(size: int):
                 if len(own):
                     key1[i], key2[i] = own.sum(), mix(own + np.uint64(99)).sum()
                     least[i] = minima(own)
-            bands = np.zeros((n, BANDS), np.uint64)
+            bands = np.arange(BANDS, dtype=np.uint64) + np.zeros((n, 1), np.uint64)  # the band is part of its key
             for r in range(ROWS):
                 bands = mix(bands + least[:, r::ROWS])
-            low = (least & np.uint64(255)).astype(np.uint8)
-            ends = np.arange(n + 1, dtype=np.int32) * BANDS
-            sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BANDS * ROWS), n, [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
-            arrays = [batch.column("doc_id"), pa.array(counts), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64))), sig]
+            lanes = np.concatenate([least.reshape(n, -1, LANE) >> np.uint64(p) & np.uint64(1) for p in range(PLANES)], axis=1)
+            sig = (lanes << np.arange(LANE, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (bands, sig)]
+            arrays = [batch.column("doc_id"), pa.array(counts), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), *lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "key1", "key2", "bands", "signature"])
 
     return run
@@ -86,31 +91,35 @@ def _sign(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text"):
             own = [x.tobytes() for x in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
 
-def _agree(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            same = (a == b).mean(axis=1)
-            # low bytes of different minima agree once in 256
-            yield batch.select(["a", "b"]).filter(pa.array((same - 1 / 256) * 256 / 255 >= least))
-
-    return run
+def _likely(a: str, b: str, size_a: str, size_b: str, percent: int) -> Column:
+    """Whether the signatures (columns a, b: arrays of LONGS longs) and set sizes allow the similarity: sizes exactly,
+    the share of equal minima up to SLACK. Low bits of different minima agree once in 2**PLANES."""
+    lanes = BANDS * ROWS // LANE
+    differ = F.lit(0)
+    for lane in range(lanes):
+        bits = None
+        for p in range(PLANES):
+            x = F.col(a)[p * lanes + lane].bitwiseXOR(F.col(b)[p * lanes + lane])
+            bits = x if bits is None else bits.bitwiseOR(x)
+        differ = differ + F.bit_count(bits)
+    chance = 2.0**-PLANES
+    least = chance + (1 - chance) * (percent / 100 - SLACK)
+    sizes = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+    return sizes & (differ <= int((1 - least) * BANDS * ROWS))
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True)):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = np.sort(np.concatenate([p, q]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -120,22 +129,78 @@ def _confirm(percent: int):
     return run
 
 
-def _with_both(pairs: DataFrame, side: DataFrame, value: str, name: str) -> DataFrame:
-    """Brings the value of each end of the pairs; the side has one row per document."""
+def _with_both(pairs: DataFrame, side: DataFrame, values: list[str]) -> DataFrame:
+    """Brings the values of each end of the pairs; the side has one row per document."""
     for end in ("a", "b"):
-        one = side.select(F.col("doc_id").alias(f"_{end}"), F.col(value).alias(f"{name}_{end}"))
+        one = side.select(F.col("doc_id").alias(f"_{end}"), *(F.col(v).alias(f"{v}_{end}") for v in values))
         pairs = pairs.join(one, pairs[end] == one[f"_{end}"]).drop(f"_{end}")
     return pairs
 
 
-def _confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, shingle_words: int, percent: int, name: str) -> DataFrame:
-    """The pairs that their signatures, then their full sets allow."""
-    ids = "a long, b long"
-    likely = materialise(_with_both(pairs, signed, "signature", "sig").mapInArrow(_agree(percent / 100 - SLACK), ids), f"{name}-likely")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(nodes, "doc_id", "left_semi").select("doc_id", text_or_empty().alias("text"))
-    sets = materialise(texts.mapInArrow(_sets(shingle_words), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), f"{name}-sets")
-    return materialise(_with_both(likely, sets, "shingles", "set").mapInArrow(_confirm(percent), ids), f"{name}-links")
+def _set_table(docs: DataFrame, ids: DataFrame, shingle_words: int, name: str) -> DataFrame:
+    """The shingle sets of the documents in ids (doc_id); only their texts are read again."""
+    # the ids grow with the documents: they are never broadcast, however few they are here
+    texts = docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", text_or_empty().alias("text"))
+    return materialise(texts.mapInArrow(_sets(shingle_words), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), name)
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs that their full sets allow."""
+    return materialise(_with_both(likely, sets, ["shingles"]).mapInArrow(_confirm(percent), "a long, b long"), name)
+
+
+def _cross(percent: int):
+    """Links between the documents of two blocks, or inside one: shingles in common are counted for all at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, comps = (table.column(c).to_numpy() for c in ("side", "doc_id", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        sizes = np.array([len(x) for x in sets])
+        tokens, owner = np.concatenate([sets[i] for i in other]), np.repeat(np.arange(len(other)), sizes[other])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        out_a, out_b = [], []
+        for i in mine.tolist():
+            if (comps[other] == comps[i]).all():
+                continue
+            low, high = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(other))
+            good = (100 * common >= percent * (sizes[i] + sizes[other] - common)) & (comps[other] != comps[i])
+            found = ids[other[good]]
+            out_a.append(np.maximum(found, ids[i]))
+            out_b.append(np.minimum(found, ids[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(out_a or none), pa.int64()), "b": pa.array(np.concatenate(out_b or none), pa.int64())})
+
+    return run
+
+
+def _torn_links(torn: DataFrame, stands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside torn buckets. torn: bucket, doc_id, component, low.
+
+    Documents form blocks of about BLOCK_DOCS (fewer long ones): those of a large component by themselves, others with
+    those that met the same least document. Blocks that share a bucket are compared whole, inside one small group each;
+    pairs of documents never become rows. A block isn't compared with another of its own large component."""
+    homes = torn.groupBy("doc_id").agg(F.min("low").alias("home"), F.first("component").alias("component"))
+    homes = homes.join(stands.select("doc_id", "n_shingles"), "doc_id")
+    large = homes.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK_DOCS // 2).select("component", F.lit(True).alias("large"))
+    homes = salted_left_join(homes, large, ["component"])
+    homes = homes.withColumn("large", F.coalesce("large", F.lit(False))).withColumn("grp", F.when(F.col("large"), F.col("component")).otherwise(F.col("home")))
+    counts = homes.groupBy("large", "grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    homes = salted_left_join(homes, counts, ["large", "grp"])
+    block = F.struct("large", "grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("part"))
+    homes = materialise(homes.select("doc_id", "component", block.alias("block")), "torn-blocks")
+    inside = materialise(torn.select("bucket", "doc_id").join(homes, "doc_id").groupBy("bucket", "block").agg(F.min("component").alias("c1"), F.max("component").alias("c2")), "torn-met")
+    first, second = (inside.select("bucket", F.col("block").alias(f"block{k}"), F.col("c1").alias(f"c1{k}"), F.col("c2").alias(f"c2{k}")) for k in "ab")
+    differ = (F.col("c1a") != F.col("c2a")) | (F.col("c1b") != F.col("c2b")) | (F.col("c1a") != F.col("c1b"))
+    met = first.join(second, ["bucket"]).filter((F.col("blocka") <= F.col("blockb")) & differ).select("blocka", "blockb").distinct()
+    met = materialise(met.select("*", F.xxhash64("blocka", "blockb").alias("pair")), "torn-pairs")
+    sides = met.select("pair", "blocka", "blockb", F.explode(F.expr("if(blocka = blockb, array(0), array(0, 1))")).alias("side")).select("pair", "side", F.when(F.col("side") == 0, F.col("blocka")).otherwise(F.col("blockb")).alias("block"))
+    rows = sides.join(homes, "block").join(sets, "doc_id").select("pair", "side", "doc_id", "component", "shingles")
+    return rows.groupBy("pair").applyInArrow(_cross(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -146,34 +211,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     reachable, itself included; kept marks that row. Null, empty and wordless texts have no shingles and no links.
     Repeated rows share their class. Keys identify texts: where rows share a key but not a text, they are one node and
     one of the texts stands for it. A null key takes no part: component_id null, kept true. Further columns are ignored."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    signed = materialise(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_sign(shingle_words), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary"), "minhash")
+    docs = bounded(docs.select(F.col(key).cast("long").alias("doc_id"), "text"))
+    signed = materialise(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_sign(shingle_words), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, signature array<long>"), "minhash")
     shape = ["n_shingles", "key1", "key2"]
     some = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(some.groupBy(*shape).agg(F.min("doc_id").alias("first")), "minhash-classes")
+    classes = materialise(some.groupBy(*shape).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "minhash-classes")
     # one row per class: the only place where a class's signature is read from here on
     stands = some.join(classes.select(F.col("first").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in shape]), "doc_id").filter(" and ".join(f"{c} = _{c}" for c in shape))
-    stands = materialise(stands.select("doc_id", "key1", "bands", "signature").dropDuplicates(["doc_id"]), "minhash-stands")
-    banded = stands.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    met = banded.join(buckets, ["band", "bucket"])
+    stands = materialise(stands.select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id"]), "minhash-stands")
+    banded = stands.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    # few documents share a bucket with another one; from here on only those rows are read
+    met = materialise(banded.join(buckets, "bucket"), "minhash-met")
     stars = met.select(F.explode(F.array(F.struct(F.col("doc_id").alias("a"), F.col("low").alias("b")), F.struct(F.col("high").alias("a"), F.col("doc_id").alias("b")))).alias("p")).select("p.a", "p.b")
-    stars = materialise(stars.filter("a > b").distinct(), "minhash-stars")
-    links = _confirmed(docs, stands, stars, shingle_words, percent, "stars")
+    stars = stars.filter("a > b").distinct()
+    facts = ["signature", "n_shingles"]
+    fits = _likely("signature_a", "signature_b", "n_shingles_a", "n_shingles_b", percent)
+    likely = materialise(_with_both(stars, stands, facts).filter(fits).select("a", "b"), "minhash-stars")
+    # one reading of texts serves both confirmations: it takes all that share a bucket
+    sets = _set_table(docs, met, shingle_words, "minhash-sets")
+    links = _confirmed(likely, sets, percent, "stars-links")
     parts = materialise(connected_components(links), "minhash-parts")
-    # buckets of three or more whose members are still apart: the pairs between their components that no star tried
-    apart = salted_left_join(met.select("band", "bucket", "doc_id", "low", "high"), parts.withColumnRenamed("node", "doc_id"), ["doc_id"]).withColumn("component", F.coalesce("component", "doc_id"))
-    apart = materialise(apart, "minhash-met")
-    torn = apart.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("n > 2 and c1 < c2").select("band", "bucket")
-    left = apart.join(torn, ["band", "bucket"], "left_semi")
-    other = left.select("band", "bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-    rest = left.withColumnRenamed("doc_id", "a").join(other, ["band", "bucket"]).filter("a > b and component <> component_b and b <> low and a <> high").select("a", "b").distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "minhash-rest")
-    more = _confirmed(docs, stands, rest, shingle_words, percent, "rest")
+    # buckets whose members are still apart: the pairs between their components that no star tried
+    apart = salted_left_join(met, parts.withColumnRenamed("node", "doc_id"), ["doc_id"]).withColumn("component", F.coalesce("component", "doc_id"))
+    inner = apart.filter("doc_id <> low and doc_id <> high")  # the others were tried with all members
+    torn = inner.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("bucket")
+    left = materialise(inner.join(torn, "bucket", "left_semi"), "minhash-torn")
+    more = materialise(_torn_links(left, stands, sets, percent), "torn-links")
     whole = materialise(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "minhash-whole")
-    named = materialise(classes.join(whole.withColumnRenamed("node", "first"), "first", "left").select(*shape, F.coalesce("component", "first").alias("component_id")), "minhash-named")
-    out = salted_left_join(signed.select("doc_id", *shape), named, shape)
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    copied = classes.filter("copies > 1").select(*shape, "first")
+    out = salted_left_join(signed.select("doc_id", *shape), copied, shape).withColumn("first", F.coalesce("first", "doc_id"))
+    out = salted_left_join(out, whole.select(F.col("node").alias("first"), F.col("component").alias("component_id")), ["first"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first"))
     return out.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
