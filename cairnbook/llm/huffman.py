@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairnbook.llm.files import new_file, reading, writing
-from cairnbook.llm.shared import fresh_path, materialise, pieces, text_or_empty
+from cairnbook.llm.shared import bounded, fresh_path, materialise, pieces, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -37,7 +37,7 @@ BLOCK_IDS, STRIDE = 1 << 16, 64
 #: Ids of a file, about.
 FILE_IDS = 1 << 23
 MAGIC = b"HUFT1\n"
-CACHE = 500_000
+CACHE = 250_000
 
 
 class WordTokenizer:
@@ -47,6 +47,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         # special tokens are found in the raw text; one with white space inside would reach over words
         specials = [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
         assert not any(c.isspace() for s in specials for c in s)
@@ -56,19 +57,38 @@ class WordTokenizer:
         words = [t.encode().split() for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
+        if len(self.stems) > CACHE:
+            self.stems.clear()
         seen: set[bytes] = set()
         for w in words:
             seen.update(w)
-        new = [w for w in seen if w not in self.known]
-        encoded = self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded, strict=True):
-            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        new = {w: self._parts(w) for w in seen if w not in self.known}
+        stems = [s for s in {s for parts in new.values() for s in parts} if s not in self.stems]
+        encoded = self.library.encode_batch_fast([s.decode() for s in stems], add_special_tokens=False)
+        for s, e in zip(stems, encoded, strict=True):
+            self.stems[s] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for w, parts in new.items():
+            self.known[w] = b"".join(map(self.stems.__getitem__, parts))
         out = [b"".join(map(self.known.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > 256:
                 del self.known[w]
+        for s in stems:
+            if len(s) > 256:
+                del self.stems[s]
         return out
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """A word as parts that the library encodes alike apart: it lower-cases, and its pattern ends a token between a
+        letter or digit and full stops or commas. Words that could hold a special token stay as they are."""
+        if b"<|" in word:
+            return (word,)
+        stem = word.rstrip(b".,")
+        if stem == word or not stem[-1:].isalnum():
+            return (word.lower(),)
+        return (stem.lower(), word[len(stem):])
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
@@ -85,12 +105,12 @@ def tokenise(docs: DataFrame, path: str = VOCABULARY, end_id: int = END_ID) -> D
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         end = struct.pack("<I", end_id)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             ids = [np.frombuffer(x + end, "<u4") for x in _tokenizer(path).encode(batch.column("text").to_pylist())]
             packed = [x.tobytes() if wide else x.astype("<u2").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return bounded(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _unpack(packed: bytes, wide: bool) -> np.ndarray:
