@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnbook.llm.shared import pieces, text_or_empty
+from cairnbook.llm.shared import bounded, pieces, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Entries of a worker's caches, after which they start anew.
-CACHE = 700_000
+#: Entries of a worker's caches of text parts and of pre-tokens, after which they start anew.
+CHUNK_CACHE, CACHE = 150_000, 75_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
@@ -118,7 +118,7 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. Where single spaces stand between other characters, no pre-token of the pattern reaches
         over one: such a text is cut before each space, and equal parts share their ids. Other texts go whole."""
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > CHUNK_CACHE:
             self.chunks.clear()
         cut = [None if self.touching(t) else t.split(" ") for t in texts]
         heads, parts = set(), set()
@@ -153,24 +153,43 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """docs with `text` replaced by `ids` (array<int>), the ids of the whole text in UTF-8 without special tokens.
+def _ids_of(one: Codec, texts: pa.Array) -> pa.Array:
+    ids = one.encode_batch(texts.to_pylist())
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _bytes_of(one: Codec, ids: pa.Array) -> pa.Array:
+    """The bytes of each list of ids: the tokens' bytes lie behind one another already, only the cuts are found."""
+    sizes = pyarrow.compute.fill_null(pyarrow.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = one.table.take(ids.flatten())
+    starts = np.frombuffer(flat.buffers()[1], np.int64, count=len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+    cuts = starts[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+    data = flat.buffers()[2] if len(flat) else None
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), data or pa.py_buffer(b"")]).cast(pa.binary())
+
+
+_IDS, _DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, with_decoded: bool = False) -> DataFrame:
+    """docs with `text` replaced by `ids` (array<int>), the ids of the whole text in UTF-8 without special tokens; and
+    by `decoded`, the bytes that these ids stand for, if asked for in the same pass.
 
     Null text: empty, no ids. Strings that look like special tokens are ordinary text. Repeated rows are encoded alike;
-    an empty table gives no rows; a column of docs named ids is replaced."""
+    an empty table gives no rows; columns of docs named ids or decoded are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)
-        for batch in pieces(batches, "text", 4 << 20):
-            ids = one.encode_batch(batch.column("text").to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        for batch in pieces(batches, "text"):
+            ids = _ids_of(one, batch.column("text"))
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), arrays], names=[*rest, "ids"])
+            more = {"ids": ids} | ({"decoded": _bytes_of(one, ids)} if with_decoded else {})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more.values()], names=[*rest, *more])
 
-    source = docs.drop("ids").withColumn("text", text_or_empty())
-    schema = source.drop("text").schema.add("ids", T.ArrayType(T.IntegerType()))
-    return source.mapInArrow(run, schema)
+    source = bounded(docs.drop("ids", "decoded")).withColumn("text", text_or_empty())
+    fields = [f for f in source.schema.fields if f.name != "text"]
+    return source.mapInArrow(run, T.StructType([*fields, _IDS, *([_DECODED] if with_decoded else [])]))
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -178,25 +197,16 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tok
     vocabulary raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(path, pattern).table
+        one = codec(path, pattern)
         for batch in batches:
-            ids = batch.column("ids")
-            if ids.null_count:
-                ids = pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int32()))
-            flat = table.take(ids.flatten())
-            starts = np.frombuffer(flat.buffers()[1], np.int64, count=len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
-            data = flat.buffers()[2] if len(flat) else None
-            lengths = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pa.compute.list_value_length(ids).to_pylist()])])
-            decoded = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts[lengths].tobytes()), data or pa.py_buffer(b"")])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(one, batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
-    source = encoded.drop("decoded")
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    source = bounded(encoded.drop("decoded"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, _DECODED]))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(both: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes; the ids are joined as decimals."""
-    both = decode(encoded)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -206,4 +216,4 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_decoded=True))

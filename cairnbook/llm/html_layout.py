@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnbook.llm.shared import pieces, text_or_empty
+from cairnbook.llm.shared import bounded, pieces, text_or_empty
 
 # Fixed sets of element names, from the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -425,12 +425,12 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     other columns pass; an empty table gives no rows; a column of pages named text is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, html, 4 << 20):
+        for batch in pieces(batches, html, 1 << 20):
             texts = pa.array([extract_text(x) for x in batch.column(html).to_pylist()], pa.string())
             rest = [c for c in batch.schema.names if c != html]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), texts], names=[*rest, "text"])
 
-    source = (pages.drop("text") if html != "text" else pages).withColumn(html, text_or_empty(html))
+    source = bounded(pages.drop("text") if html != "text" else pages).withColumn(html, text_or_empty(html))
     fields = [f for f in source.schema.fields if f.name != html]
     return source.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
 

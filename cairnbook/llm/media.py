@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnbook.llm.shared import pieces, text_or_empty
+from cairnbook.llm.shared import bounded, pieces, text_or_empty
 
 #: Payloads are padded with bytes 255 to a positive multiple of PAD.
 PAD = 576
@@ -101,13 +101,13 @@ def store_as_wav(docs: DataFrame) -> DataFrame:
     empty table gives no rows; columns of docs named media or n_bytes are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             rest = [c for c in batch.schema.names if c != "text"]
             arrays = [*(batch.column(c) for c in rest), pa.array(list(map(len, raw)), pa.int64()), pa.array([to_wav(padded(r)) for r in raw], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n_bytes", "media"])
 
-    source = docs.drop("media", "n_bytes").withColumn("text", text_or_empty())
+    source = bounded(docs.drop("media", "n_bytes")).withColumn("text", text_or_empty())
     fields = [f for f in source.schema.fields if f.name != "text"]
     return source.mapInArrow(run, T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
@@ -117,7 +117,7 @@ def fingerprint(stored: DataFrame) -> DataFrame:
     time-coded pairs of spectral peaks). Null media: null payload, no fingerprint. A broken WAV raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "media", 4 << 20):
+        for batch in pieces(batches, "media", 1 << 20):
             payloads = [None if m is None else from_wav(m) for m in batch.column("media").to_pylist()]
             found = []
             for p in payloads:

@@ -65,11 +65,20 @@ def salted_left_join(rows: DataFrame, small: DataFrame, on: list[str], salts: in
     return joined.drop(left["_salt"]).drop(right["_salt"]).drop(*[f"_r_{c}" for c in on])
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were set to fewer rows if nobody has set them: rows here hold whole texts,
+    and a worker should hold few of them at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column holds about `limit` bytes at most, or one row."""
     for batch in batches:
         at, rows = 0, batch.num_rows
@@ -100,6 +109,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+KEPT_POWERS = 1 << 21
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -125,7 +135,9 @@ def _power(base: int, upto: int, name: str) -> np.ndarray:
         size = max(1 << 16, 1 << (upto - 1).bit_length())
         grown = np.full(size, base, dtype=np.uint64)
         grown[0] = 1
-        have = _powers[name] = np.multiply.accumulate(grown)
+        have = np.multiply.accumulate(grown)
+        if size <= KEPT_POWERS:  # one very long text mustn't stay in a worker's memory
+            _powers[name] = have
     return have[:upto]
 
 

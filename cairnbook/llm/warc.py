@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.llm.files import new_file, reading, writing
-from cairnbook.llm.shared import fresh_path, materialise, salted_left_join
+from cairnbook.llm.shared import bounded, fresh_path, materialise, salted_left_join
 
 #: Equal payloads of at least so many bytes are written once.
 REVISIT_BYTES = 1000
@@ -110,7 +110,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     with the largest page_id is the response (null refers_to) and the others refer to it. Rows that share that largest
     page_id are all responses. Null html: empty. Payloads seen only with null page_ids: all responses."""
     raw = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", raw.alias("html"), F.sha1(raw.cast("binary")).alias("payload_digest"), F.octet_length(raw).alias("_bytes"))
+    rows = bounded(pages).select("page_id", "url", raw.alias("html"), F.sha1(raw.cast("binary")).alias("payload_digest"), F.octet_length(raw).alias("_bytes"))
     winners = rows.filter(F.col("_bytes") >= least_bytes).groupBy("payload_digest").agg(F.count("*").alias("_n"), F.max("page_id").alias("winner")).filter("_n > 1 and winner is not null").select("payload_digest", "winner")
     joined = salted_left_join(rows, winners, ["payload_digest"])
     refers_to = F.when(~F.col("winner").eqNullSafe(F.col("page_id")), F.col("winner"))
