@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
-    return byte_bpe.digests(byte_bpe.encode(docs.select("doc_id", "text")))
+    return byte_bpe.digests(byte_bpe.encode(docs.select("doc_id", "text"), with_decoded=True))
 
 
 STAGES = [
