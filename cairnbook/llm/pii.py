@@ -31,6 +31,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Characters of the shortest match that a validator can pass.
+LEAST = {"email": 5, "ip": 7, "card": 13, "phone": 10, "secret": 24}
 #: Further generators: (kind, pattern).
 GENERATORS = [
     ("card", r"(?<![0-9])[0-9]{13,19}+(?![0-9])"),
@@ -59,8 +61,10 @@ PRECISION, SUPPORT = 0.95, 5
 _SPAN = "array<struct<gen:int,s:int,e:int,m:string>>"
 
 
-def _spans(text: Column, pattern: str, gen: int, there: Column) -> Column:
-    """Matches of the pattern with code-point offsets: the text between matches and the matches take turns."""
+def _spans(text: Column, pattern: str, gen: int, there: Column, least: int) -> Column:
+    """Matches of the pattern with code-point offsets: the text between matches and the matches take turns. Matches of
+    fewer than `least` characters, which no validator passes, are left out, so that a text full of small numbers
+    doesn't grow a long list."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -69,7 +73,8 @@ def _spans(text: Column, pattern: str, gen: int, there: Column) -> Column:
         start = acc["at"] + x["p"]
         end = start + F.length(x["m"])
         one = F.struct(F.lit(gen).alias("gen"), start.alias("s"), end.alias("e"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        kept = F.when(F.length(x["m"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), kept.alias("out"))
 
     return F.when(there, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
 
@@ -115,11 +120,11 @@ def _proposed(docs: DataFrame) -> DataFrame:
     digit, at = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
     there = {"email": at, "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
     out = docs.withColumn("_text", text_or_empty())
-    out = out.withColumns({f"_raw_{k}": _spans(text, BASE[k], i, there[k]) for i, k in enumerate(BASE_KINDS)})
+    out = out.withColumns({f"_raw_{k}": _spans(text, BASE[k], i, there[k], LEAST[k]) for i, k in enumerate(BASE_KINDS)})
     wide = []
     for i, (kind, pattern) in enumerate(GENERATORS):
         cue = at | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")) if kind == "email" else digit
-        wide.append(_spans(text, pattern, len(BASE) + i, cue))
+        wide.append(_spans(text, pattern, len(BASE) + i, cue, LEAST[kind]))
     out = out.withColumn("_all", F.concat(*[F.col(f"_raw_{k}") for k in BASE_KINDS], *wide))
     return out.withColumns({f"_{k}": F.filter(f"_raw_{k}", _passes(k)) for k in BASE_KINDS})
 
