@@ -55,7 +55,8 @@ CONTEXT_CHARACTERS = 24
 FEATURES = {"gen": len(BASE) + len(GENERATORS), "digits": 7, "seps": 5, "ctx": 6, "prev": 3, "next": 3, "letters": 3}
 CELLS = math.prod(FEATURES.values())
 ROUNDS, RATE, RIDGE = 40, 0.3, 1.0
-#: Least share of true labels among held-out proposals at or above a threshold, and least number of them.
+#: Least share of true labels among held-out proposals at or above a threshold that pass their validator, as all added
+#: ones must, and least number of them.
 PRECISION, SUPPORT = 0.95, 5
 
 _SPAN = "array<struct<gen:int,s:int,e:int,m:string>>"
@@ -229,14 +230,14 @@ def fit(docs: DataFrame) -> dict:
     names = list(FEATURES)
     held = (F.pmod(F.xxhash64("_text"), F.lit(5)) == 0).alias("held")
     every = _proposed(docs).filter(F.size("_all") > 0).select(held, F.explode(F.transform("_all", _featured)).alias("p")).select("held", "p.*")
-    rows = every.filter("y is not null").groupBy("held", "kind", *names).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")).collect()
+    rows = every.filter("y is not null").groupBy("held", "kind", "ok", *names).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")).collect()
     cells = lambda part: [(tuple(r[f] for f in names), float(r["pos"]), float(r["neg"])) for r in part]
-    rows.sort(key=lambda r: (r["kind"], *(r[f] for f in names)))
+    rows.sort(key=lambda r: (r["kind"], r["ok"], *(r[f] for f in names)))
     training = cells([r for r in rows if not r["held"]])
     trees = _boost(training) if training else []
     thresholds = {}
     for kind in KINDS:
-        scored = sorted(((_score(trees, x), pos, neg) for x, pos, neg in cells([r for r in rows if r["held"] and r["kind"] == kind])), reverse=True)
+        scored = sorted(((_score(trees, x), pos, neg) for x, pos, neg in cells([r for r in rows if r["held"] and r["ok"] and r["kind"] == kind])), reverse=True)
         good = bad = 0.0
         thresholds[kind] = math.inf
         for k, (score, pos, neg) in enumerate(scored):
