@@ -12,14 +12,15 @@ from cairnbook.functions import text as tx
 from cairnbook.functions.times import recency_weight
 
 K1, B = 1.2, 0.75
-BODY_CAP = 200_000
 FEEDBACK_DOCS, FEEDBACK_TERMS, FEEDBACK_CHARS, FEEDBACK_MAX_DF = 8, 6, 4000, 0.25
 WEIGHTS = {"lexical": 1.0, "expansion": 0.35, "graph": 0.5, "authority": 0.6, "recency": 0.3}
 
 
-def build_index(docs: DataFrame, body_cap: int = BODY_CAP, positions: bool = False) -> dict[str, DataFrame]:
-    """docs: object_id, body. Positions make phrases possible and the index larger."""
-    words = docs.select("object_id", tx.tokens(F.substring(F.coalesce("body", F.lit("")), 1, body_cap)).alias("words"))
+def build_index(docs: DataFrame, body_cap: int | None = None, positions: bool = False) -> dict[str, DataFrame]:
+    """docs: object_id, body. Whole texts, or their first body_cap characters. Positions make phrases possible and the
+    index larger."""
+    body = F.coalesce("body", F.lit(""))
+    words = docs.select("object_id", tx.tokens(body if body_cap is None else F.substring(body, 1, body_cap)).alias("words"))
     if positions:
         long = words.select("object_id", F.posexplode("words").alias("pos", "term"))
         postings = long.groupBy("term", "object_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -41,7 +42,7 @@ def bm25(docs: DataFrame, terms: DataFrame, pool: int | None = None, require_all
 
     Only postings of the queries' terms are made: texts meet the term table before anything is shuffled, and counts are
     partial. idf is floored just above 0."""
-    words = docs.select("object_id", tx.tokens(F.substring(F.coalesce("body", F.lit("")), 1, BODY_CAP)).alias("words"))
+    words = docs.select("object_id", tx.tokens(F.coalesce("body", F.lit(""))).alias("words"))
     asked = terms.select("term").distinct()
     hits = words.select("object_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked, "term")
     postings = hits.groupBy("term", "object_id", "len").agg(F.count("*").alias("tf"))
@@ -70,7 +71,7 @@ def expansion_terms(docs: DataFrame, hits: DataFrame, terms: DataFrame, n_docs:
     seen = best.select("query_id", F.explode(t).alias("term")).filter((F.length("term") > 2) & ~tx.is_stop_word(F.col("term")) & ~tx.is_identifier(F.col("term")))
     seen = seen.groupBy("query_id", "term").agg(F.count("*").alias("c")).filter("c >= 2").join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")
     wanted = seen.select("term").distinct()
-    df = docs.select(F.explode(F.array_distinct(tx.tokens(F.substring("body", 1, BODY_CAP)))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("body")))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n_docs"))
     scored = seen.join(df, "term").join(F.broadcast(n)).filter(F.col("df") <= F.col("n_docs") * max_df)  # one row
     scored = scored.withColumn("weight", F.round(F.col("c") * F.log(F.col("n_docs") / F.col("df")), 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cairnbook.operators import canonical, dedupe, graph, insight, provenance, replication, search, secretscan, sinks, validate
@@ -131,3 +133,19 @@ def test_sinks(spark, tmp_path):
     assert sinks.snapshot(t, str(tmp_path / "snap"), "daily").first()["proven"] is False
     log = spark.createDataFrame([(1, "created")], "event_id int, operation string")
     assert sinks.append_events(log, spark.createDataFrame([(1, "created"), (2, "merged"), (3, "nonsense")], log.schema)).count() == 2
+
+
+def test_words_far_into_a_text_are_found(spark):
+    far = "filler " * 30_000
+    o = spark.createDataFrame([("d1", far + "kelp harvest"), ("d2", "kelp harvest")] + [(f"f{i}", "other text") for i in range(16)], "object_id string, body string")
+    index = search.build_index(o)
+    assert rows(index["postings"].filter("term = 'kelp'"), "object_id", "tf") == [("d1", 1), ("d2", 1)]
+    assert rows(index["lengths"].filter("object_id = 'd1'"), "len") == [(30_002,)] and rows(index["df"].filter("term = 'kelp'"), "df") == [(2,)]
+    assert rows(search.build_index(o, body_cap=200_000)["postings"].filter("term = 'kelp'"), "object_id") == [("d2",)]
+    terms = spark.createDataFrame([(1, "kelp")], "query_id int, term string")
+    assert {r["object_id"] for r in search.bm25(o, terms).collect()} == {"d1", "d2"}
+    # harvest is asked of two short texts; the long one counts in its document frequency
+    more = o.union(spark.createDataFrame([("d3", "kelp harvest")], o.schema))
+    hits = spark.createDataFrame([(1, "d2", 1), (1, "d3", 2)], "query_id int, object_id string, rank int")
+    got = search.expansion_terms(more, hits, terms).first()
+    assert got["term"] == "harvest" and abs(got["weight"] - 2 * math.log(19 / 3)) < 1e-5
