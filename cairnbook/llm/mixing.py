@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source has a budget of words. Documents are counted by their exact length; whole passes over a source are taken
-first, then a proportional share of every length, and a bounded-knapsack dynamic programme over (length, count) pairs
-fills what is left, so that the sum comes as near the budget as the lengths allow. Seeded hashes decide which documents
-of a length are taken.
+first, then a proportional share of every length, rounded up or down, and a bounded-knapsack dynamic programme over
+(length, count) pairs adds and removes a few documents, so that the sum comes as near the budget as the lengths allow.
+Seeded hashes decide which documents of a length are taken.
 
 Scale: per source only the table of distinct lengths goes to one task (bounded by the longest text, not by the number
 of rows). Documents of one length are ranked inside hash cells of about CELL rows, never as one group.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnbook.llm.shared import WORD, materialise, salted_left_join
+from cairnbook.llm.shared import WORD, materialise, mix, salted_left_join
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -27,10 +27,9 @@ MOST_PASSES = 2
 SEED = 20240229
 #: Rows of one source and length that share a hash cell, about.
 CELL = 512
-#: Longest remaining budget (words) that the dynamic programme covers, in lengths of the source's longest text.
-SPAN = 3
-#: A budget of so many words at most is left to the dynamic programme as a whole.
-EXACT_WORDS = 1 << 17
+#: Words to either side of the proportional share that the last repair covers; a longer text widens it.
+WIDTH = 1 << 21
+
 
 
 def text_size() -> Column:
@@ -59,54 +58,74 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, span: int = SPAN) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each length to take (at most counts) for a sum as near the budget as can be reached.
 
-    A proportional share of every length comes first; what is left, at most span times the longest length where the
-    counts allow it, goes to the dynamic programme: reachable sums are bits of one integer, each length is offered in
-    powers of two up to its count, and the first item to reach a sum is kept for the way back."""
+    Every length gives its proportional share, rounded up or down so that the words owed stay under half a text. What
+    is owed at the end is repaired by few documents of each length, by more only if few don't reach the nearest sum."""
     take = np.zeros(len(lengths), np.int64)
     have = int((lengths * counts).sum())
     if not have or budget <= 0:
         return take
     if budget >= have:
         return counts.copy()
-    longest = int(lengths.max())
-    if budget + longest <= EXACT_WORDS:
-        span = EXACT_WORDS // longest
-    share = max(0.0, budget - span * longest) / have
-    take = np.minimum(counts, np.floor(counts * share).astype(np.int64))
-    rest = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # flooring left up to one document of each length
-        if rest <= span * longest:
-            break
-        more = min(int(counts[i] - take[i]), int((rest - span * longest) // lengths[i]) + 1)
-        take[i] += more
-        rest -= more * int(lengths[i])
-    top = int(math.ceil(rest)) + longest
-    items, reach, mask = [], 1, (1 << (top + 1)) - 1
-    found = np.full(top + 1, -1, np.int64)
-    for i, (length, n) in enumerate(zip(lengths.tolist(), (counts - take).tolist(), strict=True)):
-        n, step = min(n, top // length), 1
-        while n > 0:
-            k = min(step, n)
-            n, step = n - k, step * 2
-            new = ((reach << (k * length)) & mask) & ~reach
-            if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")
-                found[np.flatnonzero(bits[: top + 1])] = len(items)
-                reach |= new
-            items.append((i, k))
-        if len(items) and reach == mask:
+    share = counts * (budget / have)
+    take, owed = np.minimum(counts, np.floor(share).astype(np.int64)), 0.0
+    for i in np.argsort(lengths, kind="stable"):
+        owed += float(share[i] - take[i]) * int(lengths[i])
+        if take[i] < counts[i] and 2 * owed >= lengths[i]:
+            take[i] += 1
+            owed -= int(lengths[i])
+    rest, step, most = budget - int((take * lengths).sum()), 1, int(counts.max())
+    while True:
+        change, exact = _repair(lengths, counts, take, rest, step, step >= most)
+        if exact or step >= most:
+            return take + change
+        step = min(2 * step, most)
+
+
+def _repair(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, rest: float, step: int, last: bool) -> tuple[np.ndarray, bool]:
+    """Documents to add or remove (at most `step` of each length) for a sum near rest, and whether none is nearer.
+
+    Reachable sums are bits of one integer; each length, in seeded order, is offered in powers of two both ways, and
+    the first item to reach a sum is kept for the way back."""
+    longest, unit = int(lengths.max()), int(np.gcd.reduce(lengths))
+    add, remove = np.minimum(counts - take, step), np.minimum(take, step)
+    width = max(int(math.ceil(abs(rest))) + longest, WIDTH if last else min(step * longest, WIDTH))
+    down, up = min(int((remove * lengths).sum()), width), min(int((add * lengths).sum()), width)
+    nearest = down + round(rest / unit) * unit
+    size = down + up + 1
+    items, reach, mask = [], 1 << down, (1 << size) - 1
+    found = np.full(size, -1, np.int32)
+
+    def offered():
+        for i in np.argsort(mix(lengths.astype(np.uint64) + np.uint64(SEED)), kind="stable").tolist():
+            for sign, n in ((-1, int(remove[i])), (1, int(add[i]))):
+                n, k = min(n, size // int(lengths[i])), 1
+                while n > 0:
+                    yield i, sign * min(k, n)
+                    n, k = n - k, 2 * k
+
+    exact = nearest == down
+    for i, k in () if exact else offered():
+        by = k * int(lengths[i])
+        new = ((reach << by) & mask if by > 0 else reach >> -by) & ~reach
+        if new:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")
+            found[np.flatnonzero(bits[:size])] = len(items)
+            reach |= new
+        items.append((i, k))
+        exact = 0 <= nearest < size and bool(found[nearest] >= 0)
+        if exact:
             break
-    sums = np.flatnonzero(found >= 0)
-    sums = np.concatenate([[0], sums[sums > 0]])
-    at = int(sums[np.argmin(np.abs(sums - rest))])
-    while at:
+    sums = np.union1d(np.flatnonzero(found >= 0), [down])
+    at = int(sums[np.argmin(np.abs(sums - down - rest))])
+    change = np.zeros(len(lengths), np.int64)
+    while at != down:
         i, k = items[found[at]]
-        take[i] += k
+        change[i] += k
         at -= k * int(lengths[i])
-    return take
+    return change, exact
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:

@@ -110,3 +110,17 @@ def test_knapsack_is_as_near_as_brute_force():
         took = mixing.fit_counts(lengths, counts, budget)
         assert (took <= counts).all() and (took >= 0).all()
         assert abs((took * lengths).sum() - budget) <= min(abs(s - budget) for s in sums) + 1e-9
+
+
+def test_every_length_gives_its_share():
+    took = mixing.fit_counts(np.array([10, 20, 30, 40]), np.array([10, 10, 10, 10]), 300.0)
+    assert took.tolist() == [3, 3, 3, 3]
+    # one very long text doesn't leave the choice of all others to the repair
+    lengths, counts = np.array([*range(1, 51), 100_000]), np.array([1000] * 50 + [1])
+    budget = 400_000.0
+    took = mixing.fit_counts(lengths, counts, budget)
+    assert (took * lengths).sum() == budget
+    assert np.abs(took - counts * budget / (lengths * counts).sum())[:50].max() <= 150 and (took[:50] > 0).all()
+    lengths, counts = np.arange(1, 2001), np.full(2000, 3)
+    took = mixing.fit_counts(lengths, counts, 1_500_000.0)
+    assert (took * lengths).sum() == 1_500_000 and abs((took * lengths)[1500:].sum() / (lengths * counts)[1500:].sum() - 0.25) < 0.02
