@@ -4,8 +4,9 @@ Generators propose spans, some of which overlap: the four base patterns, and wid
 together, grouped card numbers, telephone numbers without a plus, disguised addresses and secrets. Each proposal has a
 few small-valued format and context features. Validators (Luhn, octets, digit counts, an assignment before a secret)
 label a part of them; counts of labelled proposals per feature cell, over all documents, train boosted trees, whose
-scores become thresholds that keep a stated precision on held-out documents. Proposals at or above the threshold that
-pass their validator are added to the base spans.
+scores become thresholds that keep a stated precision on held-out documents, for kinds of which held-out proposals that
+pass their validator hold both labels. Proposals at or above the threshold that pass their validator are added to the
+base spans, except addresses and numbers whose form or context labels them false.
 
 Scale: two passes over the texts and no shuffle of them. Only counts per feature cell (at most CELLS rows, whatever the
 input) reach the driver; the trees go back as CASE expressions.
@@ -48,11 +49,17 @@ CONTEXT = [
     (2, r"(?:phone|tel|call|mobile|fax)[^A-Za-z]{0,6}$"),
     (3, r"(?:card|visa|credit|iban|account)[^A-Za-z]{0,6}$"),
     (4, r"(?:mail|contact|write to)[^A-Za-z]{0,6}$"),
+    (6, r"\b(?:order|invoice|isbn|serial|sku|version|release|section)\b[^a-z]{0,3}(?:(?:no|nr|number|id|ref)\b)?[^a-z]{1,6}$"),
     (5, r"(?:order|invoice|isbn|ref|no|id)[^A-Za-z]{1,6}$"),
 ]
+#: Left contexts that name a person's data, and the one that names numbers of other things.
+PHONE_CONTEXT, OTHER_CONTEXT = 2, 6
+#: Last label of an address: letters of one case.
+LAST_LABEL = r"(?:\.|\(dot\)|\[dot\])\x20?(?:[a-z]{2,}|[A-Z]{2,})$"
 CONTEXT_CHARACTERS = 24
-#: Values of each feature: generator, digits, separators, left context, character before, character after, letters.
-FEATURES = {"gen": len(BASE) + len(GENERATORS), "digits": 7, "seps": 5, "ctx": 6, "prev": 3, "next": 3, "letters": 3}
+#: Values of each feature: generator, digits, separators, left context, character before, character after, letters,
+#: spaces inside, last label.
+FEATURES = {"gen": len(BASE) + len(GENERATORS), "digits": 7, "seps": 5, "ctx": 7, "prev": 3, "next": 3, "letters": 3, "spaces": 2, "last": 2}
 CELLS = math.prod(FEATURES.values())
 ROUNDS, RATE, RIDGE = 40, 0.3, 1.0
 #: Least share of true labels among held-out proposals at or above a threshold that pass their validator, as all added
@@ -151,24 +158,29 @@ def _featured(x: Column) -> Column:
     prev = side(F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit("")))
     after = side(F.substring(text, x["e"] + 1, F.lit(1)))
     letters = F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("^[0-9a-f]+$"), 1).otherwise(2)
+    spaces, last = m.contains("\x20").cast("int"), m.rlike(LAST_LABEL).cast("int")
     kind = _one_of(x["gen"], _KIND_OF)
     ok = F.lit(True)
     for k in KINDS:
         ok = F.when(kind == k, _valid(k, m)).otherwise(ok)
-    # base matches are labelled by their validators, secrets by what is assigned to a telling name
-    label = F.when(kind == "secret", ok & (ctx == 1)).when(x["gen"] < len(BASE), ok).when(~ok, F.lit(False))
+    # base matches are labelled by their validators, secrets by what is assigned to a telling name; of the wider matches
+    # that pass, those in a telling context or without a last label of an address
+    wide = x["gen"] >= len(BASE)
+    label = F.when(kind == "secret", ok & (ctx == 1)).when(~wide, ok).when(~ok, F.lit(False))
+    label = F.when(wide & ok & (kind == "phone") & (ctx == PHONE_CONTEXT), F.lit(True)).when(wide & (kind == "email") & (last == 0), F.lit(False)).otherwise(label)
     same_base = F.lit(False)
     for k in BASE_KINDS:
         same_base = same_base | ((kind == k) & F.exists(f"_{k}", lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"])))
     label = F.when(same_base, F.lit(True)).otherwise(label)
-    values = {"gen": x["gen"], "digits": digits, "seps": seps, "ctx": ctx, "prev": prev, "next": after, "letters": letters}
+    label = F.when(kind.isin("card", "phone", "ip") & (ctx == OTHER_CONTEXT), F.lit(False)).otherwise(label)
+    values = {"gen": x["gen"], "digits": digits, "seps": seps, "ctx": ctx, "prev": prev, "next": after, "letters": letters, "spaces": spaces, "last": last}
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), ok.alias("ok"), label.alias("y"), *(c.cast("int").alias(f) for f, c in values.items()))
 
 
 def _boost(cells: list[tuple[tuple[int, ...], float, float]]) -> list[tuple]:
     """Boosted depth-two trees for the logistic loss. cells: (feature values, true labels, false labels). A tree is
     (test, leaf or (test, yes, no), ...), a test (feature position, value)."""
-    width = len(FEATURES)
+    width = len(cells[0][0])
     score, trees = [0.0] * len(cells), []
 
     def leaf(own: list[int], grads: list[tuple[float, float]]) -> float:
@@ -223,6 +235,20 @@ def _score(trees: list, x: tuple[int, ...]) -> float:
     return total
 
 
+def _threshold(scored: list[tuple[float, float, float]]) -> float:
+    """The least score at or above which the share of true labels is PRECISION. scored: (score, true, false labels).
+    Without false labels there is nothing to calibrate on, and it is the least score of a true label."""
+    scored = sorted(scored, reverse=True)
+    good = bad = 0.0
+    least = math.inf
+    for k, (score, pos, neg) in enumerate(scored):
+        good, bad = good + pos, bad + neg
+        last_of_score = k + 1 == len(scored) or scored[k + 1][0] < score
+        if last_of_score and good >= SUPPORT and good >= PRECISION * (good + bad):
+            least = score
+    return least
+
+
 def fit(docs: DataFrame) -> dict:
     """The model: trees, and the threshold of each kind (infinite where held-out proposals don't support one).
 
@@ -237,14 +263,8 @@ def fit(docs: DataFrame) -> dict:
     trees = _boost(training) if training else []
     thresholds = {}
     for kind in KINDS:
-        scored = sorted(((_score(trees, x), pos, neg) for x, pos, neg in cells([r for r in rows if r["held"] and r["ok"] and r["kind"] == kind])), reverse=True)
-        good = bad = 0.0
-        thresholds[kind] = math.inf
-        for k, (score, pos, neg) in enumerate(scored):
-            good, bad = good + pos, bad + neg
-            last_of_score = k + 1 == len(scored) or scored[k + 1][0] < score
-            if last_of_score and good >= SUPPORT and good >= PRECISION * (good + bad):
-                thresholds[kind] = score
+        held_out = cells([r for r in rows if r["held"] and r["ok"] and r["kind"] == kind])
+        thresholds[kind] = _threshold([(_score(trees, x), pos, neg) for x, pos, neg in held_out])
     return {"trees": trees, "thresholds": thresholds}
 
 
@@ -270,13 +290,14 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
             total = F.lit(0.0)
             for tree in model["trees"]:
                 total = total + _tree_sql(tree, x)
-            return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["ok"].alias("ok"), total.alias("score"))
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["ok"].alias("ok"), x["y"].alias("y"), total.alias("score"))
 
         def enough(x: Column) -> Column:
             least = F.lit(math.inf)
             for k in minded:
                 least = F.when(x["kind"] == k, F.lit(float(model["thresholds"][k]))).otherwise(least)
-            return x["ok"] & (x["score"] >= least - 1e-9)
+            refused = ~x["kind"].isin("card", "secret") & (x["y"] == F.lit(False))
+            return x["ok"] & ~F.coalesce(refused, F.lit(False)) & (x["score"] >= least - 1e-9)
 
         base_spans = F.concat(*[F.col(f"_{k}") for k in BASE_KINDS])
 

@@ -105,3 +105,17 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     got = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, last.collect())) and got.count() == docs.count()
+
+
+def test_clean_text_with_wide_matches_stays(spark, model):
+    texts = ["we sold apples @ 2.50 today", "see you @ home.Then we go", "your invoice 100-200-3000 is due", "order no. 100-200-3000"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(pii.find(rows, model)).collect()} == dict(enumerate(texts))
+
+
+def test_thresholds_calibrate_on_both_labels(spark):
+    texts = [f"a{i} call 555-010-{1000 + i} now" for i in range(200)] + [f"a{i} invoice 555-010-{1000 + i} now" for i in range(200)]
+    every = pii._proposed(spark.createDataFrame([(t,) for t in texts], "text string")).select(F.explode(F.transform("_all", pii._featured)).alias("p")).select("p.*")
+    labels = {(r["ok"], r["y"]): r["n"] for r in every.filter("kind = 'phone'").groupBy("ok", "y").agg(F.count("*").alias("n")).collect()}
+    assert labels == {(True, True): 200, (True, False): 200}
+    assert pii._threshold([(2.0, 50.0, 1.0), (0.5, 50.0, 40.0)]) == 2.0
