@@ -10,21 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnbook.llm import byte_bpe, mixing, near_dedup, pii, quality
-from cairnbook.llm.shared import materialise
+from cairnbook.llm.shared import materialise, salted_left_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with _row, a key that only equal rows share, and whether there can be equal rows: the doc_id, or where it is
+    null or not the row's alone, a hash of the row, above all doc_ids below 2 ** 62."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("doc_id is null or _n > 1").select("doc_id", F.lit(True).alias("_shared"))
+    if shared.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), False
+    hashed = F.xxhash64(*COLUMNS).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    marked = salted_left_join(docs, shared, ["doc_id"])
+    return marked.withColumn("_row", F.when(F.col("_shared"), hashed).otherwise(F.col("doc_id").cast("long"))).drop("_shared"), True
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the rules reject. Null doc_ids can't be judged one by one and go."""
-    bad = quality.quality_rules(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").filter("doc_id is not null").select(*COLUMNS)
+    """Drops the rows that the rules reject, each judged by its own text."""
+    docs, _ = _keyed(docs)
+    bad = quality.quality_rules(docs, "_row").filter(~F.col("kept")).select("_row").distinct()
+    return docs.join(bad, "_row", "left_anti").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, its least doc_id."""
-    copies = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one document of each group of near copies: its least doc_id; rows whose doc_id is null or shared come
+    after all others."""
+    docs, _ = _keyed(docs)
+    copies = near_dedup.near_duplicates(docs, "_row").filter(~F.col("kept")).select("_row").distinct()
+    return docs.join(copies, "_row", "left_anti").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +49,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.mix_sources(docs).select("doc_id", "repeats").filter("repeats > 0")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
+    docs, equal = _keyed(docs)
+    taken = mixing.mix_sources(docs, "_row").select("_row", "repeats").filter("repeats > 0")
+    if equal:
+        docs, taken = docs.dropDuplicates(["_row"]), taken.groupBy("_row").agg(F.sum("repeats").cast("int").alias("repeats"))
+    return docs.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,3 +119,21 @@ def test_thresholds_calibrate_on_both_labels(spark):
     labels = {(r["ok"], r["y"]): r["n"] for r in every.filter("kind = 'phone'").groupBy("ok", "y").agg(F.count("*").alias("n")).collect()}
     assert labels == {(True, True): 200, (True, False): 200}
     assert pii._threshold([(2.0, 50.0, 1.0), (0.5, 50.0, 40.0)]) == 2.0
+
+
+def test_pipeline_keeps_rows_of_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    clean = [(1, text(0)), (1, text(1)), (None, text(2)), (None, text(3)), (2, text(4))]
+    rows = [(i, t, "en", "a", len(t)) for i, t in [*clean, (1, "junk"), (None, "junk"), (3, text(0)), (None, text(3))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = corpus_pipeline.quality_stage(spark, docs, "")
+    assert sorted(r["text"] for r in judged.collect()) == sorted([t for _, t in clean] + [text(0), text(3)])
+    single = corpus_pipeline.near_dedup_stage(spark, judged, "")
+    got = {(r["doc_id"], r["text"]) for r in single.collect()}
+    assert got == {(3, text(0)), *clean[1:]} and single.count() == 5
+    # 300 words may be taken of 200: every row once at least
+    mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mixing_stage(spark, single, "").collect()]
+    assert set(mixed) == got and len(mixed) in (7, 8)
+    assert corpus_pipeline.byte_bpe_stage(spark, single, "").count() == 5
