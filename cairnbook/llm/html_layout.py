@@ -20,7 +20,10 @@ from cairnbook.llm.shared import bounded, pieces, text_or_empty
 # Fixed sets of element names, from the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title"}
-HIDDEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "svg", "math"}
+HIDDEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas"}
+#: Drawings and formulas, and the elements inside them that are not shown.
+FOREIGN = ("svg", "math")
+HIDDEN_FOREIGN = {"desc", "defs", "metadata", "symbol", "clippath", "mask", "marker", "pattern", "annotation", "annotation-xml"}
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
     "h4", "h5", "h6", "header", "hgroup", "hr", "li", "dd", "dt", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
@@ -121,7 +124,16 @@ class TreeBuilder:
         self.cut(at)
         return True
 
-    def start(self, tag: str, attributes: dict[str, str] | None) -> None:
+    def foreign(self, tags: tuple[str, ...] = FOREIGN) -> bool:
+        return any(self.scopes[-1][1].get(t) for t in tags)
+
+    def start(self, tag: str, attributes: dict[str, str] | None, closed: bool = False) -> None:
+        """closed: the tag ends in a slash, which closes drawings, formulas and elements inside them."""
+        if self.foreign():
+            if tag in HIDDEN_FOREIGN:
+                attributes = {**(attributes or {}), "hidden": ""}
+            elif tag == "text":
+                self.stack[-1].children.append(" ")
         if tag in ("html", "body", "head"):
             if tag == "head" and len(self.stack) == 1:
                 self.push(Node("head"))
@@ -148,7 +160,7 @@ class TreeBuilder:
                 self.push(Node("tbody"))
         elif tag in SECTION or tag in ("caption", "colgroup"):
             self.to_table(())
-        if tag in VOID:
+        if tag in VOID or closed:
             self.stack[-1].children.append(Node(tag, attributes))
         else:
             self.push(Node(tag, attributes))
@@ -174,6 +186,8 @@ class TreeBuilder:
             self.end_in_table(tag)
         else:
             self.close(tag)
+            if tag == "text" and self.foreign(("svg",)):
+                self.stack[-1].children.append(" ")
 
     def end_in_table(self, tag: str) -> None:
         if not self.tables:
@@ -214,8 +228,9 @@ def parse(html: str) -> Node:
         if m[1]:
             builder.end(tag)
             continue
-        builder.start(tag, _attributes(m[3]))
-        if tag in RAW:
+        closed = m[3].endswith("/") and m[3][-2:-1] in ("", " ", "\t", "\n", '"', "'") and (tag in FOREIGN or builder.foreign())
+        builder.start(tag, _attributes(m[3]), closed)
+        if tag in RAW and not closed:
             lower = lower or html.lower()
             stop = lower.find("</" + tag, at) if len(lower) == len(html) else html.find("</" + name, at)
             stop = len(html) if stop < 0 else stop
@@ -296,9 +311,13 @@ class Flow:
         return self.lines
 
 
-def _number(a: dict[str, str] | None, name: str, otherwise: int, most: int = 1000) -> int:
+def _number(a: dict[str, str] | None, name: str, otherwise: int, most: int | None = None) -> int:
     value = (a or {}).get(name, "").strip()
-    return min(int(value), most) if re.fullmatch(r"-?[0-9]{1,6}", value) else otherwise
+    if not re.fullmatch(r"[-+]?[0-9]+", value):
+        return otherwise
+    if most is not None:
+        return min(int(value), most) if len(value) < 20 else most if value[0] != "-" else otherwise
+    return int(value) if len(value) < 20 and abs(int(value)) < 1 << 31 else otherwise
 
 
 def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -343,7 +362,7 @@ def render(root: Node) -> str:
                 lines = flows.pop().finish()
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((lines, max(1, _number(node.attributes, "colspan", 1))))
+                tables[-1][-1].append((lines, max(1, _number(node.attributes, "colspan", 1, 1000))))
             elif tag == "table" and tables:
                 lines = _aligned(tables.pop())
                 flow.block(True)

@@ -62,6 +62,20 @@ def test_layout(html, text):
     assert html_layout.extract_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<ol start=2001><li>a<li>b<li value=1234567>c<li>d</ol>", "2001. a\n2002. b\n1234567. c\n1234568. d"),
+        ("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> is", "sum x+1 is"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><defs/><text>Mon</text><text>Tue</text></svg>end", "Mon Tue end"),
+        ("<svg/><p>a<desc>b</desc>", "ab"),
+        ("<table><tr><td colspan=5000>a<td>b</table>", "a" + " " * 1999 + "b"),
+    ],
+)
+def test_long_numbers_formulas_and_drawings(html, text):
+    assert html_layout.extract_text(html) == text
+
+
 def test_all_visible_text_is_kept(spark):
     class Plain(HTMLParser):
         def __init__(self):
