@@ -100,7 +100,7 @@ def human_size(n: Column) -> Column:
     out = F.format_string("%.1f TB", F.bround(n / float(1 << 40), 1))
     for shift, unit in ((40, "GB"), (30, "MB"), (20, "KB")):
         out = F.when(n < float(1 << shift), F.format_string(f"%.1f {unit}", F.bround(n / float(1 << (shift - 10)), 1))).otherwise(out)
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n.isNotNull(), out)
 
 
 def object_id(n: Column) -> Column:

@@ -281,7 +281,7 @@ def _(s, d):
 
 @query("F03_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
 def _(s, d):
-    return read(s, d, "documents").filter("n_chars < 1048576").select("doc_id", tx.human_size(F.col("n_chars")).alias("size"))
+    return read(s, d, "documents").select("doc_id", tx.human_size(F.col("n_chars")).alias("size"))
 
 
 @query("F05_url_canonical", f"WITH {sql.URL} SELECT page_id, normalized_url, domain FROM u")

@@ -48,3 +48,10 @@ def test_query_equals_its_sql(spark, small, duck, name):
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and {"query_id", "object_id", "score", "rank"} <= set(df.columns)
+
+
+def test_human_size_of_every_document(spark, tmp_path):
+    sizes = [5, 2048, 3 << 20, 5 << 30, 7 << 40, None]
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["size"] for r in entry.queries()["F03_human_size"](spark, str(tmp_path)).collect()}
+    assert got == {0: "5 B", 1: "2.0 KB", 2: "3.0 MB", 3: "5.0 GB", 4: "7.0 TB", 5: None}
