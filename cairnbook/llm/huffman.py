@@ -13,6 +13,7 @@ order. Files are named per attempt and listed by the tasks that succeeded.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,13 +22,14 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairnbook.llm.files import new_file, reading, writing
-from cairnbook.llm.shared import bounded, fresh_path, materialise, pieces, text_or_empty
+from cairnbook.llm.shared import bounded, fresh_path, materialise, pieces, text_or_empty, utf8_parts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -37,57 +39,100 @@ BLOCK_IDS, STRIDE = 1 << 16, 64
 #: Ids of a file, about.
 FILE_IDS = 1 << 23
 MAGIC = b"HUFT1\n"
-CACHE = 250_000
+#: Words whose ids a worker remembers, at most.
+CACHE = 1_000_000
+#: Words of ASCII signs and the letters of Latin-1, which NFC leaves alone and which lower-case one by one.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The vocabulary's own pattern and normaliser, and the pattern for lower-case plain words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+TAIL = ".,;:!?$"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet, as a table for str.translate over Latin-1: printable bytes stand for themselves, the
+    others for the letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+#: ASCII white space as spaces, and the same with capitals folded.
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[9:14] = 32
+_FOLD = _SPACES.copy()
+_FOLD[65:91] += 32
 
 
 class WordTokenizer:
-    """The tokenizers library's ids of whole texts. Its pattern drops white space and its normaliser works on
-    characters, so no token reaches over ASCII white space: each distinct word is encoded by the library once."""
+    """Ids of words by the tokenizers library, packed; a word is encoded when it is first met.
+
+    The vocabulary's pattern drops white space and its normaliser lower-cases and works on characters, so no token
+    reaches over ASCII white space, and ASCII capitals can be folded first where no special token can stand. A plain
+    word's parts go straight to the library's BPE model; any other word goes through the whole library."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.model, self.letters = self.library.model, _byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pack = struct.Struct("<I" if self.library.get_vocab_size() > 1 << 16 else "<H")
+        spec = json.load(open(path, encoding="utf-8"))
         # special tokens are found in the raw text; one with white space inside would reach over words
-        specials = [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
+        specials = [t["content"] for t in spec.get("added_tokens", [])]
         assert not any(c.isspace() for s in specials for c in s)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.stems) > CACHE:
-            self.stems.clear()
-        seen: set[bytes] = set()
-        for w in words:
-            seen.update(w)
-        new = {w: self._parts(w) for w in seen if w not in self.known}
-        stems = [s for s in {s for parts in new.values() for s in parts} if s not in self.stems]
-        encoded = self.library.encode_batch_fast([s.decode() for s in stems], add_special_tokens=False)
-        for s, e in zip(stems, encoded, strict=True):
-            self.stems[s] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, parts in new.items():
-            self.known[w] = b"".join(map(self.stems.__getitem__, parts))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > 256:
-                del self.known[w]
-        for s in stems:
-            if len(s) > 256:
-                del self.stems[s]
-        return out
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        """A word as parts that the library encodes alike apart: it lower-cases, and its pattern ends a token between a
-        letter or digit and full stops or commas. Words that could hold a special token stay as they are."""
-        if b"<|" in word:
-            return (word,)
-        stem = word.rstrip(b".,")
-        if stem == word or not stem[-1:].isalnum():
-            return (word.lower(),)
-        return (stem.lower(), word[len(stem):])
+        split, steps = spec["pre_tokenizer"]["pretokenizers"][0], [x["type"] for x in spec["normalizer"]["normalizers"]]
+        self.direct = split["pattern"] == {"Regex": PATTERN} and steps == NORMALISERS and all(s.startswith("<|") for s in specials)
+
+    def _ids(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        stem = word.rstrip(TAIL) if self.direct else word  # the pattern ends a token between a letter or digit and such a sign
+        if stem != word and "<|" not in word and stem[-1:].isalnum() and stem[-1:] < "\u0100":
+            return self._ids(stem) + self._ids(word[len(stem):])
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._new(word)
+        if len(word) <= 256:
+            self.known[word] = ids
+        return ids
+
+    def _new(self, word: str) -> bytes:
+        if not self.direct or "<|" in word:
+            return self._packed(self.library.encode(word, add_special_tokens=False).ids)
+        if word.isascii() and word.islower() and word.isalpha():
+            return self._packed([t.id for t in self.model.tokenize(word)])
+        if not PLAIN.fullmatch(word):
+            return self._packed(self.library.encode(word, add_special_tokens=False).ids)
+        parts = PARTS.findall(word.lower())
+        if len(parts) > 1:
+            return b"".join(map(self._ids, parts))
+        letters = parts[0] if word.isascii() else parts[0].encode().decode("latin-1").translate(self.letters)
+        return self._packed([t.id for t in self.model.tokenize(letters)])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.pack.format[-1]}", *ids)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, little-endian, in 16 bits if the vocabulary allows, else in 32. Null: none."""
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        raw, stops = utf8_parts(texts)
+        folds = self.direct and b"<|" not in raw.tobytes()
+        raw = (_FOLD if folds else _SPACES)[raw]
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(stops), pa.py_buffer(raw))
+        words = pc.split_pattern(texts, " ")
+        distinct = words.flatten().dictionary_encode()
+        packed = pa.array(map(self._ids, distinct.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary())
+        ids = packed.take(distinct.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        stops = ends[np.cumsum(pc.list_value_length(words).to_numpy())].tolist()
+        data = memoryview(ids.buffers()[2])
+        return [bytes(data[i:k]) for i, k in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -98,17 +143,17 @@ def _tokenizer(path: str) -> WordTokenizer:
 def tokenise(docs: DataFrame, path: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """docs: doc_id (integer), text. Returns doc_id, n_tokens and ids (binary: little-endian unsigned 16-bit integers
     if the vocabulary allows, else 32-bit), end_id appended. Null text: the end id alone."""
-    wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        end = struct.pack("<I", end_id)
-        for batch in pieces(batches, "text", 2 << 20):
-            ids = [np.frombuffer(x + end, "<u4") for x in _tokenizer(path).encode(batch.column("text").to_pylist())]
-            packed = [x.tobytes() if wide else x.astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        known = _tokenizer(path)
+        end = known.pack.pack(end_id)
+        for batch in pieces(batches, "text", 4 << 20):
+            ids = [x + end for x in known.encode(batch.column("text"))]
+            sizes = [len(x) // len(end) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return bounded(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -36,7 +37,7 @@ def test_byte_bpe_equals_tiktoken(request, library, table):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(st.sampled_from(" \n\t\r\x0b\x1c\x85  ab's'tréZ中🙂1²_.<|>\x00é"), max_size=30), min_size=1, max_size=4))
 def test_byte_bpe_on_odd_texts(library, texts):
     codec = byte_bpe.codec(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
@@ -63,6 +64,17 @@ def test_huffman_files(request, table):
         start += len(ids)
 
 
+ODD = [*"abcXYZ'’sßéÉÀÿµª²½ 09.,!#\n\t–İıǅſKé°$", "<|endoftext|>", "<|", "|>", "'re", "'LL", "don't", "日本", "\u0301", "\u00ad", "\u2028", "\x1c", "\x85", "A\u030a"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=14).map("".join), max_size=4))
+def test_words_apart_are_encoded_like_whole_texts(texts):
+    library, words = Tokenizer.from_file(huffman.VOCABULARY), huffman._tokenizer(huffman.VOCABULARY)
+    found = words.encode(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u2").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty(empty):
     assert byte_bpe.digests(byte_bpe.encode(empty, with_decoded=True)).count() == 0
     assert huffman.read_files(huffman.write_token_files(empty)).count() == 0
