@@ -45,6 +45,16 @@ def test_query_equals_its_sql(spark, small, duck, name):
     assert got == Counter(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
+@pytest.mark.parametrize("missing", ["sentencepiece", "cairnbook.llm", "corpus_pipeline"])
+def test_the_store_needs_no_training_data_part(missing):
+    import subprocess
+    import sys
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert set(e.store.QUERIES) <= set(e.queries()); print('pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=entry.HERE, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "False", done.stderr
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and {"query_id", "object_id", "score", "rank"} <= set(df.columns)
