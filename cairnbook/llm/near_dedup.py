@@ -4,8 +4,11 @@ components by alternating large-star and small-star.
 Plan: texts are read once for their shingle-set keys, minima and band hashes. Copies of one set are one class, and its
 least document stands for it. In each band bucket all members are paired with its least and its greatest member only;
 signatures, then full shingle sets, confirm the pairs. Members of a bucket that these links leave in different
-components are compared afterwards, in blocks, so no candidate of the banding is lost, while a bucket of many near
-copies, or of a common passage, never becomes rows for all its pairs.
+components go through an exact prefix filter: two sets of the asked similarity share one of their rarest shingles, a
+fifth of each and one more, so documents that only share a common passage drop out. What still shares such a shingle is
+paired with the least and greatest of its holders in turn, and what that leaves apart is compared in packed blocks. So
+no candidate of the banding is lost, and neither a group of near copies nor a common passage becomes rows for all its
+pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ PERCENT = 80
 #: A signature keeps the low PLANES bits of each minimum, one bit plane after the other, in longs of LANE bits.
 PLANES, LANE = 4, 48
 LONGS = PLANES * BANDS * ROWS // LANE
-#: Documents, and shingles, of a block of documents that are compared with another block.
+#: Documents, and shingles, of a block of documents that are compared with another block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 80_000
 #: Signatures drop a pair whose estimate is below the threshold by SLACK, five standard errors at 0.8.
 SLACK = 0.175
@@ -75,7 +78,7 @@ def _sign(size: int):
             for i, own in enumerate(shingle_sets(batch.column("text"), size)):
                 counts[i] = len(own)
                 if len(own):
-                    key1[i], key2[i] = own.sum(), mix(own + np.uint64(99)).sum()
+                    key1[i], key2[i] = _keys(own)
                     least[i] = minima(own)
             bands = np.arange(BANDS, dtype=np.uint64) + np.zeros((n, 1), np.uint64)  # the band is part of its key
             for r in range(ROWS):
@@ -89,11 +92,18 @@ def _sign(size: int):
     return run
 
 
+def _keys(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two 64-bit sums that tell sets apart."""
+    return own.sum(dtype=np.uint64), mix(own + np.uint64(99)).sum(dtype=np.uint64)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            own = [x.tobytes() for x in shingle_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
+            sets = list(shingle_sets(batch.column("text"), size))
+            keys = np.array([_keys(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            arrays = [batch.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key1", "key2", "shingles"])
 
     return run
 
@@ -137,11 +147,18 @@ def _with_both(pairs: DataFrame, side: DataFrame, values: list[str]) -> DataFram
     return pairs
 
 
-def _set_table(docs: DataFrame, ids: DataFrame, shingle_words: int, name: str) -> DataFrame:
-    """The shingle sets of the documents in ids (doc_id); only their texts are read again."""
+def _set_table(docs: DataFrame, stands: DataFrame, met: DataFrame, shingle_words: int, name: str) -> DataFrame:
+    """The shingle sets of the documents in met (doc_id); only their texts are read again. Where rows share a doc_id,
+    the set is that of the text whose signature stands."""
     # the ids grow with the documents: they are never broadcast, however few they are here
-    texts = docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", text_or_empty().alias("text"))
-    return materialise(texts.mapInArrow(_sets(shingle_words), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), name)
+    ids = stands.select("doc_id", F.col("key1").alias("_k1"), F.col("key2").alias("_k2")).join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.join(ids.hint("merge"), "doc_id").select("doc_id", "_k1", "_k2", text_or_empty().alias("text"))
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(shingle_words), "doc_id long, key1 long, key2 long, shingles binary")
+    repeated = stands.filter("rows > 1").select("doc_id").distinct()
+    if repeated.isEmpty():
+        return materialise(sets.select("doc_id", "shingles"), name)
+    own = sets.join(ids, "doc_id").filter("key1 = _k1 and key2 = _k2")
+    return materialise(own.select("doc_id", "shingles").dropDuplicates(["doc_id"]), name)
 
 
 def _confirmed(likely: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -149,58 +166,119 @@ def _confirmed(likely: DataFrame, sets: DataFrame, percent: int, name: str) -> D
     return materialise(_with_both(likely, sets, ["shingles"]).mapInArrow(_confirm(percent), "a long, b long"), name)
 
 
+def _prefixes(percent: int):
+    """Of each document the rarest shingles that a similar one must share: (percent of its n, rounded up) - 1 shingles
+    stay outside. Shingles that no other torn document has come first and have no partner."""
+    outside = F.ceil(F.col("n_shingles") * percent / 100) - 1
+    return F.expr("array_sort(shared)"), F.size("shared") - outside
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            own = np.frombuffer(batch.column("shingles")[at].as_py(), np.int64)
+            doc = np.full(len(own), batch.column("doc_id")[at].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(own)], names=["doc_id", "token"])
+
+
+def _prefix_posts(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """torn: doc_id, component, n_shingles. Returns doc_id, component, n_shingles, token for the prefix shingles that
+    another torn document has. Any order of shingles is right; rare ones first leave the fewest candidates."""
+    own = sets.join(torn.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    tokens = materialise(own.mapInArrow(_tokens, "doc_id long, token long"), "torn-tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # narrow rows; a shingle of a common passage is a hot key, which adaptive execution splits
+    shared = tokens.join(common.hint("merge"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    order, left = _prefixes(percent)
+    posts = shared.join(torn, "doc_id").filter(left > 0).select("doc_id", "component", "n_shingles", F.explode(F.slice(order, F.lit(1), left.cast("int"))).alias("t"))
+    return posts.select("doc_id", "component", "n_shingles", "t.token")
+
+
+def _fits(percent: int) -> Column:
+    return 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+
+
+def _torn_stars(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between holders of one token and its least and greatest holder, of another component."""
+    ends = posts.groupBy("token").agg(*(f(F.struct("doc_id", "component", "n_shingles")).alias(k) for k, f in (("low", F.min), ("high", F.max))), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    met = posts.join(ends.filter("c1 < c2").drop("c1", "c2"), "token")
+    one = F.struct("doc_id", "component", "n_shingles")
+    pair = F.explode(F.array(F.struct(one.alias("x"), F.col("low").alias("y")), F.struct(F.col("high").alias("x"), one.alias("y"))))
+    pairs = met.select(pair.alias("p")).filter("p.x.component <> p.y.component")
+    pairs = pairs.select(F.col("p.x.doc_id").alias("a"), F.col("p.y.doc_id").alias("b"), F.col("p.x.n_shingles").alias("n_shingles_a"), F.col("p.y.n_shingles").alias("n_shingles_b"))
+    likely = materialise(pairs.filter(_fits(percent)).select("a", "b").distinct(), "torn-stars")
+    return _confirmed(likely, sets, percent, "torn-star-links")
+
+
 def _cross(percent: int):
-    """Links between the documents of two blocks, or inside one: shingles in common are counted for all at once."""
+    """Links between the documents of two packed blocks, or inside one: shingles in common are counted for all at
+    once."""
 
     def run(table: pa.Table) -> pa.Table:
-        side, ids, comps = (table.column(c).to_numpy() for c in ("side", "doc_id", "component"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-        sizes = np.array([len(x) for x in sets])
-        tokens, owner = np.concatenate([sets[i] for i in other]), np.repeat(np.arange(len(other)), sizes[other])
+        packed = table.to_pylist()
+        ids, comps, sets = ([np.array(x[c], np.int64) for x in packed] if c != "shingles" else [[np.frombuffer(y, np.uint64) for y in x[c]] for x in packed] for c in ("ids", "components", "shingles"))
+        mine, other = 0, len(packed) - 1
+        sizes = np.array([len(x) for x in sets[other]])
+        tokens, owner = np.concatenate(sets[other]), np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         out_a, out_b = [], []
-        for i in mine.tolist():
-            if (comps[other] == comps[i]).all():
+        for i, own in enumerate(sets[mine]):
+            apart = comps[other] != comps[mine][i]
+            fits = apart & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+            if not fits.any():
                 continue
-            low, high = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
             n = high - low
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(other))
-            good = (100 * common >= percent * (sizes[i] + sizes[other] - common)) & (comps[other] != comps[i])
-            found = ids[other[good]]
-            out_a.append(np.maximum(found, ids[i]))
-            out_b.append(np.minimum(found, ids[i]))
+            common = np.bincount(owner[at], minlength=len(sizes))
+            found = ids[other][fits & (100 * common >= percent * (len(own) + sizes - common))]
+            out_a.append(np.maximum(found, ids[mine][i]))
+            out_b.append(np.minimum(found, ids[mine][i]))
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(out_a or none), pa.int64()), "b": pa.array(np.concatenate(out_b or none), pa.int64())})
 
     return run
 
 
-def _torn_links(torn: DataFrame, stands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside torn buckets. torn: bucket, doc_id, component, low.
-
-    Documents form blocks of about BLOCK_DOCS (fewer long ones): those of a large component by themselves, others with
-    those that met the same least document. Blocks that share a bucket are compared whole, inside one small group each;
-    pairs of documents never become rows. A block isn't compared with another of its own large component."""
-    homes = torn.groupBy("doc_id").agg(F.min("low").alias("home"), F.first("component").alias("component"))
-    homes = homes.join(stands.select("doc_id", "n_shingles"), "doc_id")
-    large = homes.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK_DOCS // 2).select("component", F.lit(True).alias("large"))
-    homes = salted_left_join(homes, large, ["component"])
-    homes = homes.withColumn("large", F.coalesce("large", F.lit(False))).withColumn("grp", F.when(F.col("large"), F.col("component")).otherwise(F.col("home")))
-    counts = homes.groupBy("large", "grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    homes = salted_left_join(homes, counts, ["large", "grp"])
-    block = F.struct("large", "grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("part"))
+def _torn_blocks(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the holders of one token. Holders form blocks of about BLOCK_DOCS
+    (fewer long ones) that first met at the same token; a block is one packed row, so a pair of blocks that share a
+    token costs two rows, and pairs of documents never become rows."""
+    homes = posts.groupBy("doc_id").agg(F.min("token").alias("home"), F.first("component").alias("component"), F.first("n_shingles").alias("n_shingles"))
+    counts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    homes = salted_left_join(homes, counts, ["home"])
+    block = F.struct("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("part"))
     homes = materialise(homes.select("doc_id", "component", block.alias("block")), "torn-blocks")
-    inside = materialise(torn.select("bucket", "doc_id").join(homes, "doc_id").groupBy("bucket", "block").agg(F.min("component").alias("c1"), F.max("component").alias("c2")), "torn-met")
-    first, second = (inside.select("bucket", F.col("block").alias(f"block{k}"), F.col("c1").alias(f"c1{k}"), F.col("c2").alias(f"c2{k}")) for k in "ab")
+    inside = materialise(posts.select("token", "doc_id").join(homes, "doc_id").groupBy("token", "block").agg(F.min("component").alias("c1"), F.max("component").alias("c2")), "torn-met")
+    first, second = (inside.select("token", F.col("block").alias(f"block{k}"), F.col("c1").alias(f"c1{k}"), F.col("c2").alias(f"c2{k}")) for k in "ab")
     differ = (F.col("c1a") != F.col("c2a")) | (F.col("c1b") != F.col("c2b")) | (F.col("c1a") != F.col("c1b"))
-    met = first.join(second, ["bucket"]).filter((F.col("blocka") <= F.col("blockb")) & differ).select("blocka", "blockb").distinct()
-    met = materialise(met.select("*", F.xxhash64("blocka", "blockb").alias("pair")), "torn-pairs")
-    sides = met.select("pair", "blocka", "blockb", F.explode(F.expr("if(blocka = blockb, array(0), array(0, 1))")).alias("side")).select("pair", "side", F.when(F.col("side") == 0, F.col("blocka")).otherwise(F.col("blockb")).alias("block"))
-    rows = sides.join(homes, "block").join(sets, "doc_id").select("pair", "side", "doc_id", "component", "shingles")
-    return rows.groupBy("pair").applyInArrow(_cross(percent), "a long, b long").distinct()
+    met = first.join(second, ["token"]).filter((F.col("blocka") <= F.col("blockb")) & differ).select("blocka", "blockb").distinct()
+    met = materialise(met, "torn-pairs")
+    sides = met.select(F.explode(F.array_distinct(F.array("blocka", "blockb"))).alias("block"), F.struct("blocka", "blockb").alias("pair"))
+    packed = homes.join(sets, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias("rows"))
+    packed = packed.select("block", F.col("rows.doc_id").alias("ids"), F.col("rows.component").alias("components"), F.col("rows.shingles").alias("shingles"))
+    return sides.join(packed, "block").drop("block").groupBy("pair").applyInArrow(_cross(percent), "a long, b long").distinct()
+
+
+def _relabelled(posts: DataFrame, parts: DataFrame) -> DataFrame:
+    """posts with the components of parts (node, component), where it has the old component as a node."""
+    new = parts.select(F.col("node").alias("_node"), F.col("component").alias("_new"))
+    return posts.join(new, posts["component"] == new["_node"], "left").withColumn("component", F.coalesce("_new", "component")).drop("_node", "_new")
+
+
+def _torn_links(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components among the torn documents (doc_id, component, n_shingles)."""
+    posts = materialise(_prefix_posts(torn, sets, percent), "torn-posts")
+    stars = _torn_stars(posts, sets, percent)
+    ids = posts.select("doc_id", "component").distinct()
+    ends = [ids.select(F.col("doc_id").alias(k), F.col("component").alias(f"component_{k}")) for k in "ab"]
+    joined = stars.join(ends[0], "a").join(ends[1], "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    posts = _relabelled(posts, connected_components(joined))
+    still = posts.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("c1 < c2")
+    # the least and greatest holders were tried with all others
+    posts = posts.join(still.select("token", "low", "high"), "token").filter("doc_id <> low and doc_id <> high").drop("low", "high")
+    return stars.unionByName(_torn_blocks(materialise(posts, "torn-rest"), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -216,9 +294,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     shape = ["n_shingles", "key1", "key2"]
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(some.groupBy(*shape).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "minhash-classes")
-    # one row per class: the only place where a class's signature is read from here on
-    stands = some.join(classes.select(F.col("first").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in shape]), "doc_id").filter(" and ".join(f"{c} = _{c}" for c in shape))
-    stands = materialise(stands.select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id"]), "minhash-stands")
+    # one row per class, of the least class where a doc_id has several: the only place where a signature is read from
+    picks = classes.groupBy("first").agg(F.min(F.struct("key1", "key2", "n_shingles")).alias("pick"), F.sum("copies").alias("rows"))
+    picks = picks.select(F.col("first").alias("doc_id"), *[F.col(f"pick.{c}").alias(f"_{c}") for c in shape], "rows")
+    stands = some.join(picks, "doc_id").filter(" and ".join(f"{c} = _{c}" for c in shape))
+    stands = materialise(stands.select("doc_id", *shape, "bands", "signature", "rows").dropDuplicates(["doc_id"]), "minhash-stands")
     banded = stands.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     # few documents share a bucket with another one; from here on only those rows are read
@@ -229,15 +309,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     fits = _likely("signature_a", "signature_b", "n_shingles_a", "n_shingles_b", percent)
     likely = materialise(_with_both(stars, stands, facts).filter(fits).select("a", "b"), "minhash-stars")
     # one reading of texts serves both confirmations: it takes all that share a bucket
-    sets = _set_table(docs, met, shingle_words, "minhash-sets")
+    sets = _set_table(docs, stands, met, shingle_words, "minhash-sets")
     links = _confirmed(likely, sets, percent, "stars-links")
     parts = materialise(connected_components(links), "minhash-parts")
     # buckets whose members are still apart: the pairs between their components that no star tried
     apart = salted_left_join(met, parts.withColumnRenamed("node", "doc_id"), ["doc_id"]).withColumn("component", F.coalesce("component", "doc_id"))
     inner = apart.filter("doc_id <> low and doc_id <> high")  # the others were tried with all members
     torn = inner.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("bucket")
-    left = materialise(inner.join(torn, "bucket", "left_semi"), "minhash-torn")
-    more = materialise(_torn_links(left, stands, sets, percent), "torn-links")
+    left = inner.join(torn, "bucket", "left_semi").select("doc_id", "component").distinct()
+    left = materialise(left.join(stands.select("doc_id", "n_shingles"), "doc_id"), "minhash-torn")
+    more = _torn_links(left, sets, percent)
     whole = materialise(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "minhash-whole")
     copied = classes.filter("copies > 1").select(*shape, "first")
     out = salted_left_join(signed.select("doc_id", *shape), copied, shape).withColumn("first", F.coalesce("first", "doc_id"))

@@ -53,7 +53,8 @@ def discard(df: DataFrame) -> None:
 
 def salted_left_join(rows: DataFrame, small: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
     """Left join whose left side may hold a third of its rows under one key: those rows go to `salts` places, and
-    each row of the right side (one per key) is copied to all of them. Null keys match null keys."""
+    each row of the right side (one per key) is copied to all of them. Null keys match null keys. The right side grows
+    with the input, and its files say little of its size in memory: it is never broadcast."""
     left = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     for c in on:
@@ -61,7 +62,7 @@ def salted_left_join(rows: DataFrame, small: DataFrame, on: list[str], salts: in
     met = F.lit(True)
     for c in on:
         met = met & left[c].eqNullSafe(right[f"_r_{c}"])
-    joined = left.join(right, met & (left["_salt"] == right["_salt"]), "left")
+    joined = left.join(right.hint("merge"), met & (left["_salt"] == right["_salt"]), "left")
     return joined.drop(left["_salt"]).drop(right["_salt"]).drop(*[f"_r_{c}" for c in on])
 
 
