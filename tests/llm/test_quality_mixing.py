@@ -26,7 +26,7 @@ def base(text):
 def test_base_figures(request, table):
     rows = request.getfixturevalue(table)
     texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-    got = quality.quality_rules(rows, min_group=30).collect()
+    got = quality.quality_rules(rows).collect()
     assert len(got) == rows.count()
     for r in got:
         want = base(texts[r["doc_id"]])
@@ -51,10 +51,50 @@ def test_concentration_finds_the_core(spark):
     good = rng.normal(0, 1, (900, len(quality.VECTOR)))
     bad = rng.normal(8, 0.3, (100, len(quality.VECTOR)))
     rows = [("en", "s", k, *(int(v * quality.UNIT) for v in x)) for k, x in enumerate(np.vstack([good, bad]))]
-    table = spark.createDataFrame(rows, "lang string, source string, u long, " + ", ".join(f"v{i} long" for i in range(len(quality.VECTOR))))
-    fit = {r["grp"]: r for r in quality.fit_mcd(table).collect()}
-    assert len(fit) == 3
-    assert all(np.abs(np.array(r["centre"])).max() < 0.3 for r in fit.values())
+    fit = quality.fit_mcd(spark.createDataFrame(rows, FIXED)).collect()
+    assert len(fit) == 1 and np.abs(np.array(fit[0]["centre"])).max() < 0.3
+
+
+FIXED = "lang string, source string, u long, " + ", ".join(f"v{i} long" for i in range(len(quality.VECTOR)))
+
+
+def fixed(vectors, source="s"):
+    return [("en", source, k, *(round(v * quality.UNIT) for v in x)) for k, x in enumerate(vectors)]
+
+
+def test_a_group_of_sixty_rows_is_judged_by_its_own_estimate(spark):
+    rng = np.random.default_rng(2)
+    p = len(quality.VECTOR)
+    large, small = rng.normal(0, 0.2, (600, p)), rng.normal(3, 0.2, (60, p))
+    fit = {r["source"]: r for r in quality.fit_mcd(spark.createDataFrame(fixed(large) + fixed(small, "t"), FIXED)).collect()}
+    distance = lambda r, x: (x - np.array(r["centre"])) @ np.array(r["inverse"]).reshape(p, p) @ (x - np.array(r["centre"])) / r["factor"]
+    centre = np.array(fit["t"]["centre"])
+    assert (centre > 1).all() and np.abs(np.array(fit["s"]["centre"])).max() < 0.4
+    # few rows say less: their own centre weighs 60 of 110
+    assert np.allclose(centre, (60 * small.mean(0) + 50 * np.array(fit["s"]["centre"])) / 110, atol=0.35)
+    assert distance(fit["s"], np.full(p, 3.0)) > 5 * distance(fit["t"], np.full(p, 3.0))
+
+
+def test_concentration_reaches_the_least_determinant(spark):
+    """All subsets of a tiny table are tried: none has a smaller determinant than the core that was found."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    p = len(quality.VECTOR)
+    x = np.round(np.vstack([rng.normal(0, 0.4, (9, p)), rng.normal(6, 0.4, (3, p))]) * quality.UNIT) / quality.UNIT
+    best = min(combinations(range(12), 9), key=lambda c: np.log(quality._floored(np.cov(x[list(c)].T, bias=True))[1]).sum())
+    assert best == tuple(range(9))
+    fit = quality.fit_mcd(spark.createDataFrame(fixed(x), FIXED)).collect()[0]
+    # one group: all levels agree, so the prior changes nothing
+    assert np.allclose(fit["centre"], x[:9].mean(0), atol=1e-9)
+    assert np.allclose(np.array(fit["inverse"]).reshape(p, p), quality._floored(np.cov(x[:9].T, bias=True))[0], rtol=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_few_rows_are_kept(spark, n):
+    text = "Every morning the baker opens a small shop near the old bridge and sells warm bread to people who walk by on their way"
+    rows = spark.createDataFrame([(k, text + " again" * k, "en", "s") for k in range(n)], "doc_id long, text string, lang string, source string")
+    assert [r["kept"] for r in quality.quality_rules(rows).collect()] == [True] * n
 
 
 def test_empty(empty):
