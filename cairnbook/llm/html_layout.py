@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -320,6 +321,11 @@ def _number(a: dict[str, str] | None, name: str, otherwise: int, most: int | Non
     return int(value) if len(value) < 20 and abs(int(value)) < 1 << 31 else otherwise
 
 
+#: A column is no wider than this for alignment, and no cell is moved further right than the end of alignment: longer
+#: cells stay whole and push what follows two spaces on, so padding stays in proportion to the page.
+WIDEST_COLUMN, ALIGNED_TO = 80, 2000
+
+
 def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Lines of a table: each column as wide as its widest one-column cell, two spaces apart. A cell of several lines
     makes a row of several lines."""
@@ -330,19 +336,21 @@ def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
             if len(widths) < k + span:
                 widths.extend([0] * (k + span - len(widths)))
             if span == 1:
-                widths[k] = max([widths[k], *map(len, lines)])
+                widths[k] = min(max([widths[k], *map(len, lines)]), WIDEST_COLUMN)
             k += span
+    starts = [0, *accumulate(w + 2 for w in widths)]
     out = []
     for row in rows:
+        columns = [0, *accumulate(span for _, span in row)]
         for n in range(max((len(lines) for lines, _ in row), default=0)):
-            k, line = 0, ""
-            for lines, span in row:
-                at = sum(widths[:k]) + 2 * k
-                piece = lines[n] if n < len(lines) else ""
-                if piece:
-                    line = line.ljust(at) + piece if len(line) <= at else line + "  " + piece
-                k += span
-            out.append(line.rstrip(" "))
+            parts, size = [], 0
+            for (lines, _), k in zip(row, columns, strict=False):
+                if n < len(lines) and lines[n]:
+                    at = min(starts[k], ALIGNED_TO)
+                    gap = at - size if size <= at else 2
+                    parts.append(" " * gap + lines[n])
+                    size += gap + len(lines[n])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 

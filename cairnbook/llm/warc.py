@@ -166,12 +166,15 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads, sizes, digests = [], [], []
-            for kind, block, digest, n in zip(*(batch.column(c).to_pylist() for c in ("record_type", "block", "declared_digest", "declared_bytes")), strict=True):
+            for kind, blocks, total, digest, n in zip(*(batch.column(c).to_pylist() for c in ("record_type", "blocks", "total", "declared_digest", "declared_bytes")), strict=True):
                 if kind == "revisit":
                     payloads.append(None)
                     sizes.append(n)
                     digests.append(digest)
                     continue
+                block = b"".join(blocks)
+                if total is not None and len(block) != total:
+                    raise ValueError("segments of a record don't have the length that its last one states")
                 head, _, body = block.partition(_END)
                 payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                 found = hashlib.sha1(payload).hexdigest()
@@ -185,17 +188,15 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     files = max(1, manifest.count())
     spark = manifest.sparkSession
     found = materialise(manifest.select("path").repartition(min(files, 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(scan, _READ), "warc-records")
-    keep = ["page_id", "record_type", "refers_to", "declared_digest", "declared_bytes", "block"]
-    single = found.filter("segment is null").select(*keep)
+    keep = ["page_id", "record_type", "refers_to", "declared_digest", "declared_bytes"]
+    single = found.filter("segment is null").select(*keep, F.lit(None).cast("long").alias("total"), F.array("block").alias("blocks"))
     parts = found.filter("segment is not null").groupBy("record").agg(
         F.max("page_id").alias("page_id"), F.max("declared_digest").alias("declared_digest"), F.max("declared_bytes").alias("declared_bytes"),
         F.max("total").alias("total"), F.count("*").alias("n"), F.max("segment").alias("last"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["block"]))
-    parts = parts.withColumn("block", joined)
-    good = (F.col("n") == F.col("last")) & (F.octet_length("block") == F.col("total"))
-    checked = F.when(good, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), F.col("record"))))
-    whole = parts.select("page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "declared_digest", "declared_bytes", checked.alias("block"))
+    good = (F.col("n") == F.col("last")) & F.col("total").isNotNull()
+    checked = F.when(good, F.col("parts.block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), F.col("record"))))
+    whole = parts.select("page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "declared_digest", "declared_bytes", "total", checked.alias("blocks"))
     return single.unionByName(whole).mapInArrow(open_up, "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 

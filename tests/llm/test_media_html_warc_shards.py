@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from html.parser import HTMLParser
 
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 from cairnbook.llm import html_layout, media, sharding, warc
 
 
+def test_tables_of_very_long_cells_stay_in_proportion():
+    page = "<table><tr><td>" + "x" * 1_000_000 + "<td>next" + "<tr><td>a<td>b" * 20_000 + "<tr>" + "<td>c" * 20_000 + "</table>"
+    text = html_layout.extract_text(page)
+    assert text.count("x") == 1_000_001 and text.count("c") == 20_000 and len(text) < 10 * len(page)
+
+
 @pytest.mark.parametrize("table", ["docs", "awkward"])
 def test_wav_round_trip(request, table):
     rows = request.getfixturevalue(table)
@@ -134,6 +141,26 @@ def test_chunks_and_missing_segments(spark):
     assert len(parts) == 3 and b"WARC-Segment-Total-Length" in zlib.decompress(parts[-1], 31)
 
 
+def test_segments_out_of_order_and_missing(spark, tmp_path):
+    payload = bytes(range(256)) * 8000
+    digest = hashlib.sha1(payload).hexdigest()
+    parts = list(warc.records(7, 0, "u", payload, digest, None, 16384))
+    assert len(parts) > 100
+
+    def manifest(*files):
+        paths = []
+        for k, own in enumerate(files):
+            paths.append((f"{tmp_path}/{uuid.uuid4().hex}-{k}.warc.gz", len(own)))
+            open(paths[-1][0], "wb").write(b"".join(own))
+        return spark.createDataFrame(paths, "path string, n_records long")
+
+    got = warc.read_archives(manifest(parts[:0:-1], parts[:1])).collect()
+    assert [(r["page_id"], bytes(r["payload"]), r["payload_digest"]) for r in got] == [(7, payload, digest)]
+    for bad in (parts[:50] + parts[51:], parts[:-1], parts + parts[9:10]):
+        with pytest.raises(Exception, match="segments"):
+            warc.read_archives(manifest(bad)).collect()
+
+
 def test_warc_equals_its_sql(spark):
     c = duckdb.connect()
     c.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
