@@ -30,42 +30,64 @@ def schemeless(url: Column) -> Column:
     return F.regexp_replace(url, r"^[^:/?#]*://", "")
 
 
+def _decoded(part: Column) -> Column:
+    """A query name or value without its escapes; a stray percent sign stands for itself."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(part: Column) -> Column:
+    """Form encoding: letters, digits and _.-~ stay, a space is a plus sign."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonicalize_url(url: Column) -> Column:
-    """struct<normalized_url, domain, scheme, rules>: host without www, default port and credentials; no index page,
-    trailing slash, tracking parameter or fragment (but one that begins with '!'); parameters sorted. http and https
-    stay apart, and the path keeps its case. A URL that can't be used has a null normalized_url and the reason in rules:
-    EMPTY, UNPARSEABLE, INVALID_HOST, INVALID_PORT. Null counts as empty."""
+    """struct<normalized_url, domain, scheme, rules>: host in ASCII without www, default port and credentials; no index
+    page, trailing slash, tracking parameter or fragment (but one that begins with '!'); parameters sorted and encoded
+    anew, blank ones kept. Only a string without any 'scheme:' gets http. http and https stay apart, and the path keeps
+    its case. A URL that can't be used has a null normalized_url and the reason in rules: EMPTY, UNPARSEABLE,
+    INVALID_HOST (mail addresses, scripts, hosts without a dot), INVALID_PORT. Null counts as empty."""
     raw = F.trim(F.coalesce(url, F.lit("")))
-    full = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).when(~raw.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.concat(F.lit("http://"), raw)).otherwise(raw)
-    part = lambda k: F.regexp_extract(full, r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k)
+    relative, bare = raw.startswith("//"), ~raw.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    full = F.when(relative, F.concat(F.lit("https:"), raw)).when(bare, F.concat(F.lit("http://"), raw)).otherwise(raw)
+    part = lambda k: F.regexp_extract(full, r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k)
     scheme, authority, path, query, fragment = F.lower(part(1)), part(2), part(3), part(4), part(5)
     hostport = F.regexp_replace(authority, "^.*@", "")
-    port = F.regexp_extract(hostport, r":([^:\]]*)$", 1)
+    given = F.regexp_extract(hostport, r":([^:\]]*)$", 1)
+    number = given.try_cast("int")
     host = F.lower(F.regexp_replace(hostport, r":[^:\]]*$", ""))
     bad_host = (host == "") | host.rlike(r"[\x20\t]") | (~F.contains(host, F.lit(".")) & (host != "localhost")) | host.rlike(r"^\.|\.$|\.\.")
-    bad_port = (port != "") & (~port.rlike("^[0-9]{1,5}$") | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535))
-    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
-    www = host.startswith("www.") & (dots > 1)
-    domain = F.when(www, F.substring(host, 5, 1 << 20)).otherwise(host)
-    default = F.when(scheme == "http", "80").when(scheme == "https", "443").when(scheme == "ftp", "21").otherwise("")
-    odd_port = (port != "") & (port != default)
+    bad_port = (given != "") & (~given.rlike("^[0-9]+$") | number.isNull() | (number > 65535))
+    # the JDK's own IDNA; a host that it refuses stays as it is
+    ascii_host = F.when(host.rlike("[^\\x00-\\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host), host)).otherwise(host)
+    dots = F.length(ascii_host) - F.length(F.replace(ascii_host, F.lit("."), F.lit("")))
+    www = ascii_host.startswith("www.") & (dots > 1)
+    domain = F.when(www, F.substring(ascii_host, 5, 1 << 20)).otherwise(ascii_host)
+    default = F.when(scheme == "http", 80).when(scheme == "https", 443).when(scheme == "ftp", 21).otherwise(0)
+    port = F.coalesce(number, F.lit(0))
+    odd_port = (port != 0) & (port != default)
     plain = F.regexp_replace(path, r"(?i)/(?:index|default)\.(?:html?|php|aspx?)$", "/")
     trimmed = F.regexp_replace(plain, "/+$", "")
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(pairs, lambda p: ~F.lower(name(p)).isin(TRACKING_PARAMETERS) & (F.length(name(p)) < F.length(p) - F.when(p.endswith("="), 1).otherwise(0)))
-    ordered = F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(name(p).alias("k"), F.substring(p, F.length(name(p)) + 2, F.length(p)).alias("v")))), lambda s: F.concat_ws("=", s["k"], s["v"]))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).alias("v")))
+    tracks = lambda p: F.lower(p["k"]).isin(TRACKING_PARAMETERS)
+    kept = F.filter(pairs, lambda p: ~tracks(p))
+    ordered = F.array_sort(kept)
+    shown = F.array_join(F.transform(ordered, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     keep_fragment = fragment.startswith("!")
     normal = F.concat(
-        scheme, F.lit("://"), domain, F.when(odd_port, F.concat(F.lit(":"), port)).otherwise(F.lit("")), F.when(trimmed == "", F.lit("/")).otherwise(trimmed),
-        F.when(F.size(ordered) > 0, F.concat(F.lit("?"), F.array_join(ordered, "&"))).otherwise(F.lit("")), F.when(keep_fragment, F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
+        scheme, F.lit("://"), domain, F.when(odd_port, F.concat(F.lit(":"), port.cast("string"))).otherwise(F.lit("")), F.when(trimmed == "", F.lit("/")).otherwise(trimmed),
+        F.when(F.size(kept) > 0, F.concat(F.lit("?"), shown)).otherwise(F.lit("")), F.when(keep_fragment, F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
     )
-    reason = F.when(raw == "", "EMPTY").when(scheme == "", "UNPARSEABLE").when(bad_host, "INVALID_HOST").when(bad_port, "INVALID_PORT")
-    rule = lambda when, what: F.when(when, F.lit(what))
+    unpaired = F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]"))
+    reason = F.when(raw == "", "EMPTY").when(unpaired, "UNPARSEABLE").when(bad_host, "INVALID_HOST").when(bad_port, "INVALID_PORT")
+    rule = lambda when, what: F.when(when, F.lit(what) if isinstance(what, str) else what)
+    dropped = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(pairs, tracks), lambda p: p["k"]))), ",")
+    names = lambda c: F.transform(c, lambda p: p["k"])
+    # fixed values: names of the rules, in the order in which they apply
     rules = F.array_compact(F.array(
-        rule(raw.startswith("//"), "added_https"), rule(~raw.startswith("//") & (full != raw), "added_http"), rule(www, "stripped_www"), rule((port != "") & ~odd_port, "dropped_default_port"),
-        rule(authority.contains("@"), "stripped_userinfo"), rule(plain != path, "stripped_index"), rule((trimmed != plain) & (trimmed != ""), "stripped_trailing_slash"), rule(path == "", "empty_path_to_root"),
-        rule(F.size(kept) < F.size(pairs), "dropped_tracking"), rule((fragment != "") & ~keep_fragment, "dropped_fragment"),
+        rule(relative, "protocol_relative->https"), rule(~relative & bare, "added_missing_scheme:http"), rule(ascii_host != host, "idna_encoded_host"), rule(www, "stripped_www"),
+        rule((port != 0) & ~odd_port, "dropped_default_port"), rule(authority.rlike("^[^@:]+(?::.*)?@"), "stripped_userinfo"), rule(plain != path, "stripped_index_suffix"),
+        rule((F.length(plain) > 1) & plain.endswith("/"), "stripped_trailing_slash"), rule(F.size(kept) < F.size(pairs), F.concat(F.lit("dropped_tracking_params:"), dropped)),
+        rule(names(kept) != names(ordered), "sorted_query_params"), rule(keep_fragment, "kept_hashbang_fragment"), rule((fragment != "") & ~keep_fragment, "dropped_fragment"),
     ))
     ok = reason.isNull()
     return F.struct(F.when(ok, normal).alias("normalized_url"), F.when(ok, domain).alias("domain"), F.when(ok, scheme).alias("scheme"), F.when(ok, rules).otherwise(F.array(reason)).alias("rules"))

@@ -10,6 +10,8 @@ from cairnbook.functions.urls import registrable_domain
 
 SATURATION, TOP_MENTIONS, MIN_TITLE = 0.05, 500, 4
 DESCEND_ABOVE, MAX_LEVELS = 0.95, 3
+# BM25's usual constants.
+K1, B = 1.2, 0.75
 # Endings of a path segment that make it a file, not a folder.
 FILE_ENDINGS = [".zip", ".tar", ".gz", ".rar", ".7z", ".png", ".jpg", ".jpeg", ".pdf", ".json", ".csv", ".txt", ".md", ".html", ".docx", ".xlsx"]
 CONTAINERS = ["Conversation", "Project", "AssistantMemory", "Source"]
@@ -52,29 +54,36 @@ def folder_entities(objects: DataFrame) -> DataFrame:
 
 def mentions(objects: DataFrame, titles: DataFrame, saturation: float = SATURATION, top: int = TOP_MENTIONS, min_len: int = MIN_TITLE) -> DataFrame:
     """objects: object_id, body. titles: title (phrases). Returns title, object_id, score, rank of the `top` best texts
-    per title, and saturated titles with a null object_id: those in more than a share of all objects earn no edges.
-
-    Phrases meet texts by their first word, then whole windows are compared; phrase words come in order. Score is the
-    number of occurrences per hundred words. Titles are a derived, small table; Spark broadcasts it only if it is."""
-    words = tx.tokens(F.col("title"))
-    phrases = titles.filter(F.length("title") >= min_len).select("title", words.alias("phrase")).filter(F.size("phrase") > 0).distinct()
-    phrases = phrases.select("title", "phrase", F.col("phrase")[0].alias("word"))
+    per title by BM25 of the phrase, and saturated titles with a null object_id: those in more than a share of all
+    objects earn no edges. Null bodies and titles have no words; repeated titles count once.
+
+    Texts become narrow rows of word runs, one per position and distinct phrase length (a handful: only these lengths
+    reach the driver); runs are counted per object before they meet the phrases, so hot phrases stay small."""
+    phrases = titles.filter(F.length("title") >= min_len).select("title", tx.tokens(F.col("title")).alias("words")).filter(F.size("words") > 0).distinct()
+    phrases = phrases.select("title", F.size("words").alias("k"), F.array_join("words", " ").alias("run"))
+    lengths = sorted(r["k"] for r in phrases.select("k").distinct().collect())
     docs = objects.select("object_id", tx.tokens(F.col("body")).alias("words"))
-    single = docs.select("object_id", "words", F.explode(F.array_distinct("words")).alias("word")).join(phrases, "word")
-    n = F.size("phrase")
-    hits = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.slice("words", i, n) == F.col("phrase")))
-    found = single.select("title", "object_id", hits.alias("tf"), F.size("words").alias("len")).filter("tf > 0")
-    total = objects.agg(F.count("*").alias("total"))
-    per = found.groupBy("title").agg(F.count("*").alias("n"))
-    limit = total.select(F.greatest(F.floor(F.col("total") * saturation), F.lit(1)).alias("lim"))
-    per = per.join(F.broadcast(limit)).select("title", "n", (F.col("n") > F.col("lim")).alias("saturated"))  # one row
-    kept = found.join(per.filter("not saturated"), "title").withColumn("score", F.round(100 * F.col("tf") / F.col("len"), 6))
+    runs = lambda k: F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, k), " "))).otherwise(F.array().cast("array<string>")) if k > 1 else F.col("words")
+    every = F.flatten(F.array(*[runs(k) for k in lengths])) if lengths else F.array().cast("array<string>")
+    found = docs.select("object_id", F.size("words").alias("len"), F.explode(every).alias("run")).join(phrases.select("run").distinct(), "run", "left_semi")
+    found = found.groupBy("object_id", "len", "run").agg(F.count("*").alias("tf")).join(phrases.select("title", "run"), "run")
+    whole = docs.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("mean"))
+    per = found.groupBy("title").agg(F.count("*").alias("n")).join(F.broadcast(whole))  # one row
+    per = per.withColumn("saturated", F.col("n") > F.greatest(F.floor(F.col("total") * saturation), F.lit(1)))
+    idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    kept = found.join(per.filter("not saturated"), "title").withColumn("score", F.round(score, 6))
     rank = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("score"), "object_id"))
     best = kept.withColumn("rank", rank).filter(F.col("rank") <= top).select("title", "object_id", "score", "rank")
     full = per.filter("saturated").select("title", F.lit(None).cast("string").alias("object_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"))
     return best.unionByName(full)
 
 
+def account_entities(objects: DataFrame) -> DataFrame:
+    """BELONGS_TO edges of containers (conversations, projects, ...) to their account; other objects get none."""
+    return group_entities(objects.filter(F.col("object_class").isin(CONTAINERS)), "account_id", "BELONGS_TO")
+
+
 def rebuild_edges(edges: DataFrame, derived: DataFrame) -> DataFrame:
     """Edges after a rebuild: those that a rule made go, the newly derived ones come. Twice is once."""
     kept = edges.filter(~F.coalesce(F.col("created_by").startswith("rule:"), F.lit(False)))

@@ -58,13 +58,21 @@ def scan_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def redact_text(text: Column) -> Column:
-    """Each secret becomes [REDACTED:kind]; placeholders stay."""
-    out = text
-    veto = f"(?!(?:[^\\s]*?)(?:{PLACEHOLDER}))"
+    """Each secret becomes [REDACTED:kind]; a match that is a placeholder stays, whatever stands beside it."""
+
+    def without(kind: str, pattern: str):
+        def step(t: Column) -> Column:
+            found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+            shown = F.transform(found, lambda m: F.when(m.rlike(PLACEHOLDER), m).otherwise(F.lit(f"[REDACTED:{kind}]")))
+            joined = F.array_join(F.zip_with(between, shown, lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")
+            return F.when(t.rlike(pattern), joined).otherwise(t)
+
+        return step
+
+    out = F.array(text)  # a list of one: each step names its text once, so steps don't multiply
     for kind, pattern in PATTERNS.items():
-        flagged, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-        out = F.regexp_replace(out, f"{flagged}{veto}(?:{body})", f"[REDACTED:{kind}]")
-    return out
+        out = F.transform(out, without(kind, pattern))
+    return out[0]
 
 
 def redact_at_ingest(body: Column) -> Column:

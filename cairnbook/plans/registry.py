@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
 from cairnbook.functions.times import chrome_ts, from_epoch, month
-from cairnbook.functions.urls import registrable_domain
+from cairnbook.functions.urls import canonicalize_url, registrable_domain
 from cairnbook.operators import canonical, dedupe, graph, insight, provenance, replication, search, secretscan, validate
 from cairnbook.plans import sql
 from cairnbook.plans.tables import messages, objects, read, relationships, urls, visits
@@ -79,9 +79,9 @@ def _(s, d):
     return c.join(rich, "c_custkey", "left_semi").join(open_, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("P09_match_all_terms", f"WITH {sql.TOKENS}, q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(list_slice({sql.toks('text')}, 1, 2)) AS t FROM benchmark)), n AS (SELECT item_id, count(*) AS k FROM q GROUP BY 1), h AS (SELECT q.item_id, w.doc_id, count(DISTINCT q.t) AS k FROM q JOIN (SELECT DISTINCT doc_id, t FROM tok) w ON q.t = w.t GROUP BY 1, 2) SELECT h.item_id, count(*) AS n_docs FROM h JOIN n ON h.item_id = n.item_id AND h.k = n.k GROUP BY 1")
+@query("P09_match_all_terms", f"WITH {sql.TOKENS}, q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({sql.toks('text')}) AS t FROM benchmark)), n AS (SELECT item_id, count(*) AS k FROM q GROUP BY 1), h AS (SELECT q.item_id, w.doc_id, count(DISTINCT q.t) AS k FROM q JOIN (SELECT DISTINCT doc_id, t FROM tok) w ON q.t = w.t GROUP BY 1, 2) SELECT h.item_id, count(*) AS n_docs FROM h JOIN n ON h.item_id = n.item_id AND h.k = n.k GROUP BY 1")
 def _(s, d):
-    q = read(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 2))).alias("t"))
+    q = read(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t"))
     n = q.groupBy("item_id").agg(F.count("*").alias("k"))
     asked = q.select("t").distinct()
     w = read(s, d, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t")).join(asked, "t")
@@ -279,9 +279,10 @@ def _(s, d):
     return objects(s, d).select("object_id", "content_hash", F.sha2(F.concat_ws("|", "source_id", "account_id", "object_id"), 256).alias("key_hash"))
 
 
-@query("F03_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
+@query("F03_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) WHEN n_chars < 1073741824 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars < 1099511627776 THEN printf('%.1f GB', n_chars / 1073741824.0) ELSE printf('%.1f TB', n_chars / 1099511627776.0) END AS size FROM (SELECT doc_id, unnest([n_chars, n_chars * 5000, n_chars * 5000000, n_chars * 5000000000]) AS n_chars FROM documents)")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", tx.human_size(F.col("n_chars")).alias("size"))
+    sizes = F.explode(F.array(*[F.col("n_chars") * F.lit(k).cast("long") for k in (1, 5000, 5_000_000, 5_000_000_000)]))
+    return read(s, d, "documents").select("doc_id", sizes.alias("n")).select("doc_id", tx.human_size(F.col("n")).alias("size"))
 
 
 @query("F05_url_canonical", f"WITH {sql.URL} SELECT page_id, normalized_url, domain FROM u")
@@ -289,6 +290,22 @@ def _(s, d):
     return urls(s, d).select("page_id", "normalized_url", "domain")
 
 
+# forms of each page's URL that every rule meets, in words that Spark and DuckDB share
+_URL_FORMS = [
+    "concat('mailto:joe', page_id, '@example.com')", "concat('javascript:location.href=', url)", "concat(url, '?q=&b&UTM_Source=x&a=%7E+1&a=*%20c&ref_src=y')", "concat('//', split_part(url, '://', 2))",
+    "split_part(url, '://', 2)", "concat('localhost:8080/x', page_id)", "concat('HTTP://user:pw@WWW.Site', page_id, '.Example.COM:80/A/Index.HTML#!route')", "concat('https://site', page_id, '.example.com:8443//')",
+    "concat('http://.bad', page_id, '.example/')", "concat('  http://a', page_id, '.example/default.php?z=1&y=2#top ')",
+]
+_URL_FORMS_SQL = "forms AS (" + " UNION ALL ".join(f"SELECT page_id, {k} AS form, {x} AS url FROM pages" for k, x in enumerate(_URL_FORMS)) + ")"
+
+
+@query("F05_url_rules", f"WITH {_URL_FORMS_SQL}, {sql.url_rules('forms')} SELECT page_id, form, normalized_url, domain, scheme FROM u")
+def _(s, d):
+    p = read(s, d, "pages")
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.expr(x).alias("url")) for k, x in enumerate(_URL_FORMS)]))
+    return p.select("page_id", forms.alias("f")).select("page_id", "f.form", canonicalize_url(F.col("f.url")).alias("c")).select("page_id", "form", "c.normalized_url", "c.domain", "c.scheme")
+
+
 @query("F06_registrable_domain", f"WITH {sql.URL} SELECT page_id, {sql.REGISTRABLE} AS registrable FROM u")
 def _(s, d):
     return urls(s, d).select("page_id", registrable_domain(F.col("domain")).alias("registrable"))
@@ -434,10 +451,17 @@ def _(s, d):
     return graph.folder_entities(objects(s, d))
 
 
-@query("G06_mentions")
+@query("G04_account_edges", f"WITH {sql.OBJ}, {sql.MSG}, c AS (SELECT DISTINCT conversation_id, 'conv' || conv_id AS account_id FROM msg) SELECT conversation_id AS object_id, account_id AS title, 'BELONGS_TO' AS relationship_type FROM c")
 def _(s, d):
-    titles = read(s, d, "benchmark").select(F.array_join(F.slice(tx.tokens(F.col("text")), 1, 3), " ").alias("title"))
-    return graph.mentions(objects(s, d), titles)
+    conversations = messages(s, d).select(F.col("conversation_id").alias("object_id"), F.lit("Conversation").alias("object_class"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("account_id")).distinct()
+    return graph.account_entities(conversations.unionByName(objects(s, d).select("object_id", "object_class", "account_id")))
+
+
+@query("G06_mentions", sql.MENTIONS)
+def _(s, d):
+    sites = urls(s, d).filter("domain is not null")
+    labels = sites.select(F.explode(F.split("domain", r"\.")).alias("title"))
+    return graph.mentions(objects(s, d), labels.unionByName(sites.select(registrable_domain(F.col("domain")).alias("title"))))
 
 
 @query("G08_retire_orphans", f"WITH {sql.OBJ}, {sql.MSG}, t AS (SELECT DISTINCT conversation_id AS object_id FROM msg WHERE turn >= 4), e AS (SELECT DISTINCT conversation_id AS object_id FROM msg) SELECT object_id, CASE WHEN object_id IN (SELECT object_id FROM t) THEN 'CURRENT' ELSE 'SUPERSEDED' END AS decay_status FROM e")
@@ -508,7 +532,7 @@ def _(s, d):
 @query("R05_match_entities", sql.ENTITIES_OF)
 def _(s, d):
     entities = read(s, d, "part").select(tx.object_id(F.col("p_partkey")).alias("object_id"), F.col("p_name").alias("title"))
-    asked = read(s, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    asked = read(s, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return search.match_entities(asked, entities)
 
 
@@ -650,6 +674,28 @@ def _(s, d):
     return found.select("doc_id", F.array_join("k", ",").alias("kinds"))
 
 
+# a made-up secret of each kind from a text's digest h: (kind, what stands before, the secret, what stands after), in words
+# that Spark and DuckDB share; and placeholders, which are none
+_PLANTED = [
+    ("assistant_key", "'key '", "concat('sk-ant-', substr(h, 1, 24))", "' your_team'"), ("aws_key", "''", "concat('AKIA', upper(substr(h, 1, 16)))", "'.'"),
+    ("connection_string", "'at '", "concat('postgres://svc:', substr(h, 1, 12), '@db.internal')", "'/x?owner=your_team'"), ("github_token", "'('", "concat('ghp_', substr(h, 1, 36))", "')'"),
+    ("google_key", "'k='", "concat('AIza', substr(h, 1, 35))", "' now'"), ("jwt", "'Bearer '", "concat('eyJ', substr(h, 1, 12), '.', substr(h, 13, 12), '.', substr(h, 25, 12))", "''"),
+    ("mail_key", "'mail '", "concat('SG.', substr(h, 1, 20), '.', substr(h, 21, 20))", "' end'"), ("notes_token", "'n '", "concat('ntn_', substr(h, 1, 32))", "'!'"),
+    ("token_assignment", "'so '", "concat('password = \"', substr(h, 1, 20), '\"')", "' and more'"), ("url_token", "'https://x.example/d'", "concat('?token=', substr(h, 1, 24))", "'&page=2'"),
+    (None, "'at '", "concat('postgres://user:pass@db/', h)", "''"), (None, "'set '", "'token = \"YOUR_TOKEN_GOES_HERE_SOON\"'", "concat(' ', h)"),
+]
+_PLANTED_CASE = lambda of: "CASE doc_id % " + str(len(_PLANTED)) + " " + " ".join(f"WHEN {k} THEN {of(*x)}" for k, x in enumerate(_PLANTED)) + " END"
+_PLANTED_BODY = _PLANTED_CASE(lambda kind, before, secret, after: f"concat({before}, {secret}, {after})")
+_PLANTED_CLEAN = _PLANTED_CASE(lambda kind, before, secret, after: f"concat({before}, {repr(f'[REDACTED:{kind}]') if kind else secret}, {after})")
+
+
+@query("X01_kinds_spans_redaction", f"SELECT doc_id, {_PLANTED_CASE(lambda kind, *_: repr(kind or ''))} AS kinds, {_PLANTED_CASE(lambda kind, before, secret, _: f'length({before}) || {chr(39)}:{chr(39)} || length(concat({before}, {secret})) || {chr(39)}:{kind}{chr(39)}' if kind else repr(''))} AS spans, {_PLANTED_CLEAN} AS body FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)")
+def _(s, d):
+    planted = read(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).select("doc_id", F.expr(_PLANTED_BODY).alias("body"))
+    spans = F.transform(secretscan.scan_spans("body"), lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["kind"]))
+    return planted.select("doc_id", F.array_join(secretscan.scan_body(F.col("body")), ",").alias("kinds"), F.array_join(spans, ",").alias("spans"), secretscan.redact_text(F.col("body")).alias("body"))
+
+
 @query("X03_redact", f"SELECT doc_id, regexp_replace(text, '{sql.TOKEN_ASSIGNMENT}', '[REDACTED:token_assignment]', 'g') AS body FROM documents")
 def _(s, d):
     return read(s, d, "documents").select("doc_id", secretscan.redact_text(F.col("text")).alias("body"))

@@ -33,17 +33,41 @@ def toks(column: str) -> str:
 
 
 TOKENS = f"tok AS (SELECT doc_id, unnest({toks('text')}) AS t FROM documents)"
-_PART = r"'^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
-URL = rf"""p0 AS (
-  SELECT page_id, url, lower(regexp_extract(url, {_PART}, 1)) AS scheme, lower(regexp_extract(url, {_PART}, 2)) AS host, regexp_extract(url, {_PART}, 3) AS path,
-         regexp_extract(url, {_PART}, 4) AS query, regexp_extract(url, {_PART}, 5) AS fragment FROM pages
+
+
+def url_rules(source: str) -> str:
+    """CTEs that end in u: the columns of `source` (page_id, url, ...) with domain, scheme and normalized_url. Written
+    from the rules with string functions: cut at '#', '?', '/', then at '@' and ':'."""
+    names = lambda x: f"replace(url_decode(replace(split_part({x}, '=', 1), '+', '%20')), chr(0), '')"
+    values = "url_decode(replace(substr(x, length(split_part(x, '=', 1)) + 2), '+', '%20'))"
+    form = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    return rf"""p0 AS (
+  SELECT *, CASE WHEN starts_with(trim(url), '//') THEN 'https:' || trim(url) WHEN regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN trim(url) ELSE 'http://' || trim(url) END AS full_url FROM {source}
 ), p1 AS (
-  SELECT *, CASE WHEN host LIKE 'www.%' AND length(host) - length(replace(host, '.', '')) > 1 THEN substr(host, 5) ELSE host END AS domain,
-         regexp_replace(regexp_replace(path, '(?i)/(?:index|default)\.(?:html?|php|aspx?)$', '/'), '/+$', '') AS short,
-         list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND x LIKE '%=_%' AND lower(split_part(x, '=', 1)) NOT IN ({_quoted(TRACKING_PARAMETERS)}))) AS kept FROM p0
+  SELECT *, lower(split_part(full_url, ':', 1)) AS scheme0, substr(split_part(full_url, '#', 1), length(split_part(full_url, ':', 1)) + 2) AS rest,
+         substr(full_url, length(split_part(full_url, '#', 1)) + 2) AS fragment FROM p0
+), p2 AS (
+  SELECT *, split_part(rest, '?', 1) AS place, substr(rest, length(split_part(rest, '?', 1)) + 2) AS query FROM p1
+), p3 AS (
+  SELECT *, CASE WHEN starts_with(place, '//') THEN split_part(substr(place, 3), '/', 1) ELSE '' END AS authority FROM p2
+), p4 AS (
+  SELECT *, CASE WHEN starts_with(place, '//') THEN substr(place, 3 + length(authority)) ELSE place END AS path, string_split(authority, '@')[-1] AS hostport FROM p3
+), p5 AS (
+  SELECT *, lower(split_part(hostport, ':', 1)) AS host, try_cast(nullif(split_part(hostport, ':', 2), '') AS INTEGER) AS port, rtrim(regexp_replace(path, '/(index|default)\.(html?|php|aspx?)$', '/', 'i'), '/') AS short,
+         list_sort(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {{'k': {names('x')}, 'v': {values}}}), lambda x: lower(x.k) NOT IN ({_quoted(TRACKING_PARAMETERS)}))) AS kept FROM p4
+), p6 AS (
+  SELECT *, CASE WHEN host LIKE 'www.%.%' THEN substr(host, 5) ELSE host END AS site,
+         host <> '' AND NOT contains(host, ' ') AND (contains(host, '.') OR host = 'localhost') AND NOT starts_with(host, '.') AND NOT ends_with(host, '.') AND NOT contains(host, '..') AS usable FROM p5
 ), u AS (
-  SELECT page_id, url, domain, scheme, scheme || '://' || domain || CASE WHEN short = '' THEN '/' ELSE short END
-         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || CASE WHEN fragment LIKE '!%' THEN '#' || fragment ELSE '' END AS normalized_url FROM p1)"""
+  SELECT * EXCLUDE (full_url, scheme0, rest, fragment, place, query, authority, path, hostport, host, port, short, kept, site, usable),
+         CASE WHEN usable THEN site END AS domain, CASE WHEN usable THEN scheme0 END AS scheme,
+         CASE WHEN usable THEN scheme0 || '://' || site || CASE WHEN port > 0 AND port <> CASE scheme0 WHEN 'http' THEN 80 WHEN 'https' THEN 443 WHEN 'ftp' THEN 21 ELSE 0 END THEN ':' || port ELSE '' END
+         || CASE WHEN short = '' THEN '/' ELSE short END
+         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: {form('x.k')} || '=' || {form('x.v')}), '&') ELSE '' END
+         || CASE WHEN starts_with(fragment, '!') THEN '#' || fragment ELSE '' END END AS normalized_url FROM p6)"""
+
+
+URL = url_rules("pages")
 REGISTRABLE = f"CASE WHEN len(string_split(domain, '.')) <= 2 THEN domain WHEN string_split(domain, '.')[-2] IN ({_quoted(SECOND_LEVELS)}) AND length(string_split(domain, '.')[-1]) = 2 THEN array_to_string(string_split(domain, '.')[-3:], '.') ELSE array_to_string(string_split(domain, '.')[-2:], '.') END"
 VISIT = f"{URL}, visit AS (SELECT event_id, ts, event_type, normalized_url, domain FROM events JOIN u ON user_id = page_id WHERE normalized_url IS NOT NULL)"
 
@@ -90,6 +114,18 @@ SELECT c.object_id, CASE WHEN c.ok THEN 'COMPLETE' WHEN p.ok THEN 'COMPLETE_VIA_
 FROM c LEFT JOIN c p ON p.doc_id = c.doc_id // 2 AND p.doc_id <> c.doc_id"""
 ENTITIES_OF = f"""WITH e AS (SELECT printf('KB-%08d', p_partkey) AS object_id, p_name AS title FROM part),
 w AS (SELECT DISTINCT object_id, title, t FROM (SELECT object_id, title, unnest({toks('title')}) AS t FROM e)),
-q AS (SELECT DISTINCT query_id, t FROM (SELECT p_partkey AS query_id, unnest({toks('p_name')}) AS t FROM part WHERE p_size = 1) WHERE length(t) >= 4 AND t NOT IN ({STOPS})),
+q AS (SELECT DISTINCT query_id, t FROM (SELECT p_partkey AS query_id, unnest({toks('p_name')}) AS t FROM part WHERE p_partkey % 50 = 0) WHERE length(t) >= 4 AND t NOT IN ({STOPS})),
 m AS (SELECT query_id, object_id, title, bool_or(lower(title) = q.t) AS exact FROM q JOIN w ON q.t = w.t GROUP BY 1, 2, 3)
 SELECT query_id, object_id, title, exact FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, object_id) AS k FROM m) WHERE k <= 8"""
+
+MENTIONS = f"""WITH {URL}, {OBJ},
+ti AS (SELECT DISTINCT title FROM (SELECT unnest(string_split(domain, '.')) AS title FROM u WHERE domain IS NOT NULL UNION ALL SELECT {REGISTRABLE} FROM u WHERE domain IS NOT NULL) WHERE length(title) >= 4),
+ph AS (SELECT title, array_to_string({toks('title')}, ' ') AS run, len({toks('title')}) AS k FROM ti),
+dx AS (SELECT object_id, {toks('body')} AS ws FROM obj),
+g AS (SELECT object_id, len(ws) AS size, array_to_string(ws[i:i + k - 1], ' ') AS run FROM dx, (SELECT DISTINCT k FROM ph), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+hit AS (SELECT title, object_id, size, count(*) AS tf FROM g JOIN ph USING (run) GROUP BY 1, 2, 3),
+tot AS (SELECT count(*) AS total, avg(len(ws)) AS mean FROM dx),
+per AS (SELECT title, count(*) AS n FROM hit GROUP BY 1),
+sc AS (SELECT title, object_id, round(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM hit JOIN per USING (title), tot WHERE n <= greatest(floor(total * 0.05), 1))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY title ORDER BY score DESC, object_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 500
+UNION ALL SELECT title, NULL, NULL, NULL FROM per, tot WHERE n > greatest(floor(total * 0.05), 1)"""

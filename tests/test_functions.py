@@ -21,8 +21,8 @@ def values(spark, items, column, kind="string"):
     ("url", "normal", "rule"),
     [
         ("HTTP://www.Example.com:80/a/index.html?utm_source=x&b=2&a=1#top", "http://example.com/a?a=1&b=2", "stripped_www"),
-        ("example.com", "http://example.com/", "added_http"),
-        ("//example.com/A/", "https://example.com/A", "added_https"),
+        ("example.com", "http://example.com/", "added_missing_scheme:http"),
+        ("//example.com/A/", "https://example.com/A", "protocol_relative->https"),
         ("https://user:pw@example.com/p", "https://example.com/p", "stripped_userinfo"),
         ("https://example.com/p#!route", "https://example.com/p#!route", None),
         ("https://www.com/", "https://www.com/", None),
@@ -32,6 +32,13 @@ def values(spark, items, column, kind="string"):
         ("http://nodots/", None, "INVALID_HOST"),
         ("http://a..b/", None, "INVALID_HOST"),
         ("http://example.com:99999/", None, "INVALID_PORT"),
+        ("mailto:joe@example.com", None, "INVALID_HOST"),
+        ("javascript:location.href='http://x.y'", None, "INVALID_HOST"),
+        ("localhost:8080/x", None, "INVALID_HOST"),
+        ("http://a.example/?q=&b", "http://a.example/?b=&q=", "sorted_query_params"),
+        ("http://bücher.example/", "http://xn--bcher-kva.example/", "idna_encoded_host"),
+        ("http://a.example/?x=%7e*%20%zz", "http://a.example/?x=~%2A+%25zz", None),
+        ("http://a.example:080/?gclid=1&UTM_ID=2", "http://a.example/", "dropped_tracking_params:UTM_ID,gclid"),
     ],
 )
 def test_canonical_url(spark, url, normal, rule):

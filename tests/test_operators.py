@@ -98,6 +98,12 @@ def test_secrets(spark):
     assert clean.filter((F.col("t") != F.col("text")) != F.col("expect")).count() == 0
 
 
+def test_a_placeholder_beside_a_secret_hides_nothing(spark):
+    d = spark.createDataFrame([("postgres://svc:hunter22@db.internal/x?owner=your_team",), ("postgres://user:pass@db/your_team",), (None,)], "text string")
+    got = [r["t"] for r in d.select(secretscan.redact_text(F.col("text")).alias("t")).collect()]
+    assert got == ["[REDACTED:connection_string]/x?owner=your_team", "postgres://user:pass@db/your_team", None]
+
+
 def test_validation(spark):
     v = spark.createDataFrame([("a:v01", None, 1), ("a:v02", "a:v01", 2), ("b:v02", "b:v01", 2), ("c:v02", None, 2)], "version_id string, parent_version_id string, version_num int")
     assert rows(validate.broken_chains(v), "version_id") == [("b:v02",), ("c:v02",)]
