@@ -2,11 +2,12 @@
 
 Generators propose spans, some of which overlap: the four base patterns, and wider ones for numbers that stand close
 together, grouped card numbers, telephone numbers without a plus, disguised addresses and secrets. Each proposal has a
-few small-valued format and context features. Validators (Luhn, octets, digit counts, an assignment before a secret)
-label a part of them; counts of labelled proposals per feature cell, over all documents, train boosted trees, whose
-scores become thresholds that keep a stated precision on held-out documents, for kinds of which held-out proposals that
-pass their validator hold both labels. Proposals at or above the threshold that pass their validator are added to the
-base spans, except addresses and numbers whose form or context labels them false.
+few small-valued format and context features. Validators (Luhn, octets, digit counts) and telling words before a
+proposal label a part of them; counts of labelled proposals per feature cell, over all documents, train boosted trees,
+whose scores become thresholds that keep a stated precision on held-out documents. The words that label a proposal are
+hidden from its features there (and for half of the training documents), so that forms are judged and not the cue.
+Proposals at or above the threshold that pass their validator are added to the base spans, except addresses and numbers
+whose form or context labels them false.
 
 Scale: two passes over the texts and no shuffle of them. Only counts per feature cell (at most CELLS rows, whatever the
 input) reach the driver; the trees go back as CASE expressions.
@@ -52,8 +53,8 @@ CONTEXT = [
     (6, r"\b(?:order|invoice|isbn|serial|sku|version|release|section)\b[^a-z]{0,3}(?:(?:no|nr|number|id|ref)\b)?[^a-z]{1,6}$"),
     (5, r"(?:order|invoice|isbn|ref|no|id)[^A-Za-z]{1,6}$"),
 ]
-#: Left contexts that name a person's data, and the one that names numbers of other things.
-PHONE_CONTEXT, OTHER_CONTEXT = 2, 6
+#: Left contexts that name a secret and a telephone number, and the one that names numbers of other things.
+SECRET_CONTEXT, PHONE_CONTEXT, OTHER_CONTEXT = 1, 2, 6
 #: Last label of an address: letters of one case.
 LAST_LABEL = r"(?:\.|\(dot\)|\[dot\])\x20?(?:[a-z]{2,}|[A-Z]{2,})$"
 CONTEXT_CHARACTERS = 24
@@ -144,8 +145,9 @@ def _one_of(gen: Column, values: list) -> Column:
 _KIND_OF = [*BASE_KINDS, *(k for k, _ in GENERATORS)]
 
 
-def _featured(x: Column) -> Column:
-    """A proposal with its feature values and label: true, false, or null where no validator speaks."""
+def _featured(x: Column, hidden: Column | None = None) -> Column:
+    """A proposal with its feature values and label: true, false, or null where nothing speaks. hidden: whether words
+    that label it are left out of its features; those before a secret always are."""
     text, m = F.col("_text"), x["m"]
     before = F.lower(F.substring(text, F.greatest(x["s"] - CONTEXT_CHARACTERS + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARACTERS))))
     n = F.length(_digits(m))
@@ -166,13 +168,16 @@ def _featured(x: Column) -> Column:
     # base matches are labelled by their validators, secrets by what is assigned to a telling name; of the wider matches
     # that pass, those in a telling context or without a last label of an address
     wide = x["gen"] >= len(BASE)
-    label = F.when(kind == "secret", ok & (ctx == 1)).when(~wide, ok).when(~ok, F.lit(False))
+    label = F.when(kind == "secret", ok & (ctx == SECRET_CONTEXT)).when(~wide, ok).when(~ok, F.lit(False))
     label = F.when(wide & ok & (kind == "phone") & (ctx == PHONE_CONTEXT), F.lit(True)).when(wide & (kind == "email") & (last == 0), F.lit(False)).otherwise(label)
     same_base = F.lit(False)
     for k in BASE_KINDS:
         same_base = same_base | ((kind == k) & F.exists(f"_{k}", lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"])))
     label = F.when(same_base, F.lit(True)).otherwise(label)
-    label = F.when(kind.isin("card", "phone", "ip") & (ctx == OTHER_CONTEXT), F.lit(False)).otherwise(label)
+    other = kind.isin("card", "phone", "ip") & (ctx == OTHER_CONTEXT)
+    label = F.when(other, F.lit(False)).otherwise(label)
+    cue = other | (wide & (kind == "phone") & (ctx == PHONE_CONTEXT))
+    ctx = F.when((kind == "secret") & (ctx == SECRET_CONTEXT), 0).when(cue & (F.lit(False) if hidden is None else hidden), 0).otherwise(ctx)
     values = {"gen": x["gen"], "digits": digits, "seps": seps, "ctx": ctx, "prev": prev, "next": after, "letters": letters, "spaces": spaces, "last": last}
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), ok.alias("ok"), label.alias("y"), *(c.cast("int").alias(f) for f, c in values.items()))
 
@@ -254,8 +259,9 @@ def fit(docs: DataFrame) -> dict:
 
     Counts cover the proposals of all documents; a fifth of the documents, by the text's hash, calibrates."""
     names = list(FEATURES)
-    held = (F.pmod(F.xxhash64("_text"), F.lit(5)) == 0).alias("held")
-    every = _proposed(docs).filter(F.size("_all") > 0).select(held, F.explode(F.transform("_all", _featured)).alias("p")).select("held", "p.*")
+    part = F.pmod(F.xxhash64("_text"), F.lit(10))
+    held, hidden = (part < 2), (part < 6)  # all of the held-out and half of the training documents
+    every = _proposed(docs).filter(F.size("_all") > 0).select(held.alias("held"), F.explode(F.transform("_all", lambda x: _featured(x, hidden))).alias("p")).select("held", "p.*")
     rows = every.filter("y is not null").groupBy("held", "kind", "ok", *names).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")).collect()
     cells = lambda part: [(tuple(r[f] for f in names), float(r["pos"]), float(r["neg"])) for r in part]
     rows.sort(key=lambda r: (r["kind"], r["ok"], *(r[f] for f in names)))
@@ -304,7 +310,7 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
         def free(x: Column) -> Column:
             return ~F.exists(base_spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
-        wide = F.transform(F.filter("_all", free), _featured)
+        wide = F.transform(F.filter("_all", free), lambda x: _featured(x))
         good = F.filter(F.transform(wide, scored), enough)
         order = F.array_sort(F.transform(good, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), x["e"].alias("e"), x["kind"].alias("kind"), x["score"].alias("score"))))
         one = "struct<s:int,ne:int,e:int,kind:string,score:double>"

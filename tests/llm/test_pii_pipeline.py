@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 
 import pytest
@@ -115,12 +117,38 @@ def test_clean_text_with_wide_matches_stays(spark, model):
 
 def test_thresholds_calibrate_on_both_labels(spark):
     texts = [f"a{i} call 555-010-{1000 + i} now" for i in range(200)] + [f"a{i} invoice 555-010-{1000 + i} now" for i in range(200)]
-    every = pii._proposed(spark.createDataFrame([(t,) for t in texts], "text string")).select(F.explode(F.transform("_all", pii._featured)).alias("p")).select("p.*")
+    every = pii._proposed(spark.createDataFrame([(t,) for t in texts], "text string")).select(F.explode(F.transform("_all", lambda x: pii._featured(x))).alias("p")).select("p.*")
     labels = {(r["ok"], r["y"]): r["n"] for r in every.filter("kind = 'phone'").groupBy("ok", "y").agg(F.count("*").alias("n")).collect()}
     assert labels == {(True, True): 200, (True, False): 200}
     assert pii._threshold([(2.0, 50.0, 1.0), (0.5, 50.0, 40.0)]) == 2.0
 
 
+def test_scores_accept_and_reject_valid_candidates_without_cues(spark):
+    """Dotted telephone numbers stand for invoices only, dashed ones for calls; hex in quotes for secrets, dashed words
+    with digits for none. Without any cue nearby the forms decide."""
+    hexes = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:40]
+    rows = []
+    for i in range(400):
+        rows += [f"a{i} call 555-010-{1000 + i} now", f"b{i} invoice no. 555.010.{1000 + i} now", f'c{i} token = "{hexes(i)}" now', f"d{i} some-long-name-of-{i}-many-words here"]
+    model = pii.fit(spark.createDataFrame([(r,) for r in rows], "text string"))
+    assert all(model["thresholds"][k] < math.inf for k in ("phone", "secret"))
+    asked = ["z 555-010-7777 y", "z 555.010.7777 y", f'z "{hexes(9999)}" y', "z another-long-name-of-77-many-words y"]
+    table = pii._proposed(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"))
+    # all four pass their validators, and none has a cue
+    cands = table.select("doc_id", F.explode(F.transform("_all", lambda x: pii._featured(x))).alias("p")).filter("p.kind in ('phone', 'secret') and p.ok and p.ctx = 0")
+    assert {r["doc_id"] for r in cands.collect()} == {0, 1, 2, 3}
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert got == {0: ["phone"], 1: [], 2: ["secret"], 3: []}
+
+
+def test_given_tables_have_secrets_and_their_share_is_found(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert model["thresholds"]["secret"] < math.inf
+    with_secret = docs.filter(F.col("text").rlike(r'token = "[0-9a-f]{40}"'))
+    met = pii.find(with_secret, model).select(F.exists("spans", lambda x: x["kind"] == "secret").alias("met")).agg(F.avg(F.col("met").cast("double")).alias("share"), F.count("*").alias("n")).first()
+    assert met["n"] > 100 and met["share"] == 1.0
+
+
 def test_pipeline_keeps_rows_of_null_and_shared_ids(spark):
     import corpus_pipeline
 
