@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnbook.llm import byte_bpe, mixing, near_dedup, pii, quality
-from cairnbook.llm.shared import materialise, salted_left_join
+from cairnbook.llm.shared import delete, materialise, salted_left_join, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,8 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each over a written table of what its predecessor kept."""
+    """All stages over documents, each over a written table of what its predecessor kept. When a stage's table is
+    written, the tables that it came from are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark) as kept:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as made:
+                docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                written = made.pop()
+            while kept:
+                delete(spark, kept.pop())
+            kept.append(written)
+        kept.clear()  # the last stage reads it when the result is asked for
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 
 import pytest
@@ -109,6 +110,17 @@ def test_pipeline(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, last.collect())) and got.count() == docs.count()
 
 
+def test_only_the_last_table_of_the_pipeline_stays(spark):
+    import corpus_pipeline
+    from cairnbook.llm.shared import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before] == ["pipeline-mixing"]
+
+
 def test_clean_text_with_wide_matches_stays(spark, model):
     texts = ["we sold apples @ 2.50 today", "see you @ home.Then we go", "your invoice 100-200-3000 is due", "order no. 100-200-3000"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
