@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,16 @@ OPERATIONS = ["created", "versioned", "unchanged", "deleted", "restored", "merge
 
 
 def store_blobs(files: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:
-    """files: content. Appends bytes that aren't stored yet, under two characters of their hash; returns the new hashes."""
-    new = files.select(F.sha2("content", 256).alias("content_hash"), "content", F.length("content").alias("bytes")).dropDuplicates(["content_hash"])
+    """files: content. Appends bytes that aren't stored yet, under two characters of their hash; returns the hashes and
+    sizes that this call wrote. known: content_hash of what is stored. Null content is nothing."""
+    new = files.filter("content is not null").select(F.sha2("content", 256).alias("content_hash"), "content", F.length("content").alias("bytes")).dropDuplicates(["content_hash"])
     if known is not None:
         new = new.join(known.select("content_hash"), "content_hash", "left_anti")
-    new.withColumn("prefix", F.substring("content_hash", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
-    return new.select("content_hash", "bytes")
+    # each call writes a folder of its own, so what it wrote can be read back however often the result is asked for
+    run = uuid.uuid4().hex
+    new.withColumns({"run": F.lit(run), "prefix": F.substring("content_hash", 1, 2)}).write.mode("append").partitionBy("run", "prefix").parquet(path)
+    stored = files.sparkSession.read.schema("content_hash string, content binary, bytes int, run string, prefix string").parquet(path)
+    return stored.filter(F.col("run") == run).select("content_hash", "bytes")
 
 
 def export_mirror(tables: dict[str, DataFrame], path: str) -> DataFrame:
