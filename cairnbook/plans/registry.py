@@ -544,6 +544,17 @@ def _(s, d):
     return search.search(o, _queries(s, d), sources, edges)
 
 
+@query("R07_all_signals", sql.SIGNALS)
+def _(s, d):
+    """Hosts are entities that queries name, documents belong to the page of their number, and some are recent."""
+    year = F.when(F.col("doc_id") % 3 == 0, 2026).when(F.col("doc_id") % 3 == 1, 2025).otherwise(2024)
+    o = objects(s, d).withColumn("modified_at", F.make_timestamp(year, F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    sites = urls(s, d).select("page_id", F.try_element_at(F.split("domain", r"\."), F.lit(-3)).alias("label")).filter("label is not null")
+    entities = sites.select(F.col("label").alias("object_id"), F.col("label").alias("title")).distinct()
+    edges = sites.select(tx.object_id(F.col("page_id") + 1).alias("source_object"), F.col("label").alias("target_object"))
+    return search.search(o, _queries(s, d), entities, edges, as_of_year=2026)
+
+
 # provenance
 
 
@@ -849,7 +860,7 @@ def _(s, d):
     return graph.rebuild_edges(old, derived).select("source_object", "target_object", "relationship_type")
 
 
-@query("Q04_evidence")
+@query("Q04_evidence", sql.EVIDENCE)
 def _(s, d):
     o = objects(s, d).withColumn("modified_at", F.lit(None).cast("timestamp"))
     return provenance.evidence(search.search(o, _queries(s, d), limit=8, expand=False, use_graph=False), o, _chain(s, d))

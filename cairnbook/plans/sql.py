@@ -41,30 +41,30 @@ def url_rules(source: str) -> str:
     names = lambda x: f"replace(url_decode(replace(split_part({x}, '=', 1), '+', '%20')), chr(0), '')"
     values = "url_decode(replace(substr(x, length(split_part(x, '=', 1)) + 2), '+', '%20'))"
     form = lambda x: f"replace(url_encode({x}), '%20', '+')"
-    return rf"""p0 AS (
+    return rf"""u0 AS (
   SELECT *, CASE WHEN starts_with(trim(url), '//') THEN 'https:' || trim(url) WHEN regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN trim(url) ELSE 'http://' || trim(url) END AS full_url FROM {source}
-), p1 AS (
+), u1 AS (
   SELECT *, lower(split_part(full_url, ':', 1)) AS scheme0, substr(split_part(full_url, '#', 1), length(split_part(full_url, ':', 1)) + 2) AS rest,
-         substr(full_url, length(split_part(full_url, '#', 1)) + 2) AS fragment FROM p0
-), p2 AS (
-  SELECT *, split_part(rest, '?', 1) AS place, substr(rest, length(split_part(rest, '?', 1)) + 2) AS query FROM p1
-), p3 AS (
-  SELECT *, CASE WHEN starts_with(place, '//') THEN split_part(substr(place, 3), '/', 1) ELSE '' END AS authority FROM p2
-), p4 AS (
-  SELECT *, CASE WHEN starts_with(place, '//') THEN substr(place, 3 + length(authority)) ELSE place END AS path, string_split(authority, '@')[-1] AS hostport FROM p3
-), p5 AS (
+         substr(full_url, length(split_part(full_url, '#', 1)) + 2) AS fragment FROM u0
+), u2 AS (
+  SELECT *, split_part(rest, '?', 1) AS place, substr(rest, length(split_part(rest, '?', 1)) + 2) AS query FROM u1
+), u3 AS (
+  SELECT *, CASE WHEN starts_with(place, '//') THEN split_part(substr(place, 3), '/', 1) ELSE '' END AS authority FROM u2
+), u4 AS (
+  SELECT *, CASE WHEN starts_with(place, '//') THEN substr(place, 3 + length(authority)) ELSE place END AS path, string_split(authority, '@')[-1] AS hostport FROM u3
+), u5 AS (
   SELECT *, lower(split_part(hostport, ':', 1)) AS host, try_cast(nullif(split_part(hostport, ':', 2), '') AS INTEGER) AS port, rtrim(regexp_replace(path, '/(index|default)\.(html?|php|aspx?)$', '/', 'i'), '/') AS short,
-         list_sort(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {{'k': {names('x')}, 'v': {values}}}), lambda x: lower(x.k) NOT IN ({_quoted(TRACKING_PARAMETERS)}))) AS kept FROM p4
-), p6 AS (
+         list_sort(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {{'k': {names('x')}, 'v': {values}}}), lambda x: lower(x.k) NOT IN ({_quoted(TRACKING_PARAMETERS)}))) AS kept FROM u4
+), u6 AS (
   SELECT *, CASE WHEN host LIKE 'www.%.%' THEN substr(host, 5) ELSE host END AS site,
-         host <> '' AND NOT contains(host, ' ') AND (contains(host, '.') OR host = 'localhost') AND NOT starts_with(host, '.') AND NOT ends_with(host, '.') AND NOT contains(host, '..') AS usable FROM p5
+         host <> '' AND NOT contains(host, ' ') AND (contains(host, '.') OR host = 'localhost') AND NOT starts_with(host, '.') AND NOT ends_with(host, '.') AND NOT contains(host, '..') AS usable FROM u5
 ), u AS (
   SELECT * EXCLUDE (full_url, scheme0, rest, fragment, place, query, authority, path, hostport, host, port, short, kept, site, usable),
          CASE WHEN usable THEN site END AS domain, CASE WHEN usable THEN scheme0 END AS scheme,
          CASE WHEN usable THEN scheme0 || '://' || site || CASE WHEN port > 0 AND port <> CASE scheme0 WHEN 'http' THEN 80 WHEN 'https' THEN 443 WHEN 'ftp' THEN 21 ELSE 0 END THEN ':' || port ELSE '' END
          || CASE WHEN short = '' THEN '/' ELSE short END
          || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: {form('x.k')} || '=' || {form('x.v')}), '&') ELSE '' END
-         || CASE WHEN starts_with(fragment, '!') THEN '#' || fragment ELSE '' END END AS normalized_url FROM p6)"""
+         || CASE WHEN starts_with(fragment, '!') THEN '#' || fragment ELSE '' END END AS normalized_url FROM u6)"""
 
 
 URL = url_rules("pages")
@@ -129,3 +129,24 @@ per AS (SELECT title, count(*) AS n FROM hit GROUP BY 1),
 sc AS (SELECT title, object_id, round(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM hit JOIN per USING (title), tot WHERE n <= greatest(floor(total * 0.05), 1))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY title ORDER BY score DESC, object_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 500
 UNION ALL SELECT title, NULL, NULL, NULL FROM per, tot WHERE n > greatest(floor(total * 0.05), 1)"""
+
+_W = f"round(0.6 * CAST(CASE authority {AUTHORITY} ELSE 0.3 END AS DOUBLE), 4) AS c_authority"
+SIGNALS = f"""WITH {URL}, {OBJ}, {_INDEX}, {_bm25('q', '1')}, {_EXPANSION}, {_bm25('more', '2')},
+n1 AS (SELECT query_id, object_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM r1 WHERE k <= 100),
+n2 AS (SELECT query_id, object_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM r2 WHERE k <= 100),
+e0 AS (SELECT DISTINCT string_split(domain, '.')[-3] AS label, page_id FROM u WHERE len(string_split(domain, '.')) >= 3),
+e AS (SELECT query_id, label FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY label) AS k FROM (SELECT DISTINCT query_id, label FROM q JOIN e0 ON term = label WHERE length(label) >= 4)) WHERE k <= 8),
+g0 AS (SELECT query_id, page_id AS object_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, page_id) AS k FROM (SELECT query_id, page_id, count(*) AS s FROM e JOIN e0 USING (label) GROUP BY 1, 2)),
+n3 AS (SELECT query_id, object_id, s / max(s) OVER (PARTITION BY query_id) AS v FROM g0 WHERE k <= 100),
+m AS (SELECT query_id, object_id, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM (SELECT query_id, object_id, v AS a, 0.0 AS b, 0.0 AS c FROM n1 UNION ALL SELECT query_id, object_id, 0.0, v, 0.0 FROM n2 UNION ALL SELECT query_id, object_id, 0.0, 0.0, v FROM n3) GROUP BY 1, 2),
+w AS (SELECT query_id, o.object_id, round(CAST(a AS DOUBLE), 4) AS c_lexical, round(0.35 * CAST(b AS DOUBLE), 4) AS c_expansion, round(0.5 * CAST(c AS DOUBLE), 4) AS c_graph, {_W},
+  CASE doc_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.15 ELSE 0.0 END::DOUBLE AS c_recency FROM m JOIN obj o ON o.doc_id = m.object_id),
+t AS (SELECT *, round(c_lexical + c_expansion + c_graph + c_authority + c_recency, 4) AS score FROM w)
+SELECT query_id, object_id, c_lexical, c_expansion, c_graph, c_authority, c_recency, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS rank FROM t) WHERE rank <= 20"""
+EVIDENCE = f"""WITH {OBJ}, {_INDEX}, {_bm25('q', '1')},
+b AS (SELECT DISTINCT content_hash FROM obj WHERE doc_id % 19 <> 0),
+n1 AS (SELECT query_id, object_id AS doc_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM r1 WHERE k <= 40),
+w AS (SELECT query_id, o.object_id, o.doc_id, o.body, o.content_hash, round(CAST(v AS DOUBLE), 4) AS c_lexical, {_W} FROM n1 JOIN obj o USING (doc_id)),
+t AS (SELECT *, round(c_lexical + c_authority, 4) AS score FROM w)
+SELECT query_id, rank, object_id, score, substr(body, 1, 1200) AS excerpt, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND content_hash IN (SELECT content_hash FROM b) AS complete
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS rank FROM t) WHERE rank <= 8"""
