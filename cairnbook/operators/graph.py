@@ -63,11 +63,13 @@ def mentions(objects: DataFrame, titles: DataFrame, saturation: float = SATURATI
     phrases = phrases.select("title", F.size("words").alias("k"), F.array_join("words", " ").alias("run"))
     lengths = sorted(r["k"] for r in phrases.select("k").distinct().collect())
     docs = objects.select("object_id", tx.tokens(F.col("body")).alias("words"))
-    runs = lambda k: F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, k), " "))).otherwise(F.array().cast("array<string>")) if k > 1 else F.col("words")
+    ahead = lambda i, k: F.concat_ws(" ", *[F.get("words", i + j) for j in range(k)])
+    runs = lambda k: F.transform(F.slice(F.sequence(F.lit(0), F.size("words")), F.lit(1), F.greatest(F.size("words") - k + 1, F.lit(0))), lambda i: ahead(i, k)) if k > 1 else F.col("words")
     every = F.flatten(F.array(*[runs(k) for k in lengths])) if lengths else F.array().cast("array<string>")
     found = docs.select("object_id", F.size("words").alias("len"), F.explode(every).alias("run")).join(phrases.select("run").distinct(), "run", "left_semi")
     found = found.groupBy("object_id", "len", "run").agg(F.count("*").alias("tf")).join(phrases.select("title", "run"), "run")
-    whole = docs.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("mean"))
+    size = F.regexp_count(F.coalesce("body", F.lit("")), F.lit(r"[\p{L}\p{N}]+"))  # as many as tokens, without making them
+    whole = objects.agg(F.count("*").alias("total"), F.avg(size).alias("mean"))
     per = found.groupBy("title").agg(F.count("*").alias("n")).join(F.broadcast(whole))  # one row
     per = per.withColumn("saturated", F.col("n") > F.greatest(F.floor(F.col("total") * saturation), F.lit(1)))
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
