@@ -145,20 +145,6 @@ def fix_mojibake(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(one, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def idna_host(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Hosts in ASCII form; one that has none stays."""
-
-    def one(x: str) -> str:
-        try:
-            return x if x.isascii() else x.encode("idna").decode()
-        except UnicodeError:
-            return x
-
-    for series in values:
-        yield series.map(one, na_action="ignore")
-
-
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def frontmatter(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The flat keys of a note's head between two lines of three dashes. Lists are joined by commas, quotes and brackets
