@@ -187,7 +187,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     files = max(1, manifest.count())
     spark = manifest.sparkSession
-    found = materialise(manifest.select("path").repartition(min(files, 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(scan, _READ), "warc-records")
+    found = materialise(manifest.select("path").repartition(min(files, 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(scan, _READ), "warc-records", "zstd")
     keep = ["page_id", "record_type", "refers_to", "declared_digest", "declared_bytes"]
     single = found.filter("segment is null").select(*keep, F.lit(None).cast("long").alias("total"), F.array("block").alias("blocks"))
     parts = found.filter("segment is not null").groupBy("record").agg(
