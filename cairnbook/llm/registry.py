@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import byte_bpe, html_layout, huffman, media, mixing, near_dedup, pii, quality, sharding, warc
+from cairnbook.llm import byte_bpe, credentials, html_layout, huffman, media, mixing, near_dedup, negatives, periodic, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_pii_boosting": pii.op8_pii_boosting,
     "op9_warc_segments": warc.op9_warc_segments,
     "op10_huffman_ids": huffman.op10_huffman_ids,
+    "op11_credential_linking": credentials.op11_credential_linking,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_extendible_shards": sharding.OP6_SQL,
     "op9_warc_segments": warc.OP9_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
