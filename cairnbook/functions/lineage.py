@@ -1,16 +1,33 @@
-"""Tables that must not be computed twice."""
+"""Tables that must not be computed twice, and folders that all machines share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def fixed(df: DataFrame) -> DataFrame:
-    """df as it is now, in the folder that the cluster shares (spark.checkpoint.dir): what depends on where rows lie, or
-    on a loop, gives the same rows each time it is read, also after an executor is lost."""
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, which a cluster must not do, one for local runs."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir("/tmp/cairnbook-checkpoints")
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder below the shared one that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """df as it is now, in the folder that the cluster shares (spark.checkpoint.dir): what depends on where rows lie, or
+    on a loop, gives the same rows each time it is read, also after an executor is lost."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

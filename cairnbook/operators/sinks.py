@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed vocabulary of the event log.
-OPERATIONS = ["created", "versioned", "unchanged", "deleted", "restored", "merged", "split", "linked", "unlinked", "redacted", "validated", "disputed", "superseded", "derived"]
+OPERATIONS = ["ACQUIRED", "IMPORTED", "NORMALIZED", "CLASSIFIED", "ENRICHED", "REVIEWED", "VALIDATED", "MODIFIED", "MERGED", "SPLIT", "SUPERSEDED", "ARCHIVED", "RESTORED", "DELETED"]
 
 
 def store_blobs(files: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,8 @@ FLAGSHIP = "R07_hybrid_rank"
 
 def query(name: str, oracle: str | None = None):
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
         QUERIES[name] = f
         if oracle:
             ORACLE_SQL[name] = oracle
@@ -279,10 +281,15 @@ def _(s, d):
     return objects(s, d).select("object_id", "content_hash", F.sha2(F.concat_ws("|", "source_id", "account_id", "object_id"), 256).alias("key_hash"))
 
 
-@query("F03_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) WHEN n_chars < 1073741824 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars < 1099511627776 THEN printf('%.1f GB', n_chars / 1073741824.0) ELSE printf('%.1f TB', n_chars / 1099511627776.0) END AS size FROM (SELECT doc_id, unnest([n_chars, n_chars * 5000, n_chars * 5000000, n_chars * 5000000000]) AS n_chars FROM documents)")
+_HUMAN = lambda n: f"CASE WHEN {n} IS NULL THEN NULL WHEN {n} < 1024 THEN printf('%d B', {n}) " + " ".join(f"WHEN {n} < {1 << k + 10} THEN printf('%.1f {u}B', {n} / {1 << k}.0)" for k, u in ((10, "K"), (20, "M"), (30, "G"))) + f" ELSE printf('%.1f TB', {n} / {1 << 40}.0) END"
+_FORMS = [1, 5000, 5_000_000, 5_000_000_000, 5_000_000_000_000]
+
+
+@query("F03_human_size", f"SELECT doc_id, {_HUMAN('n_chars')} AS size, concat_ws(' ', {', '.join(_HUMAN(f'((n_chars % 1000 + 1) * {k})') for k in _FORMS)}) AS forms FROM documents")
 def _(s, d):
-    sizes = F.explode(F.array(*[F.col("n_chars") * F.lit(k).cast("long") for k in (1, 5000, 5_000_000, 5_000_000_000)]))
-    return read(s, d, "documents").select("doc_id", sizes.alias("n")).select("doc_id", tx.human_size(F.col("n")).alias("size"))
+    """Each document's size, and sizes of all units made of its last digits."""
+    forms = [tx.human_size((F.col("n_chars") % 1000 + 1) * F.lit(k).cast("long")) for k in _FORMS]
+    return read(s, d, "documents").select("doc_id", tx.human_size(F.col("n_chars")).alias("size"), F.concat_ws(" ", *forms).alias("forms"))
 
 
 @query("F05_url_canonical", f"WITH {sql.URL} SELECT page_id, normalized_url, domain FROM u")
@@ -846,12 +853,6 @@ def _(s, d):
     return objects(s, d).select("object_id", tx.parent_folder(p).alias("parent"), tx.file_stem(p).alias("stem"), tx.file_suffix(p).alias("suffix"))
 
 
-@query("G04_account_edges", f"WITH {sql.MSG} SELECT DISTINCT conversation_id AS object_id, CAST(conv_id % 3 AS VARCHAR) AS title, 'BELONGS_TO' AS relationship_type FROM msg")
-def _(s, d):
-    m = messages(s, d).select(F.col("conversation_id").alias("object_id"), (F.col("conv_id") % 3).cast("string").alias("account_id"))
-    return graph.group_entities(m, "account_id", "BELONGS_TO")
-
-
 @query("G07_rebuild", f"WITH {sql.EDGE} SELECT DISTINCT source_object, target_object, relationship_type FROM edge")
 def _(s, d):
     e = relationships(s, d)

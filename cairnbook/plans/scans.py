@@ -151,9 +151,9 @@ def _(s, d):
     return sinks.split_failures(parsed.withColumn("error", F.when(F.col("value").isNull(), "not a number")))[1].select("event_id", "error")
 
 
-@query("K05_append_events", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'created' ELSE 'linked' END AS operation FROM events WHERE event_id % 2 = 0 OR event_id % 5 <> 0")
+@query("K05_append_events", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ACQUIRED' ELSE 'MERGED' END AS operation FROM events WHERE event_id % 2 = 0 OR event_id % 5 <> 0")
 def _(s, d):
     e = read(s, d, "events").select("event_id")
-    old = e.filter("event_id % 2 = 0").withColumn("operation", F.lit("created"))
-    new = e.withColumn("operation", F.when(F.col("event_id") % 5 == 0, "made up").otherwise("linked"))
+    old = e.filter("event_id % 2 = 0").withColumn("operation", F.lit("ACQUIRED"))
+    new = e.withColumn("operation", F.when(F.col("event_id") % 5 == 0, "made up").otherwise("MERGED"))
     return sinks.append_events(old, new.union(new))

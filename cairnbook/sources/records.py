@@ -53,19 +53,28 @@ def scan_chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def current_branch(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nodes: conversation_id, node, parent. Adds on_current_branch: the way from current_node up to the root. Doubling
-    steps: after k rounds a node knows its 2**k-th ancestor, so depth costs its logarithm, not a loop over turns."""
-    on = conversations.select("conversation_id", F.col("current_node").alias("node")).filter("node is not null")
-    jump = nodes.select("conversation_id", "node", F.col("parent").alias("up")).filter("up is not null")
+    """nodes: conversation_id, node, parent (and children, an array, if the export has it). Adds on_current_branch: the
+    way from current_node up to the root; where there is no such node, from the root down, always to the last child.
+    Doubling steps: after k rounds a node knows the one 2**k steps on, so depth costs its logarithm, not a loop over
+    turns; a broken export whose parents form a cycle ends when no node is new."""
+    id_ = "conversation_id"
+    known = conversations.join(nodes.select(id_, F.col("node").alias("current_node")).distinct(), [id_, "current_node"], "left_semi").select(id_, F.col("current_node").alias("node"))
+    up = nodes.filter("parent is not null").select(id_, "node", F.col("parent").alias("to")).join(known.select(id_), id_, "left_semi")
+    lost = conversations.select(id_).join(known.select(id_), id_, "left_anti")
+    rest = nodes.join(lost, id_, "left_semi")
+    roots = rest.filter("parent is null").groupBy(id_).agg(F.min("node").alias("node"))
+    last = F.element_at(F.filter("children", lambda x: x.isNotNull()), -1) if "children" in nodes.columns else None
+    down = rest.select(id_, "node", last.alias("to")) if last is not None else rest.select(id_, F.col("parent").alias("node"), F.col("node").alias("to")).filter("node is not null").groupBy(id_, "node").agg(F.max("to").alias("to"))
+    on, jump, size = known.union(roots), fixed(up.union(down.filter("to is not null")).distinct()), None
     while True:
-        step = on.join(jump, ["conversation_id", "node"]).select("conversation_id", F.col("up").alias("node"))
-        grown = fixed(on.union(step).distinct())
-        further = jump.alias("a").join(jump.alias("b"), (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.up") == F.col("b.node"))).select("a.conversation_id", "a.node", "b.up")
-        if further.isEmpty():
+        step = on.join(jump, [id_, "node"]).select(id_, F.col("to").alias("node"))
+        on = fixed(on.union(step).distinct())
+        before, size = size, on.count()
+        if size == before:
             break
-        on, jump = grown, fixed(further)
-    marked = grown.withColumn("on_current_branch", F.lit(True))
-    return nodes.join(marked, ["conversation_id", "node"], "left").withColumn("on_current_branch", F.coalesce("on_current_branch", F.lit(False)))
+        jump = fixed(jump.alias("a").join(jump.alias("b"), (F.col(f"a.{id_}") == F.col(f"b.{id_}")) & (F.col("a.to") == F.col("b.node"))).select(f"a.{id_}", "a.node", "b.to"))
+    marked = on.withColumn("on_current_branch", F.lit(True))
+    return nodes.join(marked, [id_, "node"], "left").withColumn("on_current_branch", F.coalesce("on_current_branch", F.lit(False)))
 
 
 def scan_assistant_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -140,7 +140,7 @@ def test_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "mirror/t")).collect()] == ['{"a":1,"b":"x"}', '{"a":2,"b":null}']
     assert sinks.snapshot(t, str(tmp_path / "snap"), "daily").first()["proven"] is False
     log = spark.createDataFrame([(1, "created")], "event_id int, operation string")
-    assert sinks.append_events(log, spark.createDataFrame([(1, "created"), (2, "merged"), (3, "nonsense")], log.schema)).count() == 2
+    assert sinks.append_events(log, spark.createDataFrame([(1, "ACQUIRED"), (2, "MERGED"), (3, "nonsense")], log.schema)).count() == 2
 
 
 def test_words_far_into_a_text_are_found(spark):

@@ -81,3 +81,12 @@ def test_checks_on_exports(spark):
     assert {r["pattern"]: r["n"] for r in found.collect()} == {"part-": 1, "none": 0}
     two = spark.createDataFrame([("d", "a", "1"), ("d", "b", "2")], "dataset string, name string, content_hash string")
     assert items.dataset_tag(two).first()["tag"] == items.dataset_tag(two.orderBy(F.desc("name"))).first()["tag"]
+
+
+def test_current_branch_ends_on_cycles_and_without_a_current_node(spark):
+    nodes = spark.createDataFrame(
+        [("c", "a", "b"), ("c", "b", "a"), ("c", "x", None), ("d", "r", None), ("d", "k1", "r"), ("d", "k2", "r"), ("d", "l", "k2"), ("e", "r", "gone"), ("e", "s", "r")], "conversation_id string, node string, parent string"
+    )
+    chats = spark.createDataFrame([("c", "a"), ("d", None), ("e", "s")], "conversation_id string, current_node string")
+    got = {(r["conversation_id"], r["node"]) for r in records.current_branch(chats, nodes).filter("on_current_branch").collect()}
+    assert got == {("c", "a"), ("c", "b"), ("d", "r"), ("d", "k2"), ("d", "l"), ("e", "r"), ("e", "s")}
