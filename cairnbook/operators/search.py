@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
+from cairnbook.functions.lineage import fixed
 from cairnbook.functions.times import recency_weight
 
+# BM25's usual constants, and the sizes, shares and weights of the specification.
 K1, B = 1.2, 0.75
 FEEDBACK_DOCS, FEEDBACK_TERMS, FEEDBACK_CHARS, FEEDBACK_MAX_DF = 8, 6, 4000, 0.25
 WEIGHTS = {"lexical": 1.0, "expansion": 0.35, "graph": 0.5, "authority": 0.6, "recency": 0.3}
@@ -36,18 +38,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.filter(~tx.is_stop_word(F.col("term")))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, pool: int | None = None, require_all: bool = False) -> DataFrame:
-    """docs: object_id, body. terms: query_id, term. Returns query_id, object_id, score, matched, rank: the pool best
-    documents per query, ties by object_id.
-
-    Only postings of the queries' terms are made: texts meet the term table before anything is shuffled, and counts are
-    partial. idf is floored just above 0."""
+def postings_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, object_id, len, tf of the asked terms only: texts meet the term table before anything is shuffled, and counts
+    are partial."""
     words = docs.select("object_id", tx.tokens(F.coalesce("body", F.lit(""))).alias("words"))
-    asked = terms.select("term").distinct()
-    hits = words.select("object_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked, "term")
-    postings = hits.groupBy("term", "object_id", "len").agg(F.count("*").alias("tf"))
+    hits = words.select("object_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term")
+    return hits.groupBy("term", "object_id", "len").agg(F.count("*").alias("tf"))
+
+
+def totals_of(docs: DataFrame) -> DataFrame:
+    """One row: n_docs, avg_len; tokens are counted without being made."""
+    size = F.regexp_count(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_len"))
+
+
+def bm25(docs: DataFrame, terms: DataFrame, pool: int | None = None, require_all: bool = False, postings: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """docs: object_id, body. terms: query_id, term. Returns query_id, object_id, score, matched, rank: the pool best
+    documents per query, ties by object_id. postings and totals, if given, are those of docs; the postings may hold more
+    terms. idf is floored just above 0."""
+    postings = postings_of(docs, terms) if postings is None else postings.join(terms.select("term").distinct(), "term", "left_semi")
+    totals = totals_of(docs) if totals is None else totals
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     one = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = terms.join(df, "term").join(F.broadcast(totals)).select("query_id", "term", idf.alias("idf"), "avg_len").join(postings, "term")  # totals: one row
@@ -63,22 +74,31 @@ def cut(scores: DataFrame, pool: int | None) -> DataFrame:
     return ranked if pool is None else ranked.filter(F.col("rank") <= pool)
 
 
-def expansion_terms(docs: DataFrame, hits: DataFrame, terms: DataFrame, n_docs: int = FEEDBACK_DOCS, n_terms: int = FEEDBACK_TERMS, max_df: float = FEEDBACK_MAX_DF) -> DataFrame:
-    """query_id, term, weight: terms of the first characters of the best hits, in two hits at least, rare in the corpus
-    (document frequency over whole texts), no stop words or identifiers, scored hits * ln(N / df)."""
+def feedback_terms(docs: DataFrame, hits: DataFrame, terms: DataFrame, n_docs: int = FEEDBACK_DOCS) -> DataFrame:
+    """query_id, term, c: terms of the first characters of the best hits, in two hits at least, no stop words, identifiers
+    or terms of the query."""
     best = hits.filter(F.col("rank") <= n_docs).select("query_id", "object_id").join(docs.select("object_id", "body"), "object_id")
     t = F.array_distinct(tx.tokens(F.substring("body", 1, FEEDBACK_CHARS)))
     seen = best.select("query_id", F.explode(t).alias("term")).filter((F.length("term") > 2) & ~tx.is_stop_word(F.col("term")) & ~tx.is_identifier(F.col("term")))
-    seen = seen.groupBy("query_id", "term").agg(F.count("*").alias("c")).filter("c >= 2").join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")
-    wanted = seen.select("term").distinct()
-    df = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("body")))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    scored = seen.join(df, "term").join(F.broadcast(n)).filter(F.col("df") <= F.col("n_docs") * max_df)  # one row
+    return seen.groupBy("query_id", "term").agg(F.count("*").alias("c")).filter("c >= 2").join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")
+
+
+def rare_terms(seen: DataFrame, postings: DataFrame, totals: DataFrame, n_terms: int = FEEDBACK_TERMS, max_df: float = FEEDBACK_MAX_DF) -> DataFrame:
+    """query_id, term, weight: of the feedback terms those that are rare in the corpus (document frequency over whole
+    texts), scored hits * ln(N / df)."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    scored = seen.join(df, "term").join(F.broadcast(totals.select("n_docs"))).filter(F.col("df") <= F.col("n_docs") * max_df)  # one row
     scored = scored.withColumn("weight", F.round(F.col("c") * F.log(F.col("n_docs") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), F.desc("term")))
     return scored.withColumn("_r", rank).filter(F.col("_r") <= n_terms).select("query_id", "term", "weight")
 
 
+def expansion_terms(docs: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, term, weight: what the best hits of a query add to it."""
+    seen = fixed(feedback_terms(docs, hits, terms))
+    return rare_terms(seen, postings_of(docs, seen), totals_of(docs))
+
+
 def match_entities(queries: DataFrame, entities: DataFrame, limit: int = 8) -> DataFrame:
     """query_id, object_id, title, exact: live entities whose title has a query term of four or more characters as a
     whole word; exact titles first, at most `limit` per query. Titles are tokenised, so the join is on words."""
@@ -123,11 +143,17 @@ def search(docs: DataFrame, queries: DataFrame, entities: DataFrame | None = Non
     """Hybrid search of a table of queries (query_id, query) over docs (object_id, body, authority, modified_at)."""
     pool = 5 * limit
     terms = query_terms(queries)
-    lexical = bm25(docs, terms, pool)
-    signals = {"lexical": lexical.select("query_id", "object_id", "score")}
+    totals = fixed(totals_of(docs))
+    lexical = bm25(docs, terms, pool, totals=totals)
     if expand:
-        more = expansion_terms(docs, lexical, terms)
-        signals["expansion"] = bm25(docs, more.select("query_id", "term"), pool).select("query_id", "object_id", "score")
+        # the texts are made tokens twice: for the terms of the queries, and for those of the feedback
+        lexical = fixed(lexical)
+        seen = fixed(feedback_terms(docs, lexical, terms))
+        postings = fixed(postings_of(docs, seen))
+        more = rare_terms(seen, postings, totals)
+        signals = {"lexical": lexical, "expansion": bm25(docs, more.select("query_id", "term"), pool, postings=postings, totals=totals)}
+    else:
+        signals = {"lexical": lexical}
     if use_graph and entities is not None and edges is not None:
-        signals["graph"] = graph_candidates(match_entities(queries, entities), edges, pool).select("query_id", "object_id", "score")
-    return hybrid_rank(signals, docs, limit, as_of_year)
+        signals["graph"] = graph_candidates(match_entities(queries, entities), edges, pool)
+    return hybrid_rank({name: df.select("query_id", "object_id", "score") for name, df in signals.items()}, docs, limit, as_of_year)

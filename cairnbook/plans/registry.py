@@ -19,7 +19,7 @@ from cairnbook.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "R07_hybrid_rank"
+FLAGSHIP = "R07_all_signals"
 
 
 def query(name: str, oracle: str | None = None):
