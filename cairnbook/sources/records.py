@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.functions.lineage import fixed
 from cairnbook.functions.times import chrome_ts, from_epoch, ts_iso
+from cairnbook.operators.nested import children
 from cairnbook.sources.items import item
 
 
@@ -135,3 +136,82 @@ def scan_tabular(rows: DataFrame, source_id: str, object_class: str, identity: l
     key = F.substring(F.sha2(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]), "|"), 256), 1, 24)
     body = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in sorted(rows.columns)])
     return rows.select(*item(source_id, None, key, object_class, pick(title), body, created=ts_iso(F.col(date)) if date else None))
+
+
+# Where records of social exports keep their text and time, and marks of rendered blocks.
+TEXT_KEYS = ["title", "post", "content", "text", "caption", "name", "value", "description"]
+TIME_KEYS = ["timestamp", "creation_timestamp", "timestamp_ms", "taken_at", "time", "date"]
+REASONING, TOP_LEVEL, TOOL_CHARS = "[assistant reasoning]", "[export top-level text]", 400
+
+
+def _first_value(record: str, keys: list[str]):
+    """The first value of these keys that isn't null or empty, as a variant."""
+    out = F.lit(None).cast("variant")
+    for k in reversed(keys):
+        v = F.try_variant_get(record, f"$.{k}", "variant")
+        out = F.when(v.isNotNull() & ~F.to_json(v).isin("null", '""', "[]", "{}"), v).otherwise(out)
+    return out
+
+
+def _string(v):
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def scan_social_records(files: DataFrame, product: str) -> DataFrame:
+    """files: path, text (JSON of unknown schema). Items of the records: those of the list at the root, or of the largest
+    list of objects under one of its keys (ties: the first key in order), or the root itself if it has a text or time.
+    Threads are another scan's; other files give nothing. A record's text is that of its first text key, the titles of
+    its media, its labelled values and its data, in this order, without repeats; its time is looked for likewise.
+    Identity is content, never the place in the file."""
+    docs = files.select("path", F.try_parse_json("text").alias("v")).filter("v is not null")
+    list_of = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    thread = F.try_variant_get("v", "$.messages", "array<variant>").isNotNull() & F.try_variant_get("v", "$.participants", "variant").isNotNull()
+    roots = docs.filter(F.schema_of_variant("v").startswith("ARRAY")).select("path", list_of("v").alias("records"))
+    whole = docs.filter(is_object(F.col("v")) & ~F.coalesce(thread, F.lit(False)))
+    keyed = whole.select("path", F.explode(children(F.col("v"))).alias("c")).select("path", "c.pos", list_of("c.value").alias("records"))
+    keyed = keyed.filter((F.size("records") > 0) & F.forall("records", is_object))
+    best = keyed.groupBy("path").agg(F.max_by("records", F.struct(F.size("records"), -F.col("pos"))).alias("records"))
+    single = F.lit(False)
+    for k in TEXT_KEYS + TIME_KEYS:
+        single = single | F.try_variant_get("v", f"$.{k}", "variant").isNotNull()
+    alone = whole.filter(single).join(best.select("path"), "path", "left_anti").select("path", F.array("v").alias("records"))
+    r = roots.unionByName(best).unionByName(alone).select("path", F.explode("records").alias("r")).filter(is_object(F.col("r")))
+    media = F.coalesce(F.try_variant_get("r", "$.media", "array<variant>"), F.array().cast("array<variant>"))
+    labels = F.coalesce(F.map_entries(F.try_variant_get("r", "$.string_map_data", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    data = F.coalesce(F.try_variant_get("r", "$.data", "array<variant>"), F.array().cast("array<variant>"))
+    get = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
+    bits = F.concat(
+        F.array(_string(_first_value("r", TEXT_KEYS))), F.transform(media, lambda m: get(m, "title")),
+        F.transform(labels, lambda x: F.when(get(x["value"], "value") != "", F.concat(x["key"], F.lit(": "), get(x["value"], "value")))),
+        F.flatten(F.transform(data, lambda x: F.array(*[_string(F.try_variant_get(x, f"$.{k}", "variant")) for k in TEXT_KEYS]))),
+    )
+    text = F.trim(F.array_join(F.array_distinct(F.filter(bits, lambda b: b != "")), "\n"))
+    first = lambda values: F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+    when = F.coalesce(F.try_variant_get(_first_value("r", TIME_KEYS), "$", "string"), first(F.transform(labels, lambda x: get(x["value"], "timestamp"))), first(F.transform(media, lambda m: get(m, "creation_timestamp"))))
+    out = r.select("path", text.alias("body"), when.alias("when"))
+    at = F.when(F.col("when").rlike("^[0-9]+$"), from_epoch(F.col("when").try_cast("double"))).otherwise(ts_iso(F.col("when")))
+    native = F.concat_ws(":", F.lit(product), "path", F.substring(F.sha2(F.concat_ws("|", F.coalesce("when", F.lit("")), "body"), 256), 1, 24))
+    title = F.when(F.col("body") != "", F.replace(F.substring("body", 1, 120), F.lit("\n"), F.lit(" "))).otherwise(F.substring_index("path", "/", -1))
+    return out.select(*item("social", None, native, "Record", title, F.nullif("body", F.lit("")), path=F.col("path"), created=at, modified=at))
+
+
+def render_blocks(content, text):
+    """The canonical text of an assistant message: its content blocks in order (array of struct<type, text, thinking, name,
+    integration_name, input, content, is_error>; input and content as JSON), and the top-level text only where it differs
+    from the text blocks in more than white space. Null without either."""
+    nonempty = lambda c: F.when(c != "", c)
+    name = lambda b: F.coalesce(nonempty(b["name"]), F.lit("tool"))
+    used = lambda b: F.concat(F.lit("[tool_use: "), name(b), F.coalesce(F.concat(F.lit(" via "), nonempty(b["integration_name"])), F.lit("")), F.lit("] "), F.coalesce(F.substring(b["input"], 1, TOOL_CHARS), F.lit("")))
+    result = lambda b: F.concat(F.lit("[tool_result: "), name(b), F.when(b["is_error"], " ERROR").otherwise(""), F.lit(", "), F.coalesce(F.length(b["content"]), F.lit(0)).cast("string"), F.lit(" chars - full payload in evidence]"))
+    shown = lambda b: (
+        F.when(b["type"] == "text", nonempty(b["text"])).when(b["type"] == "thinking", F.concat(F.lit(REASONING + "\n"), nonempty(b["thinking"])))
+        .when(b["type"] == "tool_use", used(b)).when(b["type"] == "tool_result", result(b)).when(b["type"] != "token_budget", F.concat(F.lit("["), b["type"], F.lit(" block]")))
+    )
+    blocks = F.coalesce(content, F.filter(content, lambda b: F.lit(False)))
+    texts = F.filter(F.transform(blocks, lambda b: F.when(b["type"] == "text", nonempty(b["text"]))), lambda x: x.isNotNull())
+    squeezed = lambda c: F.regexp_replace(c, r"\s+", "")
+    top = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    extra = F.when((top != "") & (squeezed(top) != squeezed(F.coalesce(F.array_join(texts, ""), F.lit("")))), F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, F.concat(F.lit(TOP_LEVEL + "\n"), top)).otherwise(top))
+    parts = F.filter(F.concat(F.coalesce(F.transform(blocks, shown), F.array().cast("array<string>")), F.array(extra)), lambda x: x.isNotNull())
+    return nonempty(F.regexp_replace(F.array_join(parts, "\n\n"), r"^\s+|\s+$", ""))
