@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.functions.lineage import new_folder
-from cairnbook.operators import ingest
+from cairnbook.functions.lineage import fixed, new_folder
+from cairnbook.operators import bundles, ingest
 from cairnbook.plans import sql
 from cairnbook.plans.registry import query
 from cairnbook.plans.tables import objects, read, visits
@@ -83,3 +83,95 @@ def _(s, d):
     now = ingest.read_table(s, path, "object").select("object_id", F.col("current_version").alias("version_id"))
     names = ingest.read_table(s, path, "source_object").select("object_id", F.substring("native_id", 4, 18).cast("long").alias("doc_id"))
     return now.join(ingest.read_table(s, path, "object_version").select("version_id", "body"), "version_id").join(names, "object_id").select("object_id", "doc_id", "body")
+
+
+# bundles and stored files
+
+_NEWLINE = F.lit("\n")
+
+
+def _evidence(s, d) -> tuple[DataFrame, DataFrame]:
+    """(objects, blobs) of a store of all documents."""
+    o = objects(s, d).select("doc_id", "object_id", F.md5(F.col("object_id").cast("binary")).alias("uuid"), "content_hash", "body")
+    return o.drop("body"), o.select("content_hash", F.col("body").cast("binary").alias("content"), F.octet_length("body").alias("bytes"))
+
+
+def _bundle(s, d) -> tuple[str, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A bundle for a replica that lacks a third of the documents and the last of them."""
+    have, blobs = _evidence(s, d)
+    old = have.filter("doc_id % 3 <> 1")
+    old_blobs = blobs.join(old.select("content_hash"), "content_hash", "left_semi")
+    path = new_folder(s, "bundle")
+    bundles.export_bundle(have, blobs, path, old, old_blobs)
+    return path, have, blobs, old, old_blobs
+
+
+_SENT = "h AS (SELECT sha256(text) AS content_hash, doc_id, text FROM documents), sent AS (SELECT content_hash, max(strlen(text)) AS bytes, min(doc_id) AS k FROM h GROUP BY 1 HAVING bool_and(doc_id % 3 = 1))"
+
+
+@query("K07_bundle_delta", f"WITH {_SENT} SELECT content_hash, bytes FROM sent")
+def _(s, d):
+    return s.read.parquet(f"{_bundle(s, d)[0]}/blobs").select("content_hash", "bytes")
+
+
+@query(
+    "K07_digest_tree",
+    """WITH h AS (SELECT sha256(text) AS c, max(strlen(text)) AS bytes FROM documents GROUP BY 1), l AS (SELECT substr(c, 1, 4) AS prefix, count(*) AS n, sum(bytes) AS bytes, sha256(string_agg(c, chr(10) ORDER BY c)) AS digest FROM h GROUP BY 1),
+b AS (SELECT substr(prefix, 1, 2) AS p, sum(n) AS n, sum(bytes) AS bytes, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM l GROUP BY 1)
+SELECT 2 AS level, prefix, n, CAST(bytes AS BIGINT) AS bytes, digest FROM l UNION ALL SELECT 1, p, CAST(n AS BIGINT), CAST(bytes AS BIGINT), digest FROM b UNION ALL SELECT 0, '', CAST(sum(n) AS BIGINT), CAST(sum(bytes) AS BIGINT), sha256(string_agg(p || ':' || digest, chr(10) ORDER BY p)) FROM b""",
+)
+def _(s, d):
+    return bundles.digest_tree(_evidence(s, d)[1])
+
+
+@query("Y03_damaged_bundle", f"WITH {_SENT} SELECT 'corrupt blob' AS refusal, count(*) AS n FROM sent WHERE k % 10 = 1 UNION ALL SELECT 'missing blob', count(*) FROM sent WHERE k % 10 IN (1, 4) UNION ALL SELECT 'leaf differs', count(DISTINCT substr(content_hash, 1, 4)) FROM sent WHERE k % 10 IN (1, 4)")
+def _(s, d):
+    """A bundle some of whose blobs got lost and others changed on the way."""
+    path, have, _, old, old_blobs = _bundle(s, d)
+    k = have.groupBy("content_hash").agg(F.min("doc_id").alias("k"))
+    torn = new_folder(s, "bundle")
+    for part in ("objects", "tree", "manifest"):
+        s.read.parquet(f"{path}/{part}").write.parquet(f"{torn}/{part}")
+    b = s.read.parquet(f"{path}/blobs").join(k, "content_hash").filter("k % 10 <> 4")
+    b.withColumn("content", F.when(F.col("k") % 10 == 1, F.concat("content", F.lit("~").cast("binary"))).otherwise(F.col("content"))).drop("k").write.parquet(f"{torn}/blobs")
+    return bundles.check_bundle(s, torn, old, old_blobs)
+
+
+@query("Y03_applied_bundle", "SELECT printf('KB-%08d', doc_id + 1) AS object_id, sha256(text) AS content_hash, strlen(text) AS bytes FROM documents")
+def _(s, d):
+    """What the replica holds after the bundle: every object with its evidence."""
+    path, _, _, old, old_blobs = _bundle(s, d)
+    refused, have, blobs = bundles.apply_bundle(s, path, old, old_blobs)
+    return have.select("object_id", "content_hash").join(blobs.select("content_hash", "bytes").dropDuplicates(["content_hash"]), "content_hash")
+
+
+@query("Y03_refused_bundle", "SELECT 'this store is ahead' AS refusal, 1 AS n FROM documents HAVING count(*) > 1")
+def _(s, d):
+    """A bundle of an old store, for one that has gone on."""
+    have, blobs = _evidence(s, d)
+    last = have.agg(F.max("doc_id").alias("last"))
+    path = new_folder(s, "bundle")
+    bundles.export_bundle(have.join(F.broadcast(last), F.col("doc_id") < F.col("last")).drop("last"), blobs, path)  # one row
+    return bundles.check_bundle(s, path, have, blobs).filter("refusal like '%ahead'")
+
+
+_FILES = "b AS (SELECT sha256(text || chr(10)) AS h, min(doc_id) % 5 AS k FROM documents GROUP BY 1)"
+
+
+@query(
+    "V07_stored_files",
+    f"""WITH {_FILES} SELECT h AS name, CASE WHEN k IN (0, 3) THEN 'missing' WHEN k = 1 THEN 'corrupt' ELSE 'ok' END AS state, false AS prunable FROM b
+UNION ALL SELECT h || '.tmp-' || k, 'partial', k = 2 FROM b WHERE k IN (1, 2, 3) UNION ALL SELECT 'x' || h, 'foreign', false FROM b WHERE k = 4""",
+)
+def _(s, d):
+    """A folder of files named by their hash, some lost, some changed, some torn, some of strangers."""
+    t = read(s, d, "documents").select("doc_id", "text").withColumn("h", F.sha2(F.concat("text", _NEWLINE), 256))
+    b = fixed(t.groupBy("h").agg((F.min("doc_id") % 5).alias("k"), F.first("text").alias("value")))
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    h, k = F.col("h"), F.col("k")
+    whole = b.filter("k in (1, 2, 4)").select(h.alias("name"), F.when(k == 1, F.concat("value", F.lit("~"))).otherwise(F.col("value")).alias("value"))
+    torn = b.filter("k in (1, 2, 3)").select(name(h, ".tmp-", k.cast("string")).alias("name"), F.substring("value", 1, 10).alias("value"))
+    other = b.filter("k = 4").select(name("x", h).alias("name"), F.lit("who knows").alias("value"))
+    path = new_folder(s, "files")
+    whole.unionByName(torn).unionByName(other).repartition("name").write.partitionBy("name").text(path)
+    return bundles.account_for_files(bundles.list_files(s, path), b.select(h.alias("content_hash")))
