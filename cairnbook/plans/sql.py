@@ -118,15 +118,21 @@ q AS (SELECT DISTINCT query_id, t FROM (SELECT p_partkey AS query_id, unnest({to
 m AS (SELECT query_id, object_id, title, bool_or(lower(title) = q.t) AS exact FROM q JOIN w ON q.t = w.t GROUP BY 1, 2, 3)
 SELECT query_id, object_id, title, exact FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, object_id) AS k FROM m) WHERE k <= 8"""
 
-MENTIONS = f"""WITH {URL}, {OBJ},
-ti AS (SELECT DISTINCT title FROM (SELECT unnest(string_split(domain, '.')) AS title FROM u WHERE domain IS NOT NULL UNION ALL SELECT {REGISTRABLE} FROM u WHERE domain IS NOT NULL) WHERE length(title) >= 4),
-ph AS (SELECT title, array_to_string({toks('title')}, ' ') AS run, len({toks('title')}) AS k FROM ti),
-dx AS (SELECT object_id, {toks('body')} AS ws FROM obj),
+def mention_ctes(titles: str, objects: str) -> str:
+    """CTEs that rank the texts of `objects` (object_id, body) for each title of a table; sc has the scores, per and tot
+    the counts."""
+    return f"""ph AS (SELECT title, array_to_string({toks('title')}, ' ') AS run, len({toks('title')}) AS k FROM {titles}),
+dx AS (SELECT object_id, {toks('body')} AS ws FROM {objects}),
 g AS (SELECT object_id, len(ws) AS size, array_to_string(ws[i:i + k - 1], ' ') AS run FROM dx, (SELECT DISTINCT k FROM ph), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
 hit AS (SELECT title, object_id, size, count(*) AS tf FROM g JOIN ph USING (run) GROUP BY 1, 2, 3),
 tot AS (SELECT count(*) AS total, avg(len(ws)) AS mean FROM dx),
 per AS (SELECT title, count(*) AS n FROM hit GROUP BY 1),
-sc AS (SELECT title, object_id, round(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM hit JOIN per USING (title), tot WHERE n <= greatest(floor(total * 0.05), 1))
+sc AS (SELECT title, object_id, round(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM hit JOIN per USING (title), tot WHERE n <= greatest(floor(total * 0.05), 1))"""
+
+
+MENTIONS = f"""WITH {URL}, {OBJ},
+ti AS (SELECT DISTINCT title FROM (SELECT unnest(string_split(domain, '.')) AS title FROM u WHERE domain IS NOT NULL UNION ALL SELECT {REGISTRABLE} FROM u WHERE domain IS NOT NULL) WHERE length(title) >= 4),
+{mention_ctes('ti', 'obj')}
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY title ORDER BY score DESC, object_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 500
 UNION ALL SELECT title, NULL, NULL, NULL FROM per, tot WHERE n > greatest(floor(total * 0.05), 1)"""
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnbook.functions import text as tx
 from cairnbook.functions.lineage import fixed, new_folder
-from cairnbook.operators import bundles, ingest
+from cairnbook.operators import bundles, ingest, rebuild
 from cairnbook.plans import sql
 from cairnbook.plans.registry import query
-from cairnbook.plans.tables import objects, read, visits
+from cairnbook.plans.tables import messages, objects, read, urls, visits
 
 # ingestion
 
@@ -175,3 +176,58 @@ def _(s, d):
     path = new_folder(s, "files")
     whole.unionByName(torn).unionByName(other).repartition("name").write.partitionBy("name").text(path)
     return bundles.account_for_files(bundles.list_files(s, path), b.select(h.alias("content_hash")))
+
+
+# graph rebuilds
+
+_FROM = 90_000_000
+
+
+def _rebuilt(s, d) -> dict[str, DataFrame]:
+    """A graph over two thirds of the documents and half of the pages; then another over four fifths and all of them, which
+    retires what only the first had; then the same again, which changes nothing. An acquired edge stays throughout."""
+    docs = objects(s, d).select("doc_id", "object_id", "object_class", "source_id", "account_id", "native_path", "body")
+    chats = messages(s, d).select("conv_id", F.col("conversation_id").alias("object_id")).distinct()
+    text = lambda c: F.lit(c).cast("string")
+    chats = chats.select(F.lit(None).cast("long").alias("doc_id"), "object_id", F.lit("Conversation").alias("object_class"), text(None).alias("source_id"), F.concat(F.lit("acct"), (F.col("conv_id") % 3).cast("string")).alias("account_id"), text(None).alias("native_path"), text(None).alias("body"))
+    pages = urls(s, d).select("page_id", tx.object_id(F.col("page_id") + 70_000_000).alias("object_id"), "normalized_url", "domain")
+    entities, edges = rebuild.empty_graph(s)
+    edges = docs.filter("doc_id % 10 = 0").select("object_id", F.lit("KB-00000001").alias("target_object"), F.lit("PART_OF").alias("relationship_type"), F.lit("job:1").alias("created_by")).withColumnRenamed("object_id", "source_object")
+    one = rebuild.rebuild(docs.filter("doc_id % 3 <> 0").unionByName(chats), pages.filter("page_id % 2 = 0"), entities, edges, _FROM)
+    high = _FROM + one["entities"].count()
+    second = docs.filter("doc_id % 5 <> 0 and source_id <> 'src1'").unionByName(chats)
+    two = rebuild.rebuild(second, pages, one["entities"], one["edges"], high)
+    high += two["entities"].count() - one["entities"].count()
+    three = rebuild.rebuild(second, pages, two["entities"], two["edges"], high)
+    provenance = one["provenance"].unionByName(two["provenance"]).unionByName(three["provenance"])
+    return {"entities": three["entities"], "edges": three["edges"], "provenance": provenance}
+
+
+_GRAPH = f"""{sql.URL}, {sql.OBJ}, ch AS (SELECT DISTINCT conv_id, printf('KB-%08d', conv_id + 50000000) AS object_id FROM conversations), r AS (SELECT page_id, printf('KB-%08d', page_id + 70000000) AS object_id, {sql.REGISTRABLE} AS title FROM u WHERE normalized_url IS NOT NULL),
+o1 AS (SELECT * FROM obj WHERE doc_id % 3 <> 0), o2 AS (SELECT * FROM obj WHERE doc_id % 5 <> 0 AND source_id <> 'src1'),
+acc AS (SELECT 'Account' AS c, 'acct' || conv_id % 3 AS title FROM ch),
+e1 AS (SELECT 'Domain' AS c, title FROM r WHERE page_id % 2 = 0 UNION SELECT 'Workspace', source_id FROM o1 UNION SELECT 'Folder', source_id FROM o1 UNION SELECT 'Account', account_id FROM o1 UNION FROM acc),
+e2 AS (SELECT 'Domain' AS c, title FROM r UNION SELECT 'Workspace', source_id FROM o2 UNION SELECT 'Folder', source_id FROM o2 UNION SELECT 'Account', account_id FROM o2 UNION FROM acc),
+ids AS (SELECT c, title, row_number() OVER (ORDER BY c, title) + {_FROM} AS n FROM e1 UNION ALL SELECT c, title, row_number() OVER (ORDER BY c, title) + {_FROM} + (SELECT count(*) FROM e1) FROM (FROM e2 EXCEPT FROM e1)),
+ti AS (SELECT DISTINCT title FROM ids WHERE c IN ('Domain', 'Workspace') AND length(title) >= 4), txt AS (SELECT object_id, body FROM o2 UNION ALL SELECT object_id, NULL FROM ch),
+{sql.mention_ctes('ti', 'txt')},
+x AS (SELECT r.object_id AS s, 'Domain' AS c, title, 'HOSTED_AT' AS t, 'rule:domain-from-url' AS b FROM r UNION SELECT object_id, 'Workspace', source_id, 'BELONGS_TO', 'rule:workspace-from-registry' FROM o2 UNION SELECT object_id, 'Folder', source_id, 'STORED_IN', 'rule:folder-from-path' FROM o2
+  UNION SELECT object_id, 'Account', 'acct' || conv_id % 3, 'BELONGS_TO', 'rule:account-from-registry' FROM ch
+  UNION SELECT object_id, c, title, 'MENTIONS', 'rule:mention-fts' FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, object_id) AS k FROM sc) JOIN ids USING (title) WHERE k <= 500 AND c IN ('Domain', 'Workspace')),
+ed AS (SELECT s AS source_object, printf('KB-%08d', n) AS target_object, t AS relationship_type, b AS created_by FROM x JOIN ids USING (c, title) UNION ALL SELECT object_id, 'KB-00000001', 'PART_OF', 'job:1' FROM obj WHERE doc_id % 10 = 0)"""
+
+
+@query("G07_rebuilt_entities", f"WITH {_GRAPH} SELECT printf('KB-%08d', n) AS object_id, c AS entity_class, title, CASE WHEN printf('KB-%08d', n) IN (SELECT target_object FROM ed) THEN 'CURRENT' ELSE 'SUPERSEDED' END AS decay_status, c IN ('Domain', 'Workspace') AND title IN (SELECT title FROM per, tot WHERE per.n > greatest(floor(total * 0.05), 1)) AS saturated FROM ids")
+def _(s, d):
+    return _rebuilt(s, d)["entities"].select("object_id", "entity_class", "title", "decay_status", "saturated")
+
+
+@query("G07_rebuilt_edges", f"WITH {_GRAPH} SELECT * FROM ed")
+def _(s, d):
+    return _rebuilt(s, d)["edges"]
+
+
+@query("G01_entity_provenance", f"WITH {_GRAPH} SELECT printf('KB-%08d:v01', n) AS version_id, 'graph:' || CASE c WHEN 'Domain' THEN 'domain-from-url' WHEN 'Workspace' THEN 'workspace-from-registry' WHEN 'Folder' THEN 'folder-from-path' ELSE 'account-from-registry' END AS transformation_id FROM ids")
+def _(s, d):
+    """The rule that made each entity: the provenance of its first version, whichever rebuild that was."""
+    return _rebuilt(s, d)["provenance"].filter("version_id like '%:v01'").select("version_id", "transformation_id")
