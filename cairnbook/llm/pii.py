@@ -6,8 +6,7 @@ few small-valued format and context features. Validators (Luhn, octets, digit co
 proposal label a part of them; counts of labelled proposals per feature cell, over all documents, train boosted trees,
 whose scores become thresholds that keep a stated precision on held-out documents. The words that label a proposal are
 hidden from its features there (and for half of the training documents), so that forms are judged and not the cue.
-Proposals at or above the threshold that pass their validator are added to the base spans, except addresses and numbers
-whose form or context labels them false.
+Proposals at or above the threshold that pass their validator are added to the base spans.
 
 Scale: two passes over the texts and no shuffle of them. Only counts per feature cell (at most CELLS rows, whatever the
 input) reach the driver; the trees go back as CASE expressions.
@@ -64,8 +63,14 @@ FEATURES = {"gen": len(BASE) + len(GENERATORS), "digits": 7, "seps": 5, "ctx": 7
 CELLS = math.prod(FEATURES.values())
 ROUNDS, RATE, RIDGE = 40, 0.3, 1.0
 #: Least share of true labels among held-out proposals at or above a threshold that pass their validator, as all added
-#: ones must, and least number of them.
-PRECISION, SUPPORT = 0.95, 5
+#: ones must; and how many proposals the share among all kinds counts for in that of one kind, so that a kind with few
+#: labels leans on the others and no count switches it on or off.
+PRECISION, PRIOR = 0.95, 5.0
+#: False labels that every form of a number of another thing and of an address without a last label gets beforehand, so
+#: that the trees know them where a table has none.
+KNOWN_FALSE = 2.0
+#: Matches of a text that are placed together, so that a list of many never grows one by one.
+CHUNK = 256
 
 _SPAN = "array<struct<gen:int,s:int,e:int,m:string>>"
 
@@ -73,10 +78,9 @@ _SPAN = "array<struct<gen:int,s:int,e:int,m:string>>"
 def _spans(text: Column, pattern: str, gen: int, there: Column, least: int) -> Column:
     """Matches of the pattern with code-point offsets: the text between matches and the matches take turns. Matches of
     fewer than `least` characters, which no validator passes, are left out, so that a text full of small numbers
-    doesn't grow a long list."""
+    doesn't grow a long list. Matches are placed chunk by chunk."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["p"]
@@ -85,7 +89,27 @@ def _spans(text: Column, pattern: str, gen: int, there: Column, least: int) -> C
         kept = F.when(F.length(x["m"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(end.alias("at"), kept.alias("out"))
 
-    return F.when(there, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def chunk(acc: Column, part: Column) -> Column:
+        placed = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out")), step)
+        return F.element_at(F.transform(F.array(placed), lambda q: F.struct(q["at"].alias("at"), F.concat(acc["out"], F.array(q["out"])).alias("out"))), 1)
+
+    parts = F.transform(F.array(pairs), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_, c * CHUNK + 1, CHUNK)))
+    placed = F.aggregate(F.element_at(parts, 1), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), chunk, lambda acc: F.flatten(acc["out"]))
+    return F.when(there & text.rlike(pattern), placed).otherwise(F.array().cast(_SPAN))
+
+
+def _last_before(spans: Column, end: Column) -> Column:
+    """Of spans in order, the last that starts before `end`; null if there is none."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        left = (acc["lo"] < acc["hi"]) & (F.get(spans, middle)["s"] < end)
+        right = (acc["lo"] < acc["hi"]) & ~left
+        return F.struct(F.when(left, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, middle).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    return F.get(spans, F.aggregate(steps, start, halve, lambda acc: acc["lo"]) - 1)
 
 
 def _digits(m: Column) -> Column:
@@ -170,9 +194,10 @@ def _featured(x: Column, hidden: Column | None = None) -> Column:
     wide = x["gen"] >= len(BASE)
     label = F.when(kind == "secret", ok & (ctx == SECRET_CONTEXT)).when(~wide, ok).when(~ok, F.lit(False))
     label = F.when(wide & ok & (kind == "phone") & (ctx == PHONE_CONTEXT), F.lit(True)).when(wide & (kind == "email") & (last == 0), F.lit(False)).otherwise(label)
-    same_base = F.lit(False)
+    same_base = ~wide & ok
     for k in BASE_KINDS:
-        same_base = same_base | ((kind == k) & F.exists(f"_{k}", lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"])))
+        met = _last_before(F.col(f"_{k}"), x["s"] + 1)
+        same_base = same_base | F.when(wide & (kind == k), F.coalesce((met["s"] == x["s"]) & (met["e"] == x["e"]), F.lit(False))).otherwise(F.lit(False))
     label = F.when(same_base, F.lit(True)).otherwise(label)
     other = kind.isin("card", "phone", "ip") & (ctx == OTHER_CONTEXT)
     label = F.when(other, F.lit(False)).otherwise(label)
@@ -240,22 +265,36 @@ def _score(trees: list, x: tuple[int, ...]) -> float:
     return total
 
 
-def _threshold(scored: list[tuple[float, float, float]]) -> float:
-    """The least score at or above which the share of true labels is PRECISION. scored: (score, true, false labels).
-    Without false labels there is nothing to calibrate on, and it is the least score of a true label."""
-    scored = sorted(scored, reverse=True)
-    good = bad = 0.0
+def _threshold(scored: list[tuple[float, float, float]], pooled: list[tuple[float, float, float]]) -> float:
+    """The least score at or above which the share of true labels is PRECISION, among a kind's own held-out proposals and
+    PRIOR more that are true as often as those of all kinds at or above this score. Both are (score, true, false labels).
+    Infinite if no score reaches it."""
     least = math.inf
-    for k, (score, pos, neg) in enumerate(scored):
-        good, bad = good + pos, bad + neg
-        last_of_score = k + 1 == len(scored) or scored[k + 1][0] < score
-        if last_of_score and good >= SUPPORT and good >= PRECISION * (good + bad):
-            least = score
+    for cut in sorted({score for score, *_ in pooled}, reverse=True):
+        counts = [[sum(x[k] for x in rows if x[0] >= cut) for k in (1, 2)] for rows in (scored, pooled)]
+        (good, bad), (all_good, all_bad) = counts
+        prior = (all_good + 0.5) / (all_good + all_bad + 0.5)
+        if good + PRIOR * prior >= PRECISION * (good + bad + PRIOR):
+            least = cut
     return least
 
 
+def _known_false() -> list[tuple[tuple[int, ...], float, float]]:
+    """The cells that KNOWN_FALSE goes to."""
+    out = []
+    for gen, kind in list(enumerate(_KIND_OF))[len(BASE):]:
+        for digits in range(FEATURES["digits"]):
+            for seps in range(FEATURES["seps"]):
+                for spaces in range(FEATURES["spaces"]):
+                    if kind in ("card", "phone", "ip"):
+                        out.append(((gen, digits, seps, OTHER_CONTEXT, 0, 0, 0, spaces, 0), 0.0, KNOWN_FALSE))
+                    elif kind == "email":
+                        out += [((gen, digits, seps, ctx, 0, after, 2, spaces, 0), 0.0, KNOWN_FALSE) for ctx in (0, 4) for after in (0, 1)]
+    return out
+
+
 def fit(docs: DataFrame) -> dict:
-    """The model: trees, and the threshold of each kind (infinite where held-out proposals don't support one).
+    """The model: trees, and the threshold of each kind (infinite where no score keeps the precision).
 
     Counts cover the proposals of all documents; a fifth of the documents, by the text's hash, calibrates."""
     names = list(FEATURES)
@@ -266,12 +305,10 @@ def fit(docs: DataFrame) -> dict:
     cells = lambda part: [(tuple(r[f] for f in names), float(r["pos"]), float(r["neg"])) for r in part]
     rows.sort(key=lambda r: (r["kind"], r["ok"], *(r[f] for f in names)))
     training = cells([r for r in rows if not r["held"]])
-    trees = _boost(training) if training else []
-    thresholds = {}
-    for kind in KINDS:
-        held_out = cells([r for r in rows if r["held"] and r["ok"] and r["kind"] == kind])
-        thresholds[kind] = _threshold([(_score(trees, x), pos, neg) for x, pos, neg in held_out])
-    return {"trees": trees, "thresholds": thresholds}
+    trees = _boost(training + _known_false()) if training else []
+    scored = {k: [(_score(trees, x), pos, neg) for x, pos, neg in cells([r for r in rows if r["held"] and r["ok"] and r["kind"] == k])] for k in KINDS}
+    pooled = [x for one in scored.values() for x in one]
+    return {"trees": trees, "thresholds": {k: _threshold(one, pooled) for k, one in scored.items()}}
 
 
 def _tree_sql(tree, x: Column) -> Column:
@@ -287,8 +324,9 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
 
     Null and empty text: no spans. Base spans all stay; an added span overlaps none of them, and of overlapping added
     ones the best score stays, then the longest, then the first. Columns base and spans of docs are replaced; others,
-    repeated rows and nulls pass through. Empty table: no rows."""
-    out = _proposed(docs.drop("base", "spans"))
+    whatever their names, repeated rows and nulls pass through. Empty table: no rows."""
+    names = [c for c in docs.columns if c not in ("base", "spans")]
+    out = _proposed(docs.select(F.struct(*names).alias("_row"), "text"))
     minded = [k for k in KINDS if model["thresholds"][k] < math.inf]
     added = F.array().cast("array<struct<s:int,e:int,kind:string,score:double>>")
     if minded:
@@ -296,19 +334,20 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
             total = F.lit(0.0)
             for tree in model["trees"]:
                 total = total + _tree_sql(tree, x)
-            return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["ok"].alias("ok"), x["y"].alias("y"), total.alias("score"))
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["ok"].alias("ok"), total.alias("score"))
 
         def enough(x: Column) -> Column:
             least = F.lit(math.inf)
             for k in minded:
                 least = F.when(x["kind"] == k, F.lit(float(model["thresholds"][k]))).otherwise(least)
-            refused = ~x["kind"].isin("card", "secret") & (x["y"] == F.lit(False))
-            return x["ok"] & ~F.coalesce(refused, F.lit(False)) & (x["score"] >= least - 1e-9)
-
-        base_spans = F.concat(*[F.col(f"_{k}") for k in BASE_KINDS])
+            return x["ok"] & (x["score"] >= least - 1e-9)
 
         def free(x: Column) -> Column:
-            return ~F.exists(base_spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            """No base span, of which those of one kind don't overlap, reaches into x."""
+            out = F.lit(True)
+            for k in BASE_KINDS:
+                out = out & F.coalesce(_last_before(F.col(f"_{k}"), x["e"])["e"] <= x["s"], F.lit(True))
+            return out
 
         wide = F.transform(F.filter("_all", free), lambda x: _featured(x))
         good = F.filter(F.transform(wide, scored), enough)
@@ -335,7 +374,7 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
             ends = F.concat(F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))), ends)
         listed.append(F.transform(F.array_sort(ends), _listed(k)).cast(plain))
     base = F.struct(*[F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias(k) for k in BASE_KINDS])
-    return out.select(*[c for c in docs.columns if c not in ("base", "spans")], base.alias("base"), F.concat(*listed).alias("spans"))
+    return out.select("_row.*", base.alias("base"), F.concat(*listed).alias("spans"))
 
 
 def redact(found: DataFrame) -> DataFrame:

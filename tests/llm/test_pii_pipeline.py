@@ -132,7 +132,59 @@ def test_thresholds_calibrate_on_both_labels(spark):
     every = pii._proposed(spark.createDataFrame([(t,) for t in texts], "text string")).select(F.explode(F.transform("_all", lambda x: pii._featured(x))).alias("p")).select("p.*")
     labels = {(r["ok"], r["y"]): r["n"] for r in every.filter("kind = 'phone'").groupBy("ok", "y").agg(F.count("*").alias("n")).collect()}
     assert labels == {(True, True): 200, (True, False): 200}
-    assert pii._threshold([(2.0, 50.0, 1.0), (0.5, 50.0, 40.0)]) == 2.0
+    both = [(2.0, 50.0, 1.0), (0.5, 50.0, 40.0)]
+    assert pii._threshold(both, both) == 2.0
+
+
+def test_thresholds_of_kinds_with_few_labels_lean_on_the_others():
+    pooled = [(2.0, 90.0, 1.0), (0.5, 50.0, 40.0)]
+    assert [pii._threshold(own, pooled) for own in ([], [(2.0, 1.0, 0.0)], [(2.0, 4.0, 0.0)], [(2.0, 5.0, 0.0)])] == [2.0] * 4
+    assert pii._threshold([(2.0, 0.0, 3.0)], pooled) == math.inf and pii._threshold([], []) == math.inf
+
+
+def test_added_spans_equal_a_plain_run_of_the_model(spark, model):
+    """Proposals and their features come from the table; scores, thresholds, overlaps and base spans are done again in
+    plain Python."""
+    texts = ["call 555-010-7777 or (555) 010-8888", "contact jo (at) mail (dot) example (dot) com", "card 4111.1111.1111.1111 10.0.0.7", 'token = "' + "a1" * 20 + '" invoice 555-010-7777', "no. 4111111111111111 x", "+1 555 010 99991111 4111111111111111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    found = {(r["doc_id"], r["text"]): r for r in pii.find(docs, model).collect()}
+    props = pii._proposed(docs).select("doc_id", "text", F.transform("_all", lambda x: pii._featured(x)).alias("p")).collect()
+    for row in props:
+        got = found[(row["doc_id"], row["text"])]
+        base = [(s["start"], s["end"]) for k in pii.BASE_KINDS for s in got["base"][k]]
+        good = []
+        for x in row["p"]:
+            score = pii._score(model["trees"], tuple(x[f] for f in pii.FEATURES))
+            if x["ok"] and score >= model["thresholds"][x["kind"]] - 1e-9 and all(b <= x["s"] or x["e"] <= a for a, b in base):
+                good.append((x["s"], -x["e"], x["kind"], score))
+        kept, last = [], None
+        for s, e, kind, score in sorted(good):
+            if last is None or s >= last[1]:
+                kept.append(last)
+                last = (s, -e, kind, score)
+            elif score > last[3] + 1e-9 or (abs(score - last[3]) <= 1e-9 and -e - s > last[1] - last[0]):
+                last = (s, -e, kind, score)
+        want = sorted((k[2], k[0], k[1]) for k in [*kept, last] if k)
+        added = sorted((s["kind"], s["start"], s["end"]) for s in got["spans"] if (s["start"], s["end"]) not in base)
+        assert added == want, row["text"]
+
+
+def test_columns_of_any_name_pass(spark, model):
+    docs = spark.createDataFrame([(1, "write to a@b.example.com", "t", 5, "e", "r", "a")], "doc_id long, text string, _text string, _all int, _email string, _raw_email string, _added string")
+    row = pii.find(docs, model).first()
+    assert (row["_text"], row["_all"], row["_email"], row["_raw_email"], row["_added"], len(row["spans"])) == ("t", 5, "e", "r", "a", 1)
+
+
+def test_many_matches_take_time_in_proportion(spark, model):
+    import time
+
+    took = []
+    for n in (1000, 4000, 8000):
+        docs = spark.createDataFrame([(" ".join(f"call +1 (555) 010-{k:04d}" for k in range(n)),)], "text string")
+        began = time.time()
+        assert pii.find(docs, model).select(F.size("spans")).first()[0] == n
+        took.append(time.time() - began)
+    assert took[2] < 2 * took[1] + 1
 
 
 def test_scores_accept_and_reject_valid_candidates_without_cues(spark):
