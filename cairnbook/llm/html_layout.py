@@ -7,6 +7,7 @@ Scale: no shuffle; each page is worked on alone and iteratively, so that deep ne
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
@@ -21,7 +22,7 @@ from cairnbook.llm.shared import bounded, pieces, text_or_empty
 # Fixed sets of element names, from the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title"}
-HIDDEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas"}
+HIDDEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "rp"}
 #: Drawings and formulas, and the elements inside them that are not shown.
 FOREIGN = ("svg", "math")
 HIDDEN_FOREIGN = {"desc", "defs", "metadata", "symbol", "clippath", "mask", "marker", "pattern", "annotation", "annotation-xml"}
@@ -252,6 +253,10 @@ def visible(node: Node) -> bool:
     return not ("style" in a and _UNSEEN.search(a["style"]))
 
 
+#: Lines are indented no further than this, so that deep nesting costs a line no more; markers and text stay.
+DEEPEST_INDENT = 40
+
+
 class Flow:
     """Lines of one flow of blocks: a page, or a table cell."""
 
@@ -260,14 +265,14 @@ class Flow:
         self.line: list[str] = []
         self.gap = 0  # blank lines owed before the next text
         self.space = False
-        self.indent: list[str] = []
+        self.indent = 0
         self.marker = ""
 
     def begin(self) -> None:
         if self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        prefix = "".join(self.indent)
+        prefix = " " * min(self.indent, DEEPEST_INDENT)
         if self.marker:
             prefix = prefix[: max(0, len(prefix) - len(self.marker))] + self.marker
             self.marker = ""
@@ -322,36 +327,65 @@ def _number(a: dict[str, str] | None, name: str, otherwise: int, most: int | Non
 
 
 #: A column is no wider than this for alignment, and no cell is moved further right than the end of alignment: longer
-#: cells stay whole and push what follows two spaces on, so padding stays in proportion to the page.
-WIDEST_COLUMN, ALIGNED_TO = 80, 2000
+#: cells stay whole and push what follows two spaces on. Where a table would still be padded by more than PADDING
+#: characters for each of its own, a cell counting for four, and the end of alignment once, that end is halved until it
+#: isn't. So padding stays in proportion to the page, and no text is lost.
+WIDEST_COLUMN, ALIGNED_TO, PADDING = 80, 2000, 6
+#: Rows that a cell reaches down over, at most; browsers take no more.
+MOST_ROWS = 65_534
+
+
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """The column of each cell (lines, colspan, rowspan): the first that neither the cells before it in its row nor cells
+    that reach down from above take."""
+    out: list[list[tuple[int, list[str], int]]] = []
+    reaching: list[tuple[int, int, int]] = []  # (first column, end, rows left below), by column
+    for row in rows:
+        placed, at, k = [], 0, 0
+        for lines, span, _ in row:
+            while k < len(reaching) and reaching[k][0] < at + span:  # it would run into one from above: go past it
+                at = max(at, reaching[k][1])
+                k += 1
+            placed.append((at, lines, span))
+            at += span
+        left = [(a, b, n - 1) for a, b, n in reaching if n > 1]
+        new = [(a, a + span, min(down, MOST_ROWS) - 1) for (a, _, span), (_, _, down) in zip(placed, row, strict=True) if down > 1]
+        reaching = sorted(left + new)
+        out.append(placed)
+    return out
 
 
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: each column as wide as its widest one-column cell, two spaces apart. A cell of several lines
-    makes a row of several lines."""
-    widths: list[int] = []
-    for row in rows:
-        k = 0
-        for lines, span in row:
-            if len(widths) < k + span:
-                widths.extend([0] * (k + span - len(widths)))
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table of cells (lines, colspan, rowspan): each column as wide as its widest one-column cell, two spaces
+    apart. A cell of several lines makes a row of several lines; its text stands in the first row that it covers."""
+    placed = _placed(rows)
+    widths: dict[int, int] = {}
+    for row in placed:
+        for k, lines, span in row:
             if span == 1:
-                widths[k] = min(max([widths[k], *map(len, lines)]), WIDEST_COLUMN)
-            k += span
-    starts = [0, *accumulate(w + 2 for w in widths)]
-    out = []
-    for row in rows:
-        columns = [0, *accumulate(span for _, span in row)]
-        for n in range(max((len(lines) for lines, _ in row), default=0)):
+                widths[k] = min(max([widths.get(k, 0), *map(len, lines)]), WIDEST_COLUMN)
+    # columns that no single cell fills are two spaces wide
+    known = sorted(widths)
+    filled = [0, *accumulate(widths[k] for k in known)]
+    start = lambda k: 2 * k + filled[bisect_left(known, k)]
+    height = lambda row: max((len(lines) for _, lines, _ in row), default=0)
+    cells = [[(start(k), lines[n]) for k, lines, _ in row if n < len(lines)] for row in placed for n in range(height(row))]
+    chars = sum(len(t) + 4 for line in cells for _, t in line)
+    limit = ALIGNED_TO
+    while True:
+        out, padding = [], 0
+        for line in cells:
             parts, size = [], 0
-            for (lines, _), k in zip(row, columns, strict=False):
-                if n < len(lines) and lines[n]:
-                    at = min(starts[k], ALIGNED_TO)
-                    gap = at - size if size <= at else 2
-                    parts.append(" " * gap + lines[n])
-                    size += gap + len(lines[n])
+            for k, text in line:
+                if text:
+                    gap = max(min(k, limit) - size, 2 * (size > 0))
+                    padding += gap
+                    parts.append(" " * gap + text)
+                    size += gap + len(text)
             out.append("".join(parts).rstrip(" "))
-    return out
+        if padding <= ALIGNED_TO + PADDING * chars or not limit:
+            return out
+        limit //= 2
 
 
 def render(root: Node) -> str:
@@ -359,6 +393,7 @@ def render(root: Node) -> str:
     flows = [Flow()]
     tables: list[list] = []
     counters: list[int | None] = []
+    indents: list[int] = []
     pre = 0
     stack: list[tuple[Node, int]] = [(root, 0)] if visible(root) else []
     while stack:
@@ -370,7 +405,8 @@ def render(root: Node) -> str:
                 lines = flows.pop().finish()
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((lines, max(1, _number(node.attributes, "colspan", 1, 1000))))
+                down = _number(node.attributes, "rowspan", 1, MOST_ROWS)
+                tables[-1][-1].append((lines, max(1, _number(node.attributes, "colspan", 1, 1000)), max(1, down) if down else MOST_ROWS))
             elif tag == "table" and tables:
                 lines = _aligned(tables.pop())
                 flow.block(True)
@@ -389,7 +425,7 @@ def render(root: Node) -> str:
                 if tag in ("li", "dd", "blockquote"):
                     flow.end_line()
                     flow.marker = ""
-                    flow.indent.pop()
+                    flow.indent -= indents.pop()
                 flow.block(tag in SPACED and not (tag in LIST and counters))
             continue
         stack.append((node, k + 1))
@@ -435,10 +471,12 @@ def render(root: Node) -> str:
                         counters[-1] = value + 1
                         marker = f"{value}. "
                     flow.marker = marker
-                    flow.indent.append(" " * len(marker))
+                    indents.append(len(marker))
+                    flow.indent += len(marker)
                 elif tag in ("dd", "blockquote"):
                     flow.marker = ""
-                    flow.indent.append("  ")
+                    indents.append(2)
+                    flow.indent += 2
             stack.append((child, 0))
     return "\n".join(flows[0].finish()).strip("\n")
 
