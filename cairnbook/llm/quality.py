@@ -41,14 +41,15 @@ LEAST_SD = 0.05
 PRIOR_ROWS = 50
 #: Chi-square median for seven degrees of freedom; distances are scaled so that a group's median is this.
 CHI2_MEDIAN = 6.346
-#: Statistics of texts have heavy tails, so distances are held against a multivariate t distribution with three degrees
-#: of freedom instead of a normal one: squared distances over seven are then F(7, 3). The cut is the 99.9% quantile,
-#: CHI2_MEDIAN * 131.58 / 1.2 (the F distribution's 99.9% quantile over its median).
-CUT = 696.0
-#: Concentration ends when no group's log determinant falls by this much any more (one row that changes sides moves it
-#: by more only in tiny groups), or after so many steps.
+#: Statistics of texts have heavy tails, so distances are held against a multivariate t distribution instead of a normal
+#: one: squared distances over seven are then F(7, f). The degrees of freedom f are fitted to each run's own distances,
+#: to which PRIOR_ROWS of the prior f are added; the cut is this quantile.
+PRIOR_FREEDOM, CUT_SHARE = 3.0, 0.999
+#: The fit compares these quantiles of what the cut keeps: first without, then up to the tail.
+CORE_QUANTILES, TAIL_QUANTILES = (0.5, 0.75), (0.5, 0.9)
+#: Concentration of a group ends when its log determinant falls by less than this (one row that changes sides moves it
+#: by more only in tiny groups). Every further step costs a fall of that size, and determinants have a floor.
 LEAST_FALL = 0.05
-MOST_STEPS = 12
 
 _SYMBOLS = b"#*$%&|<>"
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -132,9 +133,9 @@ _SUMS = [f"s{i}" for i in range(_P)] + [f"s{i}_{j}" for i, j in _PAIRS]
 
 
 def _moments() -> list[Column]:
-    """Exact sums of fixed-point values and products; decimals cannot overflow at any row count."""
-    wide = lambda c: F.sum(c.cast("decimal(20,0)")).alias
-    return [F.count("*").alias("n"), *(wide(F.col(f"v{i}"))(f"s{i}") for i in range(_P)), *(wide(F.col(f"v{i}") * F.col(f"v{j}"))(f"s{i}_{j}") for i, j in _PAIRS)]
+    """Exact sums of fixed-point values and products. A value is under 2 ** 14, so its squares fit into a long for
+    3 * 10 ** 10 rows of one distance bucket; beyond that Spark raises an error."""
+    return [F.count("*").alias("n"), *(F.sum(f"v{i}").alias(f"s{i}") for i in range(_P)), *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS)]
 
 
 def _floored(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,13 +200,20 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
     middle = F.array(*[F.col(f"q{i}")[1] / UNIT for i in range(_P)])
     around = sizes.select("grp", F.lit(0).alias("start"), middle.alias("centre"), F.array().cast("array<double>").alias("scatter"), diagonal.alias("inverse"), F.lit(1e6).alias("log_det"))
     seeded = long.filter(F.col("u") % 10 == 0).groupBy("grp").agg(*_moments()).withColumn("start", F.lit(1))
-    params = materialise(around.unionByName(seeded.mapInPandas(_estimates, _ESTIMATES)), "mcd-start")
-    for _ in range(MOST_STEPS):
-        was, params = params, materialise(_concentrate(long, sizes, params).mapInPandas(_estimates, _ESTIMATES), "mcd-step")
-        before = was.select("grp", "start", F.col("log_det").alias("was"))
-        fall = params.join(before, ["grp", "start"]).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
-        if fall is None or fall < LEAST_FALL:
+    # a start isn't a core yet: whatever its determinant, the first step is taken
+    params = materialise(around.unionByName(seeded.mapInPandas(_estimates, _ESTIMATES).withColumn("log_det", F.lit(1e6))), "mcd-start")
+    ended, moving = params.limit(0), params
+    while True:
+        step = _concentrate(long, sizes, moving).mapInPandas(_estimates, _ESTIMATES)
+        was = moving.select("grp", "start", F.struct(*[c for c in params.columns if c not in ("grp", "start")]).alias("was"))
+        met = materialise(step.join(was, ["grp", "start"]).withColumn("fall", F.col("was.log_det") - F.col("log_det")), "mcd-step")
+        # a step that doesn't lower the determinant isn't taken
+        still = met.filter(F.col("fall") < LEAST_FALL)
+        ended = ended.unionByName(still.filter("fall > 0").select(params.columns)).unionByName(still.filter("fall <= 0").select("grp", "start", "was.*"))
+        moving = met.filter(F.col("fall") >= LEAST_FALL).select(params.columns)
+        if moving.isEmpty():
             break
+    params = materialise(ended, "mcd-ended")
     best = params.groupBy("grp").agg(F.min_by(F.struct("centre", "scatter"), F.struct("log_det", "start")).alias("p")).select("grp", "p.*")
     fits = materialise(_with_wider(sizes.select("level", "grp", "wider", "total").join(best, "grp"), ["centre", "scatter"]).mapInPandas(_inverted, "level int, grp string, wider string, total long, centre array<double>, scatter array<double>, inverse array<double>"), "mcd-fits")
     placed = fits.select("grp", "centre", "inverse", F.lit(0).alias("start"))
@@ -242,8 +250,54 @@ def _concentrate(long: DataFrame, sizes: DataFrame, params: DataFrame) -> DataFr
     return core.groupBy("grp", "start").agg(F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in _SUMS))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", cut: float = CUT) -> DataFrame:
+_GRID = np.linspace(-14.0, 40.0, 27_001)
+
+
+def f_quantile(share: float, freedom: float) -> float:
+    """A quantile of the F distribution with seven and `freedom` degrees of freedom, from its density over logarithms."""
+    density = np.exp(_P / 2 * _GRID - (_P + freedom) / 2 * np.log1p(_P / freedom * np.exp(_GRID)))
+    below = np.cumsum(density)
+    return float(np.exp(np.interp(share, below / below[-1], _GRID)))
+
+
+def _freedom(ratio: float, shares: tuple[float, float]) -> float:
+    """The degrees of freedom at which two quantiles have this ratio, which falls as they rise; from 1/2 to 200."""
+    low, high = 0.5, 200.0
+    for _ in range(40):
+        middle = (low * high) ** 0.5
+        if f_quantile(shares[1], middle) / f_quantile(shares[0], middle) > ratio:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def fitted_cut(counts: list[tuple[int, int]]) -> float:
+    """The cut from a histogram of scaled squared distances over logarithmic buckets (bucket, n). The freedom is first
+    fitted to the core, then to what each cut keeps, until the cut stays."""
+    at = np.array([(b + 0.5) / BUCKETS for b, _ in counts])
+    n = np.array([float(n) for _, n in counts])
+    scale = CHI2_MEDIAN / f_quantile(0.5, PRIOR_FREEDOM)
+    prior = np.log([scale * f_quantile((k + 0.5) / PRIOR_ROWS, PRIOR_FREEDOM) for k in range(PRIOR_ROWS)])
+    at, n = np.concatenate([at, prior]), np.concatenate([n, np.ones(PRIOR_ROWS)])
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    cut, shares = np.inf, CORE_QUANTILES
+    for _ in range(20):
+        inside = np.exp(at) <= cut
+        below = (np.cumsum(n[inside]) - n[inside] / 2) / n[inside].sum()
+        low, high = (float(np.exp(np.interp(q, below, at[inside]))) for q in shares)
+        freedom = _freedom(high / low, shares)
+        before, cut = cut, low * f_quantile(CUT_SHARE, freedom) / f_quantile(0.5, freedom)
+        if abs(cut - before) * BUCKETS < cut:
+            break
+        shares = TAIL_QUANTILES
+    return float(cut)
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", cut: float | None = None) -> DataFrame:
     """docs: key, text, lang, source. Returns per row: key, lang, source, the base figures, base_failed, distance, kept.
+    cut: the largest distance that stays; none: fitted to the distances of this run.
 
     Null or empty text: zeros, base_failed (distance null). Null lang or source: a group of its own. A group of few rows
     leans on its language's estimate, and that on the estimate of all rows; a single row is its own centre. Repeated
@@ -252,9 +306,11 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", cut: float = CUT) -> Dat
     stats = stats.select("*", base_failed().alias("base_failed"), *(c.alias(n) for n, c in _vector().items()))
     usable = stats.filter(~F.col("base_failed")).withColumn("u", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(1 << 20)))
     fit = fit_mcd(usable.select("lang", "source", "u", *[f"v{i}" for i in range(_P)]))
-    judged = salted_left_join(stats, fit, ["lang", "source"])
     distance = F.when(~F.col("base_failed"), _distance() / F.col("factor"))
-    judged = judged.withColumn("distance", distance)
+    judged = materialise(salted_left_join(stats, fit, ["lang", "source"]).select("doc_id", "lang", "source", *STATS, "base_failed", distance.alias("distance")), "quality-judged")
+    if cut is None:  # the buckets are a few thousand, whatever the input
+        buckets = judged.filter("distance > 0").groupBy(F.floor(F.log("distance") * BUCKETS).cast("int").alias("b")).agg(F.count("*").alias("n"))
+        cut = fitted_cut([tuple(r) for r in buckets.orderBy("b").collect()])
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.select(F.col("doc_id").alias(key), "lang", "source", *STATS, "base_failed", "distance", kept.alias("kept"))
 

@@ -164,3 +164,22 @@ def test_every_length_gives_its_share():
     lengths, counts = np.arange(1, 2001), np.full(2000, 3)
     took = mixing.fit_counts(lengths, counts, 1_500_000.0)
     assert (took * lengths).sum() == 1_500_000 and abs((took * lengths)[1500:].sum() / (lengths * counts)[1500:].sum() - 0.25) < 0.02
+
+
+@pytest.mark.parametrize("freedom", [2.5, 4.0, 12.0])
+def test_the_cut_is_fitted_to_the_tail_and_ignores_outliers(freedom):
+    """Distances drawn from F(7, f), a tenth of them replaced by outliers: the cut is near that of the true freedom."""
+    rng = np.random.default_rng(2)
+    d = rng.chisquare(7, 200_000) / 7 / (rng.chisquare(freedom, 200_000) / freedom)
+    d *= quality.CHI2_MEDIAN / quality.f_quantile(0.5, freedom)
+    d[:20_000] = rng.uniform(5e4, 9e4, 20_000)
+    buckets = Counter(np.floor(np.log(d) * quality.BUCKETS).astype(int).tolist())
+    cut = quality.fitted_cut(sorted(buckets.items()))
+    true = quality.CHI2_MEDIAN * quality.f_quantile(0.999, freedom) / quality.f_quantile(0.5, freedom)
+    assert 0.5 < cut / true < 2.5 and cut < 4e4
+    assert abs(np.mean(d[20_000:] <= quality.CHI2_MEDIAN) - 0.5) < 0.01
+
+
+def test_the_cut_of_no_rows_is_that_of_the_prior():
+    prior = quality.CHI2_MEDIAN * quality.f_quantile(0.999, quality.PRIOR_FREEDOM) / quality.f_quantile(0.5, quality.PRIOR_FREEDOM)
+    assert 0.5 < quality.fitted_cut([]) / prior < 2
