@@ -129,6 +129,22 @@ def note_date(name: Column) -> Column:
     return F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
 
 
+def link_id(href: Column) -> Column:
+    """The 32 hex digits that name a note in a link, small; null if there are none."""
+    plain = F.coalesce(F.try_url_decode(href), href)
+    return F.nullif(F.lower(F.regexp_extract(plain, r"(?i)([0-9a-f]{32})", 1)), F.lit(""))
+
+
+def flat_value(value: Column, depth: int = 4) -> Column:
+    """A variant as text: lists joined by commas (down to `depth` levels, deeper ones as JSON), of objects their name,
+    filename or email, else themselves as JSON; null stays null."""
+    kind = F.schema_of_variant(value)
+    get = lambda k: F.nullif(F.try_variant_get(value, f"$.{k}", "string"), F.lit(""))
+    named = F.coalesce(get("name"), get("filename"), get("email"), F.to_json(value))
+    joined = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: flat_value(x, depth - 1)), ", ") if depth else F.to_json(value)
+    return F.when(kind.startswith("ARRAY"), joined).when(kind.startswith("OBJECT"), named).otherwise(F.try_variant_get(value, "$", "string"))
+
+
 @F.pandas_udf(T.StringType())
 def fix_mojibake(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text that was UTF-8 read as Latin-1 or cp1252 is read again; other text stays."""

@@ -116,6 +116,26 @@ def neighbours(edges: DataFrame, ids: DataFrame, limit: int | None = None) -> Da
     return met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).drop("_r")
 
 
+def second_degree(edges: DataFrame, keep: int = 20, limit: int | None = None) -> DataFrame:
+    """object_id, second, paths: objects two steps away, in either direction, and by how many ways; neither the object
+    itself nor its neighbours. A step goes to the `keep` neighbours of an object with the fewest neighbours of their own
+    (ties by id): what few share tells more than what all do. So a hub, whatever its degree, is entered by those that it
+    is among the best of, and is left to `keep` others: rows grow with the objects, not with the square of a hub.
+    limit: the most paths per object, ties by id."""
+    one = edges.filter("source_object <> target_object").select(F.col("source_object").alias("a"), F.col("target_object").alias("b"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
+    order = Window.partitionBy("a").orderBy("degree", "b")
+    best = both.join(degree, "b").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep).select("a", "b")
+    two = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").filter("a <> c")
+    found = two.groupBy("a", "c").agg(F.count("*").alias("paths")).join(both.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
+    found = found.select(F.col("a").alias("object_id"), F.col("c").alias("second"), "paths")
+    if limit is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("object_id").orderBy(F.desc("paths"), "second"))
+    return found.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
+
+
 def by_in_degree(edges: DataFrame, limit: int) -> DataFrame:
     """The entities with most inbound edges, ties by id."""
     return edges.groupBy(F.col("target_object").alias("object_id")).agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "object_id").limit(limit)

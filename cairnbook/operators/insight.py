@@ -54,3 +54,29 @@ def top_domains(visits: DataFrame, limit: int = 25) -> DataFrame:
 def server_matrix(audits: DataFrame, expected: list[str]) -> DataFrame:
     """audits: host, sections (map of name to lines). Missing sections of each host."""
     return audits.select("host", F.array_sort(F.array_except(F.array(*map(F.lit, expected)), F.map_keys("sections"))).alias("missing"))
+
+
+#: Signals that the ranking declares and doesn't have.
+UNIMPLEMENTED_SIGNALS = ["personal_relevance", "historical_importance"]
+# Fixed value: classes that have no body by design.
+BODILESS = ["FileReference"]
+
+
+def all_gaps(objects: DataFrame, urls: DataFrame, dead_letters: DataFrame, conflicts: DataFrame, declared: DataFrame, present: DataFrame, acquired: DataFrame) -> DataFrame:
+    """The ten gaps of a store: gap, n, severity. objects: object_class, knowledge_state, body, classification. urls:
+    fetch_status. conflicts: status. declared, present: source_id. acquired: ts."""
+    signals = objects.sparkSession.createDataFrame([(x,) for x in UNIMPLEMENTED_SIGNALS], "signal string")
+    never = declared.select("source_id").distinct().join(present.select("source_id"), "source_id", "left_anti")
+    empty = F.coalesce("body", F.lit("")) == ""
+    found = [
+        (urls.filter("fetch_status = 'NOT_FETCHED'"), "urls_never_fetched", "high"), (objects.filter(F.col("object_class").isin(BODILESS)), "files_named_but_never_acquired", "high"),
+        (objects.filter(empty & ~F.col("object_class").isin(BODILESS)), "objects_with_no_body_unexpected", "medium"), (objects.filter("classification = 'RESTRICTED'"), "content_withheld_for_credentials", "info"),
+        (dead_letters, "items_in_dead_letter", "medium"), (objects.filter("object_class = 'Answer' and knowledge_state = 'SYNTHESIZED'"), "answers_awaiting_human_review", "medium"),
+        (conflicts.filter("status = 'OPEN'"), "open_conflicts", "high"), (never, "sources_never_ingested", "high"), (signals, "ranking_signals_unimplemented", "info"), (months_dark(acquired, "ts"), "months_with_nothing_captured", "medium"),
+    ]
+    return gaps([gap(*x) for x in found])
+
+
+def top_tags(rows: DataFrame, limit: int = 25) -> DataFrame:
+    """rows: tags (array). The most frequent ones, ties by name."""
+    return rows.select(F.explode("tags").alias("tag")).filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)

@@ -91,3 +91,21 @@ def redact_params(params: DataFrame, keys: str = r"(?i)password|secret|token|api
     replaced; the keys are reported, the values never."""
     hit = F.col("key").rlike(keys) | (F.size(scan_body(F.coalesce("value", F.lit("")))) > 0)
     return params.withColumn("redacted", F.coalesce(hit, F.lit(False))).withColumn("value", F.when(F.col("redacted"), F.lit("[REDACTED]")).otherwise(F.col("value")))
+
+
+def redact_objects(objects: DataFrame, indexes: DataFrame, at: str) -> dict[str, DataFrame]:
+    """objects: object_id, version_num, body, classification. Redaction as history: every object whose body holds a secret
+    gets a corrected version, is restricted, and has an event that names the kinds; all indexes are stale if there is one
+    such object, since they still hold what went. Values stay in the evidence alone. The same again changes nothing."""
+    kinds = scan_body(F.col("body"))
+    hit = objects.withColumn("kinds", kinds).filter(F.size("kinds") > 0)
+    when = F.lit(at).cast("timestamp")
+    version = F.concat("object_id", F.lit(":v"), F.lpad((F.col("version_num") + 1).cast("string"), 2, "0"))
+    versions = hit.select(version.alias("version_id"), "object_id", (F.col("version_num") + 1).alias("version_num"), redact_text(F.col("body")).alias("body"), F.lit("corrected").alias("change_type"), when.alias("created_at"))
+    events = hit.select(F.concat(F.lit("EVT-"), version).alias("event_id"), "object_id", F.lit("MODIFIED").alias("operation"), F.concat(F.lit("redacted: "), F.array_join("kinds", ",")).alias("reason"), when.alias("timestamp"))
+    gone = hit.select("object_id").distinct().withColumn("_hit", F.lit(True))
+    met = objects.join(gone, "object_id", "left")
+    after = met.select("object_id", F.when(F.col("_hit"), F.col("version_num") + 1).otherwise(F.col("version_num")).alias("version_num"), F.when(F.col("_hit"), redact_text(F.col("body"))).otherwise(F.col("body")).alias("body"), F.when(F.col("_hit"), "RESTRICTED").otherwise(F.col("classification")).alias("classification"))
+    any_ = gone.agg((F.count("*") > 0).alias("_any"))
+    stale = indexes.join(F.broadcast(any_)).withColumn("status", F.when(F.col("_any"), "STALE").otherwise(F.col("status"))).drop("_any")  # one row
+    return {"objects": after, "versions": versions, "events": events, "indexes": stale}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed vocabulary of the event log.
@@ -25,14 +25,15 @@ def store_blobs(files: DataFrame, path: str, known: DataFrame | None = None) ->
 
 
 def export_mirror(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Every table as sorted JSON lines, and a manifest of rows."""
+    """Every table as sorted JSON lines, and a manifest of rows and bytes, which are counted while they are written."""
     spark = next(iter(tables.values())).sparkSession
     rows = []
     for name, df in sorted(tables.items()):
-        line = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
-        line.orderBy("value").write.mode("overwrite").text(f"{path}/{name}")
-        rows.append((name, spark.read.text(f"{path}/{name}").count()))
-    return spark.createDataFrame(rows, "table string, n_rows long")
+        line = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).orderBy("value")
+        seen = Observation()
+        line.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes")).write.mode("overwrite").text(f"{path}/{name}")
+        rows.append((name, seen.get["n"], seen.get["bytes"]))
+    return spark.createDataFrame(rows, "table string, n_rows long, bytes long")
 
 
 def snapshot(tables: dict[str, DataFrame], path: str, tier: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnbook.operators.secretscan import scan_body
+
 
 def check(violations: DataFrame, name: str, severity: str = "ERROR") -> DataFrame:
     n = violations.agg(F.count("*").alias("violations"))
@@ -70,3 +72,23 @@ def index_stale_since_redaction(events: DataFrame, indexes: DataFrame) -> DataFr
 def passed(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and(F.col("status") != "ERROR").alias("passed"))
 
+
+def open_conflicts(conflicts: DataFrame) -> DataFrame:
+    """What is recorded and not resolved; a fact to be seen, not an error."""
+    return conflicts.filter("status = 'OPEN'")
+
+
+def values_in_registry(registry: DataFrame) -> DataFrame:
+    """Rows of the credential registry (storage_location) that hold a value where a place should stand."""
+    at = F.col("storage_location")
+    return registry.filter(at.contains("BEGIN") | at.startswith("sk-") | at.startswith("ghp_"))
+
+
+def secrets_in_bodies(objects: DataFrame, versions: DataFrame) -> DataFrame:
+    """object_id and kinds of the objects whose current version (current_version; version_id, body) holds a secret."""
+    now = objects.select("object_id", F.col("current_version").alias("version_id")).join(versions.select("version_id", "body"), "version_id")
+    return now.select("object_id", scan_body(F.col("body")).alias("kinds")).filter(F.size("kinds") > 0)
+
+
+def stale_indexes(indexes: DataFrame) -> DataFrame:
+    return indexes.filter("status = 'STALE'")

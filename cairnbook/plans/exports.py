@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnbook.functions import text as tx
 from cairnbook.operators import nested
 from cairnbook.plans.registry import query
 from cairnbook.plans.tables import read
-from cairnbook.sources import records
+from cairnbook.sources import assistant, records
 
 #: A workflow's parameters from a document's number and hash, five levels deep, in words that Spark and DuckDB share.
 _PARAMS = """concat('{"a":{"b":[{"c":{"deep":"v', doc_id, '","password":"p', h, '"}},["x",{"Api_Key":[1,2]}]]},"auth":{"clientSecret":{"id":1},"user":"u', doc_id, '"},"empty":[{},[]],"n":', doc_id, ',"note":"', CASE WHEN doc_id % 3 = 0 THEN concat('ghp_', substr(h, 1, 36)) ELSE 'plain' END, '","z":null}')"""
@@ -76,3 +77,112 @@ def _(s, d):
     )
     top = F.when(turn % 3 == 0, F.concat(F.lit(" \n"), F.replace("text", F.lit(" "), F.lit("  ")))).when(turn % 3 == 1, F.concat(F.lit("other "), turn.cast("string")))
     return read(s, d, "conversations").select("conv_id", "turn", records.render_blocks(content, top).alias("body"))
+
+
+# assistant exports, from documents, customers and events
+
+
+@query(
+    "S24_attachments",
+    """SELECT 'attachment:m' || doc_id || ':' || i AS native_id, 'Attachment' AS object_class, CASE i WHEN 0 THEN source || '.txt' ELSE '(unnamed attachment 1)' END AS title, CASE i WHEN 0 THEN text END AS body, 'message:m' || doc_id AS target FROM documents, (VALUES (0), (1)) v(i)
+UNION ALL SELECT 'file_ref:f' || doc_id, 'FileReference', '(uploaded file, bytes not exported)', NULL, 'message:m' || doc_id FROM documents""",
+)
+def _(s, d):
+    name = F.concat("source", F.lit(".txt"))
+    text = lambda c=None: F.lit(None).cast("string") if c is None else c
+    one = lambda n, b: F.struct(n.alias("file_name"), b.alias("extracted_content"), F.lit("txt").alias("file_type"))
+    number = F.col("doc_id").cast("string")
+    message = F.struct(F.concat(F.lit("m"), number).alias("uuid"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), F.array(one(name, F.col("text")), one(text(), text())).alias("attachments"), F.array(F.struct(F.concat(F.lit("f"), number).alias("file_uuid"), text().alias("file_name"))).alias("files"))
+    items, edges = assistant.scan_attachments(read(s, d, "documents").select(F.array(message).alias("chat_messages")))
+    return items.join(edges.select(F.col("source_native").alias("native_id"), F.col("target_native").alias("target")), "native_id").select("native_id", "object_class", "title", "body", "target")
+
+
+@query(
+    "S25_projects",
+    """SELECT 'project:' || c_custkey AS native_id, 'Project' AS object_class, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE c_mktsegment || chr(10) || chr(10) || 'Custom instructions:' || chr(10) || 'be ' || c_mktsegment END AS body, NULL AS part_of FROM customer
+UNION ALL SELECT 'project_doc:d' || c_custkey, 'ProjectDocument', 'notes.md', c_name, 'project:' || c_custkey FROM customer WHERE c_custkey % 2 = 0""",
+)
+def _(s, d):
+    c = read(s, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    docs = F.array(F.struct(F.concat(F.lit("d"), key).alias("uuid"), F.lit("notes.md").alias("filename"), F.col("c_name").alias("content"), F.lit(None).cast("string").alias("created_at")))
+    p = c.select(key.alias("uuid"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise("").alias("description"), F.when(F.col("c_custkey") % 3 == 2, F.concat(F.lit("be "), "c_mktsegment")).alias("prompt_template"), F.lit(True).alias("is_private"), F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("updated_at"), F.when(F.col("c_custkey") % 2 == 0, docs).alias("docs"))
+    items, edges, _ = assistant.scan_projects(p)
+    return items.join(edges.select(F.col("source_native").alias("native_id"), F.col("target_native").alias("part_of")), "native_id", "left").select("native_id", "object_class", "title", "body", "part_of")
+
+
+_ACCOUNT = "0a1b2c3d-0000-4000-8000-00000000000a"
+
+
+@query(
+    "S26_assistant_memory",
+    """SELECT 'memory:story:0' AS native_id, 'of ' || count(*) AS body FROM supplier UNION ALL SELECT 'memory:projects/p' || s_suppkey || ':0', s_name FROM supplier UNION ALL SELECT 'memory:projects/q' || s_suppkey || ':0', '{"n":' || s_suppkey || '}' FROM supplier
+UNION ALL SELECT 'memory_file:/m/' || s_suppkey, 'file of ' || s_name FROM supplier UNION ALL SELECT 'foreign', '1'""",
+)
+def _(s, d):
+    sup = read(s, d, "supplier")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    key = F.col("s_suppkey").cast("string")
+    slots = F.array_join(F.collect_list(put('"p', key, '":"', F.col("s_name"), '","q', key, '":{"n":', key, '},"z', key, '":""')), ",")
+    docs = F.array_join(F.collect_list(put('{"path":"/m/', key, '","content":"file of ', F.col("s_name"), '","updated_at":"2026-01-01T00:00:00Z"}')), ",")
+    own = sup.agg(F.count("*").cast("string").alias("n"), slots.alias("slots"), docs.alias("docs")).select(put("memories/", _ACCOUNT, ".json").alias("path"), put('[{"account_uuid":"x","story":"of ', F.col("n"), '","void":"","projects":{', F.col("slots"), '},"memory_files":[', F.col("docs"), "]}]").alias("text"))
+    other = own.select(F.lit("memories/ffffffff-0000-4000-8000-00000000000b.json").alias("path"), F.lit('{"story":"not ours"}').alias("text"))
+    items, foreign = assistant.scan_memory(own.unionByName(other), _ACCOUNT)
+    return items.select("native_id", "body").unionByName(foreign.agg(F.count("*").cast("string").alias("body")).select(F.lit("foreign").alias("native_id"), "body"))
+
+
+@query(
+    "S27_logins",
+    r"""WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, event_type FROM events)
+SELECT 'login:' || t AS native_id, 'Sign-in ' || substr(t, 1, 19) || ' from ' || CASE WHEN user_id % 2 = 0 THEN 'Town, Land' ELSE 'unknown location' END AS title, concat_ws(chr(10), 'Sign-in', 'when   : ' || t, 'method : ' || event_type, 'from   : unknown ip (' || CASE WHEN user_id % 2 = 0 THEN 'Town, Land' ELSE 'unknown location' END || ')', 'device : Browser on OS 1') AS body FROM e WHERE user_id % 7 <> 0""",
+)
+def _(s, d):
+    e = read(s, d, "events").withColumn("even", F.col("user_id") % 2 == 0)
+    none = F.lit(None).cast("string")
+    rows = e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("event_type").alias("method"), none.alias("ip_address"), F.when(F.col("user_id") % 7 == 0, "other").when(F.col("user_id") % 5 == 0, none).otherwise(_ACCOUNT).alias("account_uuid"),
+        F.struct(F.lit("Browser").alias("browser_family"), F.lit("").alias("browser_version"), F.lit("OS").alias("os_family"), F.lit("1").alias("os_version")).alias("user_agent"),
+        F.struct(F.when(F.col("even"), "Town").alias("city"), none.alias("region"), F.when(F.col("even"), "Land").alias("country")).alias("location_info"),
+    )
+    return assistant.scan_logins(rows, _ACCOUNT)[0].select("native_id", "title", "body")
+
+
+@query("S07_drive_files", "SELECT 'drive:Drive/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' ELSE '.docx' END AS native_id, CASE doc_id % 3 WHEN 0 THEN 'Title ' || doc_id ELSE doc_id || '.docx' END AS title, CASE doc_id % 3 WHEN 0 THEN text END AS body, CASE doc_id % 3 WHEN 0 THEN 'https://x/' || doc_id END AS native_url FROM documents")
+def _(s, d):
+    docs = read(s, d, "documents")
+    end = F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".docx")
+    path = F.concat(F.lit("Drive/"), F.col("doc_id").cast("string"), end)
+    files = docs.select(path.alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("n_chars").alias("length"), "text")
+    told = docs.filter("doc_id % 3 = 0").select(F.concat(path, F.when(F.col("doc_id") % 2 == 0, "-info.json").otherwise("-metadata.json")).alias("path"), F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://x/"), F.col("doc_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("created_date"), F.lit(None).cast("string").alias("modified_date"))
+    beside = told.select("path", F.lit("h").alias("content_hash"), F.lit(1).cast("long").alias("length"), F.lit("{}").alias("text"))
+    return assistant.scan_drive(files.unionByName(beside), told).select("native_id", "title", "body", "native_url")
+
+
+@query("S11_mail_archives", "SELECT 'mail_archive:Mail/' || c_custkey || '.mbox' AS native_id, sha256(c_name) AS content_hash, '{\"bytes\":' || c_custkey || ',\"interpreted\":false}' AS raw_metadata FROM customer WHERE c_custkey % 4 = 0")
+def _(s, d):
+    name = F.concat(F.lit("Mail/"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 4 == 0, ".mbox").otherwise(".eml"))
+    files = read(s, d, "customer").select(name.alias("path"), F.sha2("c_name", 256).alias("content_hash"), F.col("c_custkey").cast("long").alias("length"))
+    return assistant.declare_mail_archives(files).select("native_id", "content_hash", "raw_metadata")
+
+
+@query("S18_databases", """SELECT 'database:db/' || o_custkey || '.csv' AS native_id, '{"row_count":' || count(*) || ',"columns":["key","na,me","note"]}' AS raw_metadata FROM orders GROUP BY o_custkey""")
+def _(s, d):
+    row = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"a\n""b""\n c",'), "o_orderstatus")
+    files = read(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(row), "\n").alias("rows"))
+    text = F.concat(F.lit('key,"na,me",note\n'), "rows", F.lit("\n"))
+    return assistant.scan_databases(files.select(F.concat(F.lit("db/"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"), text.alias("text"))).select("native_id", "raw_metadata")
+
+
+@query("F29_link_ids", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE substr(sha256(text), 1, 32) END AS id FROM documents")
+def _(s, d):
+    h = F.substring(F.sha2("text", 256), 1, 32)
+    name = F.when(F.col("doc_id") % 4 == 0, "My%20page%2031.html").when(F.col("doc_id") % 4 == 1, F.concat(F.lit("My%20page%20"), h, F.lit(".html"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("../x/"), F.upper(h), F.lit("?v=1"))).otherwise(F.concat(F.lit("100%25"), h))
+    return read(s, d, "documents").select("doc_id", tx.link_id(name).alias("id"))
+
+
+@query("F30_flat_values", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey || ', a, b, x' WHEN 1 THEN c_mktsegment WHEN 2 THEN '{"k":' || c_custkey || '}' ELSE c_custkey::VARCHAR END AS value FROM customer""")
+def _(s, d):
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    key = F.col("c_custkey").cast("string")
+    v = F.when(F.col("c_custkey") % 4 == 0, put("[", key, ',["a",{"filename":"b"}],"x"]')).when(F.col("c_custkey") % 4 == 1, put('{"name":"', F.col("c_mktsegment"), '","email":"e"}')).when(F.col("c_custkey") % 4 == 2, put('{"k":', key, "}")).otherwise(key)
+    return read(s, d, "customer").select("c_custkey", F.parse_json(v).alias("v")).select("c_custkey", tx.flat_value(F.col("v")).alias("value"))
