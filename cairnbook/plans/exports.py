@@ -9,7 +9,7 @@ from cairnbook.functions import text as tx
 from cairnbook.operators import nested
 from cairnbook.plans.registry import query
 from cairnbook.plans.tables import read
-from cairnbook.sources import assistant, records
+from cairnbook.sources import assistant, markup, records
 
 #: A workflow's parameters from a document's number and hash, five levels deep, in words that Spark and DuckDB share.
 _PARAMS = """concat('{"a":{"b":[{"c":{"deep":"v', doc_id, '","password":"p', h, '"}},["x",{"Api_Key":[1,2]}]]},"auth":{"clientSecret":{"id":1},"user":"u', doc_id, '"},"empty":[{},[]],"n":', doc_id, ',"note":"', CASE WHEN doc_id % 3 = 0 THEN concat('ghp_', substr(h, 1, 36)) ELSE 'plain' END, '","z":null}')"""
@@ -186,3 +186,41 @@ def _(s, d):
     key = F.col("c_custkey").cast("string")
     v = F.when(F.col("c_custkey") % 4 == 0, put("[", key, ',["a",{"filename":"b"}],"x"]')).when(F.col("c_custkey") % 4 == 1, put('{"name":"', F.col("c_mktsegment"), '","email":"e"}')).when(F.col("c_custkey") % 4 == 2, put('{"k":', key, "}")).otherwise(key)
     return read(s, d, "customer").select("c_custkey", F.parse_json(v).alias("v")).select("c_custkey", tx.flat_value(F.col("v")).alias("value"))
+
+
+# mail threads, from conversations: every turn answers the one before
+
+
+def _mail(s, d):
+    c = read(s, d, "conversations")
+    name = lambda t: F.concat(F.lit("<"), F.concat_ws(".", F.col("conv_id").cast("string"), t.cast("string")), F.lit("@x.example>"))
+    t = F.col("turn")
+    me, them = F.lit("Me <me@home.example>"), F.lit("them@x.example")
+    head = F.concat(
+        F.lit("From: "), F.when(t % 2 == 0, me).otherwise(them), F.lit("\nTo: "), F.when(t % 2 == 0, them).otherwise(me), F.lit("\nSubject: =?utf-8?b?"), F.base64(F.concat(F.lit("Tür "), F.col("conv_id").cast("string")).cast("binary")), F.lit("?=\nDate: Mon, 01 Jan 2024 10:00:00 +0100\nMessage-ID: "), name(t), F.lit("\n"),
+        F.when(t > 0, F.concat(F.lit("In-Reply-To: "), name(t - 1), F.lit("\nReferences: "), name(F.lit(0)), F.lit(" "), name(t - 1), F.lit("\n"))).otherwise(""), F.when(F.col("conv_id") % 2 == 0, F.lit("List-Id: <list.x.example>\n")).otherwise(""),
+    )
+    stub = F.lit("--b\nContent-Type: text/plain\n\nPlease enable HTML to read this much longer and quite friendly message\n--b\nContent-Type: text/html\n\n<p>turn ")
+    body = F.concat(F.lit('MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n'), stub, t.cast("string"), F.lit('</p>\n--b\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="f.pdf"\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.col("role").cast("binary")), F.lit("\n--b--\n"))
+    parsed = markup.parse_messages(c.select(F.lit("box").alias("mailbox"), F.concat(head, body).alias("raw")))
+    return markup.scan_mail(parsed, s.createDataFrame([("box", "ME@home.example")], "mailbox string, identity string"))
+
+
+_ID = "'msg:<' || conv_id || '.' || turn || '@x.example>'"
+
+
+@query(
+    "S12_mail_threads",
+    f"""SELECT {_ID} AS native_id, 'Tür ' || conv_id AS title, 'turn ' || turn AS body, CASE WHEN turn % 2 = 0 THEN 'sent' ELSE 'received' END AS direction, CASE WHEN conv_id % 2 = 0 THEN '<list.x.example>' END AS list_id, CASE WHEN turn > 0 THEN '<' || conv_id || '.0@x.example> <' || conv_id || '.' || (turn - 1) || '@x.example>' END AS "references", TIMESTAMP '2024-01-01 09:00:00' AS created_at,
+CASE WHEN turn > 0 THEN 'msg:<' || conv_id || '.' || (turn - 1) || '@x.example>' END AS replies_to FROM conversations""",
+)
+def _(s, d):
+    items, edges, _ = _mail(s, d)
+    facts = F.from_json("raw_metadata", "direction string, list_id string, references array<string>")
+    met = items.join(edges.select(F.col("source_native").alias("native_id"), F.col("target_native").alias("replies_to")), "native_id", "left").withColumn("f", facts)
+    return met.select("native_id", "title", "body", "f.direction", "f.list_id", F.array_join("f.references", " ").alias("references"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "replies_to")
+
+
+@query("S16_mail_attachments", f"SELECT {_ID} AS native_id, 'f.pdf' AS name, 'application/pdf' AS mime, strlen(role) AS bytes, sha256(role) AS content_hash FROM conversations")
+def _(s, d):
+    return _mail(s, d)[2].select("native_id", "name", "mime", "bytes", "content_hash")
