@@ -83,3 +83,21 @@ def test_components(spark):
     nodes = {x for a, b in links if a is not None and a != b for x in (a, b)}
     assert got == components([(a, b) for a, b in links if a is not None], nodes)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_link_of_a_twentieth_is_lost_at_sf01(spark):
+    """Ids divisible by 50 against all rows: every pair at the contract's similarity shares a component."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = d.collect()
+    sets = {r["doc_id"]: frozenset(map(hash, shingles(r["text"], 2))) for r in rows}
+    component = {r["doc_id"]: r["component_id"] for r in near_dedup.op4_minhash_dedup(spark, "/root/testdata/sf0.1").select("doc_id", "component_id").collect()}
+    links = 0
+    for a in (i for i in sets if i % 50 == 0):
+        own = sets[a]
+        for b, other in sets.items():
+            if a != b and own and 5 * min(len(own), len(other)) >= 4 * max(len(own), len(other)):
+                same = len(own & other)
+                if 100 * same >= 80 * (len(own) + len(other) - same):
+                    links += 1
+                    assert component[a] == component[b], (a, b)
+    assert links > 100

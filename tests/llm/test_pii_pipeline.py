@@ -229,3 +229,16 @@ def test_pipeline_keeps_rows_of_null_and_shared_ids(spark):
     mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mixing_stage(spark, single, "").collect()]
     assert set(mixed) == got and len(mixed) in (7, 8)
     assert corpus_pipeline.byte_bpe_stage(spark, single, "").count() == 5
+
+
+def test_every_stage_takes_empty_tables_nulls_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None, None, "x"), (None, "a b " * 30, "en", "s", 5, "y"), (None, "a b " * 30, "en", "s", 5, "y"), (3, "", "de", None, 0, "z"), (4, " ".join(f"w{k}" for k in range(60)), "en", "s", 300, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.filter("false")):
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            count = out.count()
+            assert count == 0 if table is not docs else count <= 2 * len(rows)
+            assert out.columns == (corpus_pipeline.COLUMNS if name != "byte_bpe" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
