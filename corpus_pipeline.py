@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 stages' own state lies in the folder that the cluster shares, so a lost executor costs a new read.
+
+For all stages: docs has the columns of documents; others are dropped, whatever their names. Null keys, repeated keys and
+equal rows are rows of their own; a null or empty text is an empty one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that the rules reject, each judged by its own text."""
+    """Drops the rows that the rules reject, each judged by its own text. Rows without a text go, as too short."""
     docs, _ = _keyed(docs)
     bad = quality.quality_rules(docs, "_row").filter(~F.col("kept")).select("_row").distinct()
     return docs.join(bad, "_row", "left_anti").select(*COLUMNS)
@@ -42,13 +45,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars follows."""
+    """Replaces personal data by its kind in brackets; n_chars follows. A null text stays null, with a null n_chars."""
     clean = pii.redact(pii.find(docs, pii.fit(docs)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. Texts without a word are never taken."""
     docs, equal = _keyed(docs)
     taken = mixing.mix_sources(docs, "_row").select("_row", "repeats").filter("repeats > 0")
     if equal:
@@ -57,7 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
+    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to; of a null text those of nothing."""
     return byte_bpe.digests(byte_bpe.encode(docs.select("doc_id", "text"), with_decoded=True))
 
 
