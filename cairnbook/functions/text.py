@@ -107,6 +107,11 @@ def object_id(n: Column) -> Column:
     return F.format_string("KB-%08d", n.cast("long"))
 
 
+def id_order(id_: Column) -> Column:
+    """Sorts ids as their numbers: KB-99999999 before KB-100000000."""
+    return F.struct(F.length(id_), id_)
+
+
 def version_id(object_: Column, n: Column) -> Column:
     return F.concat(object_, F.lit(":v"), F.lpad(n.cast("string"), 2, "0"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnbook.functions import text as tx
 from cairnbook.functions.urls import schemeless
 
 
@@ -12,7 +13,7 @@ def exact_duplicates(objects: DataFrame) -> DataFrame:
     """Groups of live objects with one content hash: content_hash, canonical, n, bytes_each. Partial aggregation keeps a
     group that holds a third of all rows to one row a task. Null hashes form no group."""
     live = objects.filter("is_duplicate_of is null and content_hash is not null")
-    return live.groupBy("content_hash").agg(F.min("object_id").alias("canonical"), F.count("*").alias("n"), F.floor(F.sum("bytes") / F.count("*")).alias("bytes_each")).filter("n > 1")
+    return live.groupBy("content_hash").agg(F.min_by("object_id", tx.id_order(F.col("object_id"))).alias("canonical"), F.count("*").alias("n"), F.floor(F.sum("bytes") / F.count("*")).alias("bytes_each")).filter("n > 1")
 
 
 def url_variants(urls: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def link_duplicates(objects: DataFrame) -> DataFrame:
 
 def with_aliases(objects: DataFrame, links: DataFrame) -> DataFrame:
     """Objects with is_duplicate_of set from new links; the first link of an object wins."""
-    one = links.groupBy(F.col("alias").alias("object_id")).agg(F.min("canonical").alias("_c"))
+    one = links.groupBy(F.col("alias").alias("object_id")).agg(F.min_by("canonical", tx.id_order(F.col("canonical"))).alias("_c"))
     return objects.join(one, "object_id", "left").withColumn("is_duplicate_of", F.coalesce("is_duplicate_of", "_c")).drop("_c")
 
 

@@ -151,6 +151,6 @@ def find_entities(entities: DataFrame, edges: DataFrame, term: str, limit: int =
 def merge_entities(edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """decisions: canonical, alias, confirmed_by. Returns (edges with targets moved from aliases to their canonical
     ones, accepted decisions). A decision needs a named decider; one that is applied again changes nothing."""
-    good = decisions.filter("confirmed_by is not null and trim(confirmed_by) <> '' and canonical <> alias").groupBy("alias").agg(F.min("canonical").alias("canonical"), F.min("confirmed_by").alias("confirmed_by"))
+    good = decisions.filter("confirmed_by is not null and trim(confirmed_by) <> '' and canonical <> alias").groupBy("alias").agg(F.min_by("canonical", tx.id_order(F.col("canonical"))).alias("canonical"), F.min("confirmed_by").alias("confirmed_by"))
     moved = edges.join(good.select(F.col("alias").alias("target_object"), "canonical"), "target_object", "left").withColumn("target_object", F.coalesce("canonical", "target_object")).drop("canonical")
     return moved.filter("source_object <> target_object").dropDuplicates(["source_object", "target_object", "relationship_type"]), good

@@ -80,3 +80,28 @@ def all_gaps(objects: DataFrame, urls: DataFrame, dead_letters: DataFrame, confl
 def top_tags(rows: DataFrame, limit: int = 25) -> DataFrame:
     """rows: tags (array). The most frequent ones, ties by name."""
     return rows.select(F.explode("tags").alias("tag")).filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+
+
+def meta(objects: DataFrame, chain: DataFrame) -> DataFrame:
+    """section, key, n, percent (of its section): the store by state, authority, class and decay, whose voice it is, the
+    health of provenance over the same objects, and captures by month and year. objects: object_id, knowledge_state,
+    authority, object_class, decay_status, created_at. chain: object_id, complete. One row per value reaches the totals,
+    not one per object."""
+    o = objects.join(chain.select("object_id", F.col("complete").alias("_ok")), "object_id", "left")
+    voice = F.when(F.col("authority") == "PRIMARY SOURCE", "own words").when(F.col("authority") == "AI-GENERATED", "assistant").otherwise("other")
+    health = F.when(F.col("_ok"), "complete").otherwise("broken")
+    sections = {"state": F.col("knowledge_state"), "authority": F.col("authority"), "class": F.col("object_class"), "decay": F.col("decay_status"), "voice": voice, "provenance": health, "month": month(F.col("created_at")), "year": F.date_format("created_at", "yyyy")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), c.alias("key")) for k, c in sections.items()]))
+    per = o.select(pairs.alias("p")).select("p.*").filter("key is not null").groupBy("section", "key").agg(F.count("*").alias("n"))
+    return per.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("section")), 2))
+
+
+def compare_servers(runs: DataFrame) -> DataFrame:
+    """runs: host, run, containers, volumes, mounted (arrays of names). For each run of a host against the one before: what
+    came, what went, and the volumes that nothing mounts."""
+    before = Window.partitionBy("host").orderBy("run")
+    none = F.array().cast("array<string>")
+    was = F.lag("containers").over(before)
+    now = F.coalesce("containers", none)
+    sort = lambda a: F.array_sort(a)
+    return runs.select("host", "run", F.when(was.isNotNull(), sort(F.array_except(now, was))).alias("came"), F.when(was.isNotNull(), sort(F.array_except(was, now))).alias("went"), sort(F.array_except(F.coalesce("volumes", none), F.coalesce("mounted", none))).alias("orphan_volumes"))

@@ -42,6 +42,16 @@ def coverage_gaps(objects: DataFrame, declared: DataFrame) -> DataFrame:
     return declared.select("source_id").distinct().join(have, "source_id", "full_outer").select("source_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("present"))
 
 
+def coverage(objects: DataFrame, declared: DataFrame, dead_letters: DataFrame, urls: DataFrame) -> DataFrame:
+    """objects: source_id, created_at, classification. declared, dead_letters, urls: source_id. Of each source: whether it
+    is there, its objects, their span, how many are withheld, what failed, and its URLs."""
+    have = objects.groupBy("source_id").agg(F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.count_if(F.col("classification") == "RESTRICTED").alias("redacted"))
+    per = lambda rows, name: rows.groupBy("source_id").agg(F.count("*").alias(name))
+    met = declared.select("source_id").distinct().join(have, "source_id", "full_outer").join(per(dead_letters, "dead_letters"), "source_id", "full_outer").join(per(urls, "urls"), "source_id", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return met.select("source_id", F.col("n").isNotNull().alias("present"), zero("n"), "first", "last", zero("redacted"), zero("dead_letters"), zero("urls"))
+
+
 def evidence(ranked: DataFrame, docs: DataFrame, chain: DataFrame, excerpt: int = 1200) -> DataFrame:
     """The evidence for each query: ranked objects with an excerpt and whether their chain is complete; no answer."""
     return ranked.select("query_id", "rank", "object_id", "score").join(docs.select("object_id", F.substring("body", 1, excerpt).alias("excerpt")), "object_id").join(chain.select("object_id", "complete"), "object_id", "left")

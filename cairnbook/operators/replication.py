@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnbook.functions import text as tx
+
 
 def store_manifest(objects: DataFrame, blobs: DataFrame) -> DataFrame:
     """lineage (uuid of the least object), counts and the id high-water mark."""
-    o = objects.agg(F.min_by("uuid", "object_id").alias("lineage"), F.count("*").alias("n_objects"), F.max("object_id").alias("high_water"))
+    o = objects.agg(F.min_by("uuid", tx.id_order(F.col("object_id"))).alias("lineage"), F.count("*").alias("n_objects"), F.max_by("object_id", tx.id_order(F.col("object_id"))).alias("high_water"))
     return o.join(F.broadcast(blobs.agg(F.count("*").alias("n_blobs"), F.sum("bytes").alias("bytes"))))  # one row each
 
 
@@ -29,7 +31,7 @@ def replication_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
 def refusals(local: DataFrame, remote: DataFrame, force: bool = False) -> DataFrame:
     """Reasons not to replicate, from two manifests: another lineage, or a remote that is ahead (unless forced)."""
     met = local.select(F.col("lineage").alias("l"), F.col("high_water").alias("lh")).join(F.broadcast(remote.select(F.col("lineage").alias("r"), F.col("high_water").alias("rh"))))  # one row each
-    ahead = F.when((F.col("rh") > F.col("lh")) & F.lit(not force), F.lit("remote is ahead"))
+    ahead = F.when((tx.id_order(F.col("rh").cast("string")) > tx.id_order(F.col("lh").cast("string"))) & F.lit(not force), F.lit("remote is ahead"))
     return met.select(F.explode(F.array_compact(F.array(F.when(F.col("l") != F.col("r"), F.lit("other lineage")), ahead))).alias("refusal"))
 
 

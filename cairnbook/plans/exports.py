@@ -9,7 +9,7 @@ from cairnbook.functions import text as tx
 from cairnbook.operators import nested
 from cairnbook.plans.registry import query
 from cairnbook.plans.tables import read
-from cairnbook.sources import assistant, markup, records
+from cairnbook.sources import assistant, files, markup, records
 
 #: A workflow's parameters from a document's number and hash, five levels deep, in words that Spark and DuckDB share.
 _PARAMS = """concat('{"a":{"b":[{"c":{"deep":"v', doc_id, '","password":"p', h, '"}},["x",{"Api_Key":[1,2]}]]},"auth":{"clientSecret":{"id":1},"user":"u', doc_id, '"},"empty":[{},[]],"n":', doc_id, ',"note":"', CASE WHEN doc_id % 3 = 0 THEN concat('ghp_', substr(h, 1, 36)) ELSE 'plain' END, '","z":null}')"""
@@ -224,3 +224,52 @@ def _(s, d):
 @query("S16_mail_attachments", f"SELECT {_ID} AS native_id, 'f.pdf' AS name, 'application/pdf' AS mime, strlen(role) AS bytes, sha256(role) AS content_hash FROM conversations")
 def _(s, d):
     return _mail(s, d)[2].select("native_id", "name", "mime", "bytes", "content_hash")
+
+
+# calendars, canvases, note links
+
+
+@query("Z05_calendar_events", "SELECT 'cal/' || o_custkey || '.ics' AS path, 'u' || o_orderkey AS uid, 'Order, ' || o_orderstatus || chr(10) || 'long' AS summary, strftime(o_orderdate, '%Y%m%d') AS starts FROM orders")
+def _(s, d):
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    event = put("BEGIN:VEVENT\r\nUID:u", F.col("o_orderkey").cast("string"), "\r\nSUMMARY;LANGUAGE=en:Order\\, ", F.col("o_orderstatus"), "\\nlo\r\n ng\r\nDTSTART;VALUE=DATE:", F.date_format("o_orderdate", "yyyyMMdd"), "\r\nEND:VEVENT\r\n")
+    files = read(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(event), "").alias("e"))
+    return records.calendar_events(files.select(put("cal/", F.col("o_custkey").cast("string"), ".ics").alias("path"), put("BEGIN:VCALENDAR\r\n", F.col("e"), "END:VCALENDAR").alias("text"))).select("path", "uid", "summary", "starts")
+
+
+@query("Z05_canvas", "SELECT conv_id || '.canvas' AS path, 'n' || turn AS node, CASE turn % 2 WHEN 0 THEN 'text' ELSE 'file' END AS kind, text, CASE WHEN turn > 0 THEN 'n' || (turn - 1) END AS source FROM conversations")
+def _(s, d):
+    name = lambda t: F.concat(F.lit("n"), t.cast("string"))
+    text = F.lit(None).cast("string")
+    even = F.col("turn") % 2 == 0
+    node = F.struct(name(F.col("turn")).alias("id"), F.when(even, "text").otherwise("file").alias("type"), F.when(even, F.col("text")).otherwise(text).alias("text"), F.when(~even, F.col("text")).alias("file"))
+    edge = F.when(F.col("turn") > 0, F.struct(name(F.col("turn") - 1).alias("fromNode"), name(F.col("turn")).alias("toNode")))
+    files = read(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))).alias("text"))
+    nodes, edges = records.scan_canvas(files.select(F.concat(F.col("conv_id").cast("string"), F.lit(".canvas")).alias("path"), "text"))
+    return nodes.join(edges.select("path", F.col("target").alias("node"), "source"), ["path", "node"], "left").select("path", "node", "kind", "text", "source")
+
+
+@query(
+    "S17_note_edges",
+    """WITH p AS (SELECT doc_id, substr(sha256(doc_id::VARCHAR), 1, 32) AS id FROM documents) SELECT a.id AS source_native, b.id AS target_native, 'LINKS_TO' AS type FROM p a JOIN p b ON b.doc_id = a.doc_id // 2 AND a.doc_id > 0
+UNION ALL SELECT a.id, b.id, 'PART_OF' FROM p a JOIN p b ON b.doc_id = a.doc_id // 10 AND a.doc_id > 0""",
+)
+def _(s, d):
+    id_ = lambda c: F.substring(F.sha2(c.cast("string"), 256), 1, 32)
+    k = F.col("doc_id")
+    folder = F.concat(F.lit("Export/Page "), id_(F.floor(k / 10)), F.lit("/"))
+    path = F.concat(F.when(k > 0, folder).otherwise("Export/"), F.lit("Page "), id_(k), F.lit(".md"))
+    body = F.concat(F.lit("see [that](Page%20"), id_(F.floor(k / 2)), F.lit(".md) and [none](https://x.example/a) and [gone](Page%20"), F.lit("0" * 32), F.lit(".md)"))
+    export = files.scan_notes_export(read(s, d, "documents").select(path.alias("path"), F.lit("2026-01-01").cast("timestamp").alias("modified_at"), body.cast("binary").alias("content")))
+    links, part = files.notes_export_edges(export)
+    return links.unionByName(part)
+
+
+@query("S19_star_visits", "SELECT 'https://git.example/' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-05-01 10:00:00' END AS ts, 'o/' || c_custkey AS title FROM customer")
+def _(s, d):
+    key = F.col("c_custkey").cast("string")
+    fields = [F.concat(F.lit("o/"), key).alias("full_name"), F.concat(F.lit("https://git.example/"), key).alias("html_url"), F.lit("d").alias("description"), F.lit("l").alias("language"), F.array(F.lit("t")).alias("topics")]
+    c = read(s, d, "customer")
+    dated = c.filter("c_custkey % 2 = 0").select(F.lit("2024-05-01T10:00:00Z").alias("starred_at"), F.struct(*fields).alias("repo"))
+    rows = dated.unionByName(records.undated_stars(c.filter("c_custkey % 2 = 1").select(*fields)))
+    return records.star_visits(rows).select("url", F.col("ts").cast("timestamp_ntz").alias("ts"), "title")

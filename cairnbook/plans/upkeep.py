@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnbook.functions.lineage import new_folder
-from cairnbook.operators import graph, insight, secretscan, sinks, validate
+from cairnbook.operators import graph, ingest, insight, provenance, secretscan, sinks, validate
 from cairnbook.plans import sql
 from cairnbook.plans.registry import query
 from cairnbook.plans.tables import messages, objects, read, relationships
@@ -102,3 +102,51 @@ def _(s, d):
     """The graph of chats with a hub that every third message meets."""
     m = messages(s, d).filter((F.col("conv_id") * 1000 + F.col("turn")) % 3 == 0).select(F.col("object_id").alias("source_object"), F.lit("HUB").alias("target_object"))
     return graph.second_degree(relationships(s, d).select("source_object", "target_object").unionByName(m), keep=5)
+
+
+@query(
+    "I03_meta",
+    f"""WITH {sql.OBJ}, x AS (SELECT *, TIMESTAMP '2020-01-15' + INTERVAL (doc_id % 40) MONTH AS t FROM obj), p AS (
+SELECT 'state' AS section, CASE WHEN doc_id % 4 = 0 THEN 'DERIVED' ELSE 'ORIGINAL' END AS k FROM x UNION ALL SELECT 'authority', authority FROM x UNION ALL SELECT 'class', 'File' FROM x UNION ALL SELECT 'decay', 'CURRENT' FROM x
+UNION ALL SELECT 'voice', CASE authority WHEN 'PRIMARY SOURCE' THEN 'own words' WHEN 'AI-GENERATED' THEN 'assistant' ELSE 'other' END FROM x UNION ALL SELECT 'provenance', CASE WHEN doc_id % 3 = 0 THEN 'complete' ELSE 'broken' END FROM x
+UNION ALL SELECT 'month', strftime(t, '%Y-%m') FROM x UNION ALL SELECT 'year', strftime(t, '%Y') FROM x), g AS (SELECT section, k, count(*) AS n FROM p GROUP BY 1, 2) SELECT section, k AS "key", n, round(100.0 * n / sum(n) OVER (PARTITION BY section), 2) AS percent FROM g""",
+)
+def _(s, d):
+    at = F.add_months(F.lit("2020-01-15").cast("date"), (F.col("doc_id") % 40).cast("int")).cast("timestamp")
+    o = objects(s, d).withColumns({"created_at": at, "knowledge_state": F.when(F.col("doc_id") % 4 == 0, "DERIVED").otherwise("ORIGINAL")})
+    return insight.meta(o, o.filter("doc_id % 3 <> 2").select("object_id", (F.col("doc_id") % 3 == 0).alias("complete")))
+
+
+@query(
+    "Q03_coverage",
+    f"""WITH {sql.OBJ}, x AS (SELECT *, TIMESTAMP '2020-01-15' + INTERVAL (doc_id % 40) MONTH AS t FROM obj), h AS (SELECT source_id, count(*) AS n, min(t) AS a, max(t) AS b, count(*) FILTER (WHERE doc_id % 10 = 3) AS r FROM x GROUP BY 1), w AS (SELECT DISTINCT 'src' || s_suppkey AS source_id FROM supplier),
+l AS (SELECT 'src' || (event_id % 30) AS source_id, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1), u AS (SELECT 'src' || (page_id % 4) AS source_id, count(*) AS n FROM pages GROUP BY 1), k AS (SELECT source_id FROM h UNION SELECT source_id FROM w UNION SELECT source_id FROM l UNION SELECT source_id FROM u)
+SELECT source_id, h.n IS NOT NULL AS present, coalesce(h.n, 0) AS n, a AS "first", b AS "last", coalesce(r, 0) AS redacted, coalesce(l.n, 0) AS dead_letters, coalesce(u.n, 0) AS urls FROM k LEFT JOIN h USING (source_id) LEFT JOIN l USING (source_id) LEFT JOIN u USING (source_id)""",
+)
+def _(s, d):
+    at = F.add_months(F.lit("2020-01-15").cast("date"), (F.col("doc_id") % 40).cast("int")).cast("timestamp_ntz")
+    o = objects(s, d).withColumns({"created_at": at, "classification": F.when(F.col("doc_id") % 10 == 3, "RESTRICTED").otherwise("PRIVATE")})
+    source = lambda c: F.concat(F.lit("src"), c.cast("string")).alias("source_id")
+    return provenance.coverage(o, read(s, d, "supplier").select(source(F.col("s_suppkey"))), read(s, d, "events").filter("event_id % 10 = 0").select(source(F.col("event_id") % 30)), read(s, d, "pages").select(source(F.col("page_id") % 4)))
+
+
+@query("Z07_server_runs", """WITH r AS (SELECT c_nationkey AS host, c_custkey AS run, list_sort([c_mktsegment, 'base']) AS now FROM customer), l AS (SELECT *, lag(now) OVER (PARTITION BY host ORDER BY run) AS was FROM r)
+SELECT host, run, CASE WHEN was IS NOT NULL THEN array_to_string(list_sort(list_filter(now, lambda x: NOT list_contains(was, x))), ',') END AS came, CASE WHEN was IS NOT NULL THEN array_to_string(list_sort(list_filter(was, lambda x: NOT list_contains(now, x))), ',') END AS went, CASE WHEN run % 2 = 0 THEN 'v' || run ELSE '' END AS orphans FROM l""")
+def _(s, d):
+    volume = F.concat(F.lit("v"), F.col("c_custkey").cast("string"))
+    runs = read(s, d, "customer").select(F.col("c_nationkey").alias("host"), F.col("c_custkey").alias("run"), F.array("c_mktsegment", F.lit("base")).alias("containers"), F.array(volume, F.lit("data")).alias("volumes"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("data"))).otherwise(F.array(F.lit("data"), volume)).alias("mounted"))
+    out = insight.compare_servers(runs)
+    return out.select("host", "run", F.array_join("came", ",").alias("came"), F.array_join("went", ",").alias("went"), F.array_join("orphan_volumes", ",").alias("orphans"))
+
+
+@query("T01_stream_ingest", f"WITH {sql.OBJ} SELECT native_id, content_hash, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS version_num FROM (SELECT doc_id, 'doc' || doc_id AS native_id, CASE WHEN doc_id % 10 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM obj)")
+def _(s, d):
+    """Two files of items, the second with changed and old ones, fed by a stream that is started twice."""
+    folder, path, checkpoint = (new_folder(s, f"stream-{n}") for n in ("in", "store", "checkpoint"))
+    items = objects(s, d).select("source_id", "account_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("native_id"), "content_hash", "doc_id")
+    changed = items.withColumn("content_hash", F.when(F.col("doc_id") % 10 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
+    for rows in (items, changed):
+        rows.write.mode("append").parquet(folder)
+        live = s.readStream.schema(items.schema).parquet(folder)
+        ingest.ingest_stream(live, path, checkpoint, "2026-01-01", lambda df: df).awaitTermination()
+    return ingest.read_table(s, path, "source_object").select("native_id", "content_hash", "version_num")

@@ -99,3 +99,15 @@ def scan_notes_export(files: DataFrame, root: str = "", source_id: str = "pages_
     body = F.when(kind != "File", F.try_validate_utf8(F.col("content").cast("string")))
     digest = F.sha2(F.concat_ws("|", F.sha2("content", 256), title), 256)
     return files.select(*item(source_id, None, F.coalesce(F.nullif(found, F.lit("")), rel), kind, title, body, digest, rel, modified=F.col("modified_at"), metadata=F.to_json(F.struct((found == "").alias("path_identity")))))
+
+
+def notes_export_edges(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items: what scan_notes_export gives. (LINKS_TO edges: source_native, target_native, type, by the 32 digits in links
+    of the bodies; PART_OF edges of each page to the page whose folder it lies in). Only ends that are items count."""
+    known = items.select(F.col("native_id").alias("target_native")).distinct()
+    href = F.explode(F.regexp_extract_all("body", F.lit(r"\]\(([^)\s]+)"), F.lit(1)))
+    links = items.select(F.col("native_id").alias("source_native"), href.alias("h")).select("source_native", tx.link_id(F.col("h")).alias("target_native")).filter("target_native is not null and source_native <> target_native").distinct()
+    folder = F.lower(F.regexp_extract("native_path", r"[ _-]([0-9a-fA-F]{32})/[^/]*$", 1))
+    part = items.select(F.col("native_id").alias("source_native"), folder.alias("target_native")).filter("target_native <> '' and source_native <> target_native").distinct()
+    tag = lambda rows, kind: rows.join(known, "target_native", "left_semi").select("source_native", "target_native", F.lit(kind).alias("type"))
+    return tag(links, "LINKS_TO"), tag(part, "PART_OF")

@@ -36,6 +36,39 @@ def scan_calendar(files: DataFrame) -> DataFrame:
     return files.select(*item("calendar", None, F.col("path"), "Calendar", F.substring_index("path", "/", -1), F.col("text"), path=F.col("path"), metadata=F.to_json(F.struct(F.regexp_count("text", F.lit("BEGIN:VEVENT")).alias("events")))))
 
 
+def calendar_events(files: DataFrame) -> DataFrame:
+    """files: path, text (iCalendar). A row per event: path, n (its place), uid, summary, starts, ends, location. Folded
+    lines are joined, escapes undone; parameters of a property are passed over; times are as written."""
+    text = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\n[ \t]", "")
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
+    e = files.select("path", F.posexplode(blocks).alias("n", "b"))
+    plain = lambda c: F.replace(F.replace(F.regexp_replace(F.regexp_replace(c, r"\\[nN]", "\n"), r"\\([,;])", "$1"), F.lit("\\\\"), F.lit("\\")), F.lit("\r"), F.lit(""))
+    get = lambda name: plain(F.nullif(F.regexp_extract("b", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1), F.lit("")))
+    return e.select("path", "n", get("UID").alias("uid"), get("SUMMARY").alias("summary"), get("DTSTART").alias("starts"), get("DTEND").alias("ends"), get("LOCATION").alias("location"))
+
+
+def scan_canvas(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files: path, text (JSON). (nodes: path, node, kind, text — of a card its text, of a file its path, of a link its
+    address, of a group its label; edges: path, source, target, label). A broken file has neither."""
+    kind = "nodes array<struct<id:string,type:string,text:string,file:string,url:string,label:string>>, edges array<struct<fromNode:string,toNode:string,label:string>>"
+    c = files.select("path", F.from_json("text", kind).alias("c"))
+    n = c.select("path", F.explode("c.nodes").alias("n"))
+    e = c.select("path", F.explode("c.edges").alias("e"))
+    nodes = n.select("path", F.col("n.id").alias("node"), F.col("n.type").alias("kind"), F.coalesce("n.text", "n.file", "n.url", "n.label").alias("text"))
+    return nodes, e.select("path", F.col("e.fromNode").alias("source"), F.col("e.toNode").alias("target"), F.col("e.label").alias("label"))
+
+
+def undated_stars(rows: DataFrame) -> DataFrame:
+    """The older form, repositories without the time of their star, in the shape of the newer."""
+    fields = ["full_name", "html_url", "description", "language", "topics"]
+    return rows.select(F.lit(None).cast("string").alias("starred_at"), F.struct(*fields).alias("repo"))
+
+
+def star_visits(rows: DataFrame) -> DataFrame:
+    """A repository is a referenced URL, at the time of its star if there is one."""
+    return rows.filter("repo.html_url is not null").select(F.col("repo.html_url").alias("url"), ts_iso(F.col("starred_at")).alias("ts"), F.col("repo.full_name").alias("title"), F.lit("referenced").alias("kind"))
+
+
 def scan_stars(rows: DataFrame) -> DataFrame:
     """rows: starred_at, repo struct<full_name, html_url, description, language, topics, …>."""
     r = F.col("repo")

@@ -58,3 +58,25 @@ def test_databases_and_values(spark):
     values = ['[1,[2,[3,[4,[5]]]]]', '{"name":"","email":"e"}', "null", "true", '"s"', None]
     out = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", tx.flat_value(F.try_parse_json("v")).alias("f")).orderBy("i").collect()
     assert [r["f"] for r in out] == ["1, 2, 3, 4, [5]", "e", None, "true", "s", None]
+
+
+def test_calendars_and_canvases_of_odd_shapes(spark):
+    from cairnbook.sources import records
+
+    files = [("a", "BEGIN:VEVENT\nSUMMARY:x\\\\n\;y\nDTSTART;TZID=A/B:20260101T000000\nEND:VEVENT\nBEGIN:VEVENT\nEND:VEVENT"), ("b", ""), ("c", None)]
+    got = [(r["path"], r["n"], r["summary"], r["starts"], r["uid"]) for r in records.calendar_events(spark.createDataFrame(files, "path string, text string")).orderBy("n").collect()]
+    assert got == [("a", 0, "x\\n;y", "20260101T000000", None), ("a", 1, None, None, None)]
+    nodes, edges = records.scan_canvas(spark.createDataFrame([("a", '{"nodes":[{"id":"1","type":"group","label":"g"}]}'), ("b", "broken"), ("c", None)], "path string, text string"))
+    assert [(r["node"], r["text"]) for r in nodes.collect()] == [("1", "g")] and edges.collect() == []
+
+
+def test_ids_sort_by_number(spark):
+    from cairnbook.operators import dedupe, replication
+
+    ids = ["KB-100000000", "KB-99999999"]
+    rows = spark.createDataFrame([(i, "h", 1, None) for i in ids], "object_id string, content_hash string, bytes int, is_duplicate_of string")
+    assert dedupe.exact_duplicates(rows).first()["canonical"] == "KB-99999999"
+    m = replication.store_manifest(rows.select("object_id", F.col("object_id").alias("uuid")), rows)
+    assert (m.first()["lineage"], m.first()["high_water"]) == ("KB-99999999", "KB-100000000")
+    old = m.withColumn("high_water", F.lit("KB-99999999"))
+    assert [r["refusal"] for r in replication.refusals(old, m).collect()] == ["remote is ahead"] and replication.refusals(m, old).isEmpty()
