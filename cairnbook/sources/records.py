@@ -42,7 +42,8 @@ def calendar_events(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\n[ \t]", "")
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
     e = files.select("path", F.posexplode(blocks).alias("n", "b"))
-    plain = lambda c: F.replace(F.replace(F.regexp_replace(F.regexp_replace(c, r"\\[nN]", "\n"), r"\\([,;])", "$1"), F.lit("\\\\"), F.lit("\\")), F.lit("\r"), F.lit(""))
+    kept = F.lit("\x01")  # stands for a double backslash, so that what follows one isn't taken for its escape
+    plain = lambda c: F.replace(F.regexp_replace(F.regexp_replace(F.replace(F.replace(c, F.lit("\r"), F.lit("")), F.lit("\\\\"), kept), r"\\[nN]", "\n"), r"\\([,;])", "$1"), kept, F.lit("\\"))
     get = lambda name: plain(F.nullif(F.regexp_extract("b", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1), F.lit("")))
     return e.select("path", "n", get("UID").alias("uid"), get("SUMMARY").alias("summary"), get("DTSTART").alias("starts"), get("DTEND").alias("ends"), get("LOCATION").alias("location"))
 

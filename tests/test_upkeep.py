@@ -63,7 +63,7 @@ def test_databases_and_values(spark):
 def test_calendars_and_canvases_of_odd_shapes(spark):
     from cairnbook.sources import records
 
-    files = [("a", "BEGIN:VEVENT\nSUMMARY:x\\\\n\;y\nDTSTART;TZID=A/B:20260101T000000\nEND:VEVENT\nBEGIN:VEVENT\nEND:VEVENT"), ("b", ""), ("c", None)]
+    files = [("a", "BEGIN:VEVENT\nSUMMARY:x\\\\n\\;y\nDTSTART;TZID=A/B:20260101T000000\nEND:VEVENT\nBEGIN:VEVENT\nEND:VEVENT"), ("b", ""), ("c", None)]
     got = [(r["path"], r["n"], r["summary"], r["starts"], r["uid"]) for r in records.calendar_events(spark.createDataFrame(files, "path string, text string")).orderBy("n").collect()]
     assert got == [("a", 0, "x\\n;y", "20260101T000000", None), ("a", 1, None, None, None)]
     nodes, edges = records.scan_canvas(spark.createDataFrame([("a", '{"nodes":[{"id":"1","type":"group","label":"g"}]}'), ("b", "broken"), ("c", None)], "path string, text string"))
