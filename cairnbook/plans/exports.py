@@ -9,7 +9,7 @@ from cairnbook.functions import text as tx
 from cairnbook.operators import nested
 from cairnbook.plans.registry import query
 from cairnbook.plans.tables import read
-from cairnbook.sources import assistant, files, markup, records
+from cairnbook.sources import assistant, declared, files, markup, records
 
 #: A workflow's parameters from a document's number and hash, five levels deep, in words that Spark and DuckDB share.
 _PARAMS = """concat('{"a":{"b":[{"c":{"deep":"v', doc_id, '","password":"p', h, '"}},["x",{"Api_Key":[1,2]}]]},"auth":{"clientSecret":{"id":1},"user":"u', doc_id, '"},"empty":[{},[]],"n":', doc_id, ',"note":"', CASE WHEN doc_id % 3 = 0 THEN concat('ghp_', substr(h, 1, 36)) ELSE 'plain' END, '","z":null}')"""
@@ -273,3 +273,18 @@ def _(s, d):
     dated = c.filter("c_custkey % 2 = 0").select(F.lit("2024-05-01T10:00:00Z").alias("starred_at"), F.struct(*fields).alias("repo"))
     rows = dated.unionByName(records.undated_stars(c.filter("c_custkey % 2 = 1").select(*fields)))
     return records.star_visits(rows).select("url", F.col("ts").cast("timestamp_ntz").alias("ts"), "title")
+
+
+@query(
+    "S31_declared_files",
+    """SELECT 'linkedin:connections:' || substr(sha256('First Name=' || c_name || '|Company=' || c_mktsegment), 1, 24) AS native_id, 'Contact' AS object_class, c_name AS title, TIMESTAMP '2024-03-15 00:00:00' AS created_at FROM customer
+UNION ALL SELECT 'linkedin:my_sales_2:' || substr(sha256('Order Number=' || o_orderkey || '|Purchase Date=2024-01-02'), 1, 24), 'Sale', o_orderstatus, TIMESTAMP '2024-01-02 00:00:00' FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'linkedin:odd:' || substr(sha256('A=' || s_suppkey || '|B=' || s_name), 1, 24), 'TabularRecord', s_name, NULL FROM supplier""",
+)
+def _(s, d):
+    cell = lambda *kv: F.map_from_arrays(F.array(*map(F.lit, kv[::2])), F.array(*[x.cast("string") for x in kv[1::2]]))
+    one = read(s, d, "customer").select(F.lit("x/Connections.csv").alias("path"), cell("Company", F.col("c_mktsegment"), "First Name", F.concat(F.lit(" "), "c_name"), "URL", F.lit(""), "Connected On", F.lit("15 Mar 2024")).alias("row"))
+    two = read(s, d, "orders").filter("o_orderkey % 5 = 0").select(F.lit("x/My Sales-2.csv").alias("path"), cell("Item Name", F.lit(None), "Purchase Date", F.lit("2024-01-02"), "Order Number", F.col("o_orderkey"), "Buyer Name", F.col("o_orderstatus")).alias("row"))
+    three = read(s, d, "supplier").select(F.lit("x/odd.csv").alias("path"), cell("B", F.col("s_name"), "A", F.col("s_suppkey")).alias("row"))
+    items = declared.scan_declared(one.unionByName(two).unionByName(three), "linkedin", "me")[0]
+    return items.select("native_id", "object_class", "title", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
