@@ -90,3 +90,19 @@ def test_current_branch_ends_on_cycles_and_without_a_current_node(spark):
     chats = spark.createDataFrame([("c", "a"), ("d", None), ("e", "s")], "conversation_id string, current_node string")
     got = {(r["conversation_id"], r["node"]) for r in records.current_branch(chats, nodes).filter("on_current_branch").collect()}
     assert got == {("c", "a"), ("c", "b"), ("d", "r"), ("d", "k2"), ("d", "l"), ("e", "r"), ("e", "s")}
+
+
+def test_declared_exports_need_their_account_and_ignore_order(spark):
+    import pytest
+
+    from cairnbook.sources import declared
+
+    rows = spark.createDataFrame([("a/skills.csv", {"Name": "x", "More": "1"}), ("b/skills.csv", {"More": "2", "Name": "x"}), ("c/skills.csv", {"Other": "y"}), ("d/new.csv", {"b": "2", "a": None}), ("e/new.csv", {"a": " "}), ("f/shares.csv", {"Date": "2024-05-01", "ShareLink": "https://x.example/1"})], "path string, row map<string,string>")
+    with pytest.raises(ValueError, match="linkedin"):
+        declared.scan_declared(rows, "linkedin", " ")
+    items, urls, files = declared.scan_declared(rows, "linkedin", "me")
+    got = {r["native_path"]: r for r in items.collect()}
+    assert got["a/skills.csv"]["native_id"] == got["b/skills.csv"]["native_id"] != got["c/skills.csv"]["native_id"]
+    assert got["d/new.csv"]["object_class"] == "TabularRecord" and got["d/new.csv"]["title"] == "2" and "e/new.csv" not in got
+    assert [(r["url"], str(r["ts"])[:10]) for r in urls.collect()] == [("https://x.example/1", "2024-05-01")]
+    assert {r["path"] for r in files.collect() if not r["recognised"]} == {"d/new.csv", "e/new.csv"}
