@@ -38,7 +38,7 @@ def _(s, d):
 
 
 #: A turn as a record of one of three layouts, and a decoy list that is shorter.
-_KEY = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+_KEY = lambda: F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
 @query(
@@ -47,11 +47,12 @@ _KEY = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("str
 SELECT 'posts/' || conv_id || '.json' AS native_path, CASE layout WHEN 0 THEN 'post ' || k || chr(10) || 'pic ' || k WHEN 1 THEN 'Name: ' || k || chr(10) || 'Note: same' ELSE 'only ' || k END AS body, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created FROM m""",
 )
 def _(s, d):
+    key = _KEY()
     t = (F.lit(1_600_000_000) + F.col("conv_id") * 100 + F.col("turn")).cast("string")
     put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    first = put('{"timestamp":', t, ',"title":"post ', _KEY, '","media":[{"title":"pic ', _KEY, '"},{"title":"post ', _KEY, '"}],"data":[{"post":"pic ', _KEY, '"},{"x":1}]}')
-    second = put('{"string_map_data":{"Name":{"value":"', _KEY, '","timestamp":', t, '},"Note":{"value":"same"},"Void":{"value":""}}}')
-    third = put('{"title":"","description":"only ', _KEY, '","media":[{"uri":"u","creation_timestamp":', t, '}]}')
+    first = put('{"timestamp":', t, ',"title":"post ', key, '","media":[{"title":"pic ', key, '"},{"title":"post ', key, '"}],"data":[{"post":"pic ', key, '"},{"x":1}]}')
+    second = put('{"string_map_data":{"Name":{"value":"', key, '","timestamp":', t, '},"Note":{"value":"same"},"Void":{"value":""}}}')
+    third = put('{"title":"","description":"only ', key, '","media":[{"uri":"u","creation_timestamp":', t, '}]}')
     record = F.when(F.col("conv_id") % 3 == 0, first).when(F.col("conv_id") % 3 == 1, second).otherwise(third)
     files = read(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(record), ",").alias("r"))
     text = F.when(F.col("conv_id") % 3 == 0, put("[", F.col("r"), ',"noise"]')).otherwise(put('{"about":"x","few":[],"mixed":[1,{"a":1},2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19,20],"records":[', F.col("r"), "]}"))

@@ -88,9 +88,6 @@ def _(s, d):
 
 # bundles and stored files
 
-_NEWLINE = F.lit("\n")
-
-
 def _evidence(s, d) -> tuple[DataFrame, DataFrame]:
     """(objects, blobs) of a store of all documents."""
     o = objects(s, d).select("doc_id", "object_id", F.md5(F.col("object_id").cast("binary")).alias("uuid"), "content_hash", "body")
@@ -166,7 +163,7 @@ UNION ALL SELECT h || '.tmp-' || k, 'partial', k = 2 FROM b WHERE k IN (1, 2, 3)
 )
 def _(s, d):
     """A folder of files named by their hash, some lost, some changed, some torn, some of strangers."""
-    t = read(s, d, "documents").select("doc_id", "text").withColumn("h", F.sha2(F.concat("text", _NEWLINE), 256))
+    t = read(s, d, "documents").select("doc_id", "text").withColumn("h", F.sha2(F.concat("text", F.lit("\n")), 256))
     b = fixed(t.groupBy("h").agg((F.min("doc_id") % 5).alias("k"), F.first("text").alias("value")))
     name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     h, k = F.col("h"), F.col("k")
