@@ -101,11 +101,17 @@ def expansion_terms(docs: DataFrame, hits: DataFrame, terms: DataFrame) -> DataF
 
 def match_entities(queries: DataFrame, entities: DataFrame, limit: int = 8) -> DataFrame:
     """query_id, object_id, title, exact: live entities whose title has a query term of four or more characters as a
-    whole word; exact titles first, at most `limit` per query. Titles are tokenised, so the join is on words."""
+    whole word; exact titles first, at most `limit` per query. Titles are tokenised, so the join is on words.
+
+    An entity among the first of a query is among the first of one of its terms too (the one that it equals, if any): what
+    comes before it there comes before it in the query. So a word brings `limit` entities, however many titles have it."""
     t = query_terms(queries).filter(F.length("term") >= 4)
-    words = entities.select("object_id", "title", F.explode(F.array_distinct(tx.tokens(F.col("title")))).alias("term"))
-    met = t.join(words, "term").withColumn("exact", F.lower("title") == F.col("term")).groupBy("query_id", "object_id", "title").agg(F.bool_or("exact").alias("exact"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "object_id"))
+    words = entities.select("object_id", "title", F.explode(F.array_distinct(tx.tokens(F.col("title")))).alias("term")).filter(F.length("term") >= 4).distinct()
+    words = words.withColumn("exact", F.lower("title") == F.col("term"))
+    first = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("exact"), "object_id", "title"))
+    words = words.withColumn("_r", first).filter(F.col("_r") <= limit).drop("_r")
+    met = t.join(words, "term").groupBy("query_id", "object_id", "title").agg(F.bool_or("exact").alias("exact"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "object_id", "title"))
     return met.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
 
 
