@@ -10,12 +10,15 @@ import hashlib
 import io
 import re
 from collections.abc import Iterator
+from email.headerregistry import HeaderRegistry
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnbook.functions.lineage import spread, stored
 from cairnbook.sources.items import item
 
 _BOOKMARK = re.compile(r"<(/?DL)\b|<H3[^>]*>(.*?)</H3>|<A\b([^>]*)>(.*?)</A>", re.I | re.S)
@@ -85,11 +88,13 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     head and text, so it is the same in every export; a broken one has its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the policy parses a header each time that something asks for it, content types a dozen times a message
+        policy = email.policy.default.clone(header_factory=lru_cache(maxsize=1 << 12)(HeaderRegistry()))
         for frame in frames:
             out = []
             for mailbox, raw in zip(frame["mailbox"], frame["raw"], strict=True):
                 try:
-                    m = email.message_from_string(raw, policy=email.policy.default)
+                    m = email.message_from_string(raw, policy=policy)
                     body, which = _body(m)
                     addresses = lambda k, m=m: [a for _, a in email.utils.getaddresses([str(x) for x in m.get_all(k, [])])]
                     head = "|".join(str(m.get(k, "")) for k in ("From", "Subject", "Date"))
@@ -100,15 +105,16 @@ def parse_messages(messages: DataFrame) -> DataFrame:
                     out.append((mailbox, None, None, [], [], None, None, None, None, [], f"{type(error).__name__}: {error}"[:500], [], None, []))
             yield pd.DataFrame(out, columns=["mailbox", "message_id", "subject", "from", "to", "date", "in_reply_to", "body", "body_part", "attachments", "error", "references", "list_id", "files"])
 
-    return messages.mapInPandas(run, "mailbox string, message_id string, subject string, `from` array<string>, `to` array<string>, date string, in_reply_to string, body string, body_part string, attachments array<string>, error string, references array<string>, list_id string, files array<struct<name:string,mime:string,bytes:long,content_hash:string,content:binary>>")
+    # a message costs a thousand times its bytes' reading: no file's layout decides how many tasks share them
+    return spread(messages.select("mailbox", "raw"), "raw").mapInPandas(run, "mailbox string, message_id string, subject string, `from` array<string>, `to` array<string>, date string, in_reply_to string, body string, body_part string, attachments array<string>, error string, references array<string>, list_id string, files array<struct<name:string,mime:string,bytes:long,content_hash:string,content:binary>>")
 
 
 def scan_mail(parsed: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """parsed: what parse_messages gives. identities: mailbox, identity (the owner's address, declared by hand). Returns
     (items of messages with direction, references and list; REPLY_TO edges by In-Reply-To; attached files with the
     message they came with). Broken messages are left to quarantine; an undated one has no time; a message that stands in
-    two mailboxes is one item for each owner."""
-    good = parsed.filter("error is null").join(identities, "mailbox")
+    two mailboxes is one item for each owner. Messages are parsed once for all three."""
+    good = stored(parsed.filter("error is null")).join(identities, "mailbox")
     native = lambda c: F.concat(F.lit("msg:"), c)
     sent = F.exists("from", lambda a: F.lower(a) == F.lower("identity"))
     facts = F.to_json(F.struct(F.col("from"), F.col("to"), F.when(sent, "sent").otherwise("received").alias("direction"), F.when(F.size("references") > 0, F.col("references")).alias("references"), "list_id", "in_reply_to", "body_part", F.transform("files", lambda f: F.struct(f["name"], f["mime"], f["bytes"], f["content_hash"])).alias("attachments")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairnbook.operators import search
+from cairnbook.sources import markup
 
 
 def plan(df) -> str:
@@ -20,3 +21,12 @@ def test_a_word_brings_no_more_entities_than_a_query_keeps(spark):
         want |= {(q, o, t, not no) for no, o, t in hits[:8]}
     assert {tuple(r) for r in met.select("query_id", "object_id", "title", "exact").collect()} == want
     assert "WindowGroupLimit [term" in plan(met)
+
+
+def test_messages_of_one_file_are_parsed_by_many_tasks_and_once(spark):
+    raw = [("box", f"From: a@x.example\nTo: b@x.example\nSubject: s{i}\nMessage-ID: <{i}@x>\nIn-Reply-To: <{i - 1}@x>\n\nhello {i}\n") for i in range(40)]
+    parsed = markup.parse_messages(spark.createDataFrame(raw, "mailbox string, raw string").coalesce(1))
+    assert parsed.rdd.getNumPartitions() >= 4
+    items, edges, files = markup.scan_mail(parsed, spark.createDataFrame([("box", "a@x.example")], "mailbox string, identity string"))
+    assert items.count() == 40 and edges.count() == 40 and files.count() == 0
+    assert not any("InPandas" in plan(df) for df in (items, edges, files))
