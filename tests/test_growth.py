@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cairnbook.operators import search
+import numpy as np
+
+from cairnbook.operators import search, semantic
 from cairnbook.sources import markup
 
 
@@ -30,3 +32,17 @@ def test_messages_of_one_file_are_parsed_by_many_tasks_and_once(spark):
     items, edges, files = markup.scan_mail(parsed, spark.createDataFrame([("box", "a@x.example")], "mailbox string, identity string"))
     assert items.count() == 40 and edges.count() == 40 and files.count() == 0
     assert not any("InPandas" in plan(df) for df in (items, edges, files))
+
+
+def test_vectors_meet_in_blocks_and_no_pair_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "ROWS", 70)
+    monkeypatch.setattr(semantic, "ASKED", 30)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 16))
+    every = np.concatenate([x, x + 0.47 * rng.normal(size=x.shape)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    met = semantic.similar_vectors(rows, rows.filter("vec_id % 4 = 0"))
+    unit = every / np.linalg.norm(every, axis=1)[:, None]
+    c = np.round(unit[::4] @ unit.T, 6)
+    assert {(r["query_id"], r["object_id"]) for r in met.collect()} == {(4 * i, j) for i, j in zip(*np.nonzero(c >= 0.9), strict=True) if 4 * i != j}
+    assert "bucket" not in plan(met)
