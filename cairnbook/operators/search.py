@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
-from cairnbook.functions.lineage import fixed
+from cairnbook.functions.lineage import spread, stored
 from cairnbook.functions.times import recency_weight
 
 # BM25's usual constants, and the sizes, shares and weights of the specification.
@@ -38,26 +38,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.filter(~tx.is_stop_word(F.col("term")))
 
 
-def postings_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """term, object_id, len, tf of the asked terms only: texts meet the term table before anything is shuffled, and counts
-    are partial."""
+def counted(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """object_id, len, term, tf of the asked terms, and of each text as a whole under the empty term, which no text has. Made
+    in one pass and stored: texts are dealt over all cores, where their terms are counted, and meet the asked terms before
+    anything else is shuffled."""
+    docs = spread(docs.select("object_id", "body"), "object_id")
     words = docs.select("object_id", tx.tokens(F.coalesce("body", F.lit(""))).alias("words"))
-    hits = words.select("object_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term")
-    return hits.groupBy("term", "object_id", "len").agg(F.count("*").alias("tf"))
+    every = words.select("object_id", F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+    wanted = stored(asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    return stored(every.join(wanted, "term", "left_semi").groupBy("object_id", "len", "term").agg(F.count("*").alias("tf")))
+
+
+def postings_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, object_id, len, tf of the asked terms only."""
+    return counted(docs, asked).filter("term <> ''")
 
 
-def totals_of(docs: DataFrame) -> DataFrame:
-    """One row: n_docs, avg_len; tokens are counted without being made."""
-    size = F.regexp_count(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"))
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_len"))
+def totals_of(found: DataFrame) -> DataFrame:
+    """One row: n_docs, avg_len. found: what `counted` gives; a text that is there twice counts twice."""
+    return found.filter("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("avg_len"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, pool: int | None = None, require_all: bool = False, postings: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, pool: int | None = None, require_all: bool = False, found: DataFrame | None = None) -> DataFrame:
     """docs: object_id, body. terms: query_id, term. Returns query_id, object_id, score, matched, rank: the pool best
-    documents per query, ties by object_id. postings and totals, if given, are those of docs; the postings may hold more
-    terms. idf is floored just above 0."""
-    postings = postings_of(docs, terms) if postings is None else postings.join(terms.select("term").distinct(), "term", "left_semi")
-    totals = totals_of(docs) if totals is None else totals
+    documents per query, ties by object_id. found, if given, is what `counted` gives of docs; it may hold more terms. idf
+    is floored just above 0."""
+    found = counted(docs, terms) if found is None else found
+    totals = totals_of(found)
+    postings = found.filter("term <> ''").join(terms.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     one = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -95,8 +103,9 @@ def rare_terms(seen: DataFrame, postings: DataFrame, totals: DataFrame, n_terms:
 
 def expansion_terms(docs: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, term, weight: what the best hits of a query add to it."""
-    seen = fixed(feedback_terms(docs, hits, terms))
-    return rare_terms(seen, postings_of(docs, seen), totals_of(docs))
+    seen = stored(feedback_terms(docs, stored(hits), terms))
+    found = counted(docs, seen)
+    return rare_terms(seen, found.filter("term <> ''"), totals_of(found))
 
 
 def match_entities(queries: DataFrame, entities: DataFrame, limit: int = 8) -> DataFrame:
@@ -149,15 +158,14 @@ def search(docs: DataFrame, queries: DataFrame, entities: DataFrame | None = Non
     """Hybrid search of a table of queries (query_id, query) over docs (object_id, body, authority, modified_at)."""
     pool = 5 * limit
     terms = query_terms(queries)
-    totals = fixed(totals_of(docs))
-    lexical = bm25(docs, terms, pool, totals=totals)
+    lexical = bm25(docs, terms, pool)
     if expand:
         # the texts are made tokens twice: for the terms of the queries, and for those of the feedback
-        lexical = fixed(lexical)
-        seen = fixed(feedback_terms(docs, lexical, terms))
-        postings = fixed(postings_of(docs, seen))
-        more = rare_terms(seen, postings, totals)
-        signals = {"lexical": lexical, "expansion": bm25(docs, more.select("query_id", "term"), pool, postings=postings, totals=totals)}
+        lexical = stored(lexical)
+        seen = stored(feedback_terms(docs, lexical, terms))
+        found = counted(docs, seen)
+        more = stored(rare_terms(seen, found.filter("term <> ''"), totals_of(found)))
+        signals = {"lexical": lexical, "expansion": bm25(docs, more.select("query_id", "term"), pool, found=found)}
     else:
         signals = {"lexical": lexical}
     if use_graph and entities is not None and edges is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cairnbook.operators import search, semantic
+from cairnbook.operators import bundles, graph, ingest, search, semantic
 from cairnbook.sources import markup
 
 
@@ -46,3 +46,38 @@ def test_vectors_meet_in_blocks_and_no_pair_is_lost(spark, monkeypatch):
     c = np.round(unit[::4] @ unit.T, 6)
     assert {(r["query_id"], r["object_id"]) for r in met.collect()} == {(4 * i, j) for i, j in zip(*np.nonzero(c >= 0.9), strict=True) if 4 * i != j}
     assert "bucket" not in plan(met)
+
+
+def test_search_reads_texts_once_per_set_of_terms(spark):
+    docs = spark.createDataFrame([("d1", "apple pear apple"), ("d2", "pear fig"), ("d3", None)], "object_id string, body string").coalesce(1)
+    terms = spark.createDataFrame([("q", "apple"), ("q", "pear")], "query_id string, term string")
+    met = search.bm25(docs, terms)
+    assert [(r["object_id"], r["matched"]) for r in met.orderBy("rank").collect()] == [("d1", 2), ("d2", 1)]
+    assert search.totals_of(search.counted(docs, terms)).collect() == [(3, 5 / 3)]
+    assert "split(" not in plan(met)
+
+
+def test_mentions_read_texts_once(spark):
+    objects = spark.createDataFrame([(f"d{i}", "see Example com and more" if i < 2 else "none") for i in range(50)], "object_id string, body string").coalesce(1)
+    met = graph.mentions(objects, spark.createDataFrame([("example.com",), ("more",)], "title string"))
+    assert sorted((r["title"], r["object_id"]) for r in met.collect()) == [("example.com", "d0"), ("example.com", "d1"), ("more", "d0"), ("more", "d1")]
+    assert "regexp_count" not in plan(met) and "body" not in plan(met)
+    assert graph.mentions(objects.limit(0), spark.createDataFrame([("example.com",)], "title string")).count() == 0
+
+
+def test_files_are_read_once(spark):
+    whole = "a" * 64
+    files = spark.createDataFrame([(whole, 1, b"x")], "name string, length long, content binary")
+    met = bundles.account_for_files(files, spark.createDataFrame([(whole,)], "content_hash string"))
+    assert [tuple(r) for r in met.collect()] == [(whole, "corrupt", False)] and "content#" not in plan(met)
+
+
+def test_bodies_stay_out_of_the_steps_of_a_batch(spark, tmp_path, monkeypatch):
+    seen = []
+    whole = ingest.ingest_outcomes
+    monkeypatch.setattr(ingest, "ingest_outcomes", lambda items, heads: seen.append(items.columns) or whole(items, heads))
+    rows = spark.createDataFrame([("s", "a", "n1", "h1", "one", 0), ("s", "a", "n1", "h2", "two", 1), ("s", "a", "n1", "h2", "two", 1), ("s", None, "n2", "h3", None, 0)], "source_id string, account_id string, native_id string, content_hash string, body string, seq int")
+    ingest.ingest_batch(spark, str(tmp_path), rows, 1, "2026-01-01")
+    got = ingest.read_table(spark, str(tmp_path), "object_version").select("content_hash", "body", "version_num")
+    assert sorted(map(tuple, got.collect())) == [("h1", "one", 1), ("h2", "two", 2), ("h3", None, 1)]
+    assert "body" not in seen[0]
