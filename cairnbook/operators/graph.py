@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
+from cairnbook.functions.lineage import spread, stored
 from cairnbook.functions.urls import registrable_domain
 
 SATURATION, TOP_MENTIONS, MIN_TITLE = 0.05, 500, 4
@@ -58,18 +59,20 @@ def mentions(objects: DataFrame, titles: DataFrame, saturation: float = SATURATI
     objects earn no edges. Null bodies and titles have no words; repeated titles count once.
 
     Texts become narrow rows of word runs, one per position and distinct phrase length (a handful: only these lengths
-    reach the driver); runs are counted per object before they meet the phrases, so hot phrases stay small."""
+    reach the driver). Texts are dealt over all cores and read once: runs meet the phrases, are counted per object where
+    they are and stored, with a row for each text from which the totals come."""
     phrases = titles.filter(F.length("title") >= min_len).select("title", tx.tokens(F.col("title")).alias("words")).filter(F.size("words") > 0).distinct()
-    phrases = phrases.select("title", F.size("words").alias("k"), F.array_join("words", " ").alias("run"))
+    phrases = stored(phrases.select("title", F.size("words").alias("k"), F.array_join("words", " ").alias("run")))
     lengths = sorted(r["k"] for r in phrases.select("k").distinct().collect())
-    docs = objects.select("object_id", tx.tokens(F.col("body")).alias("words"))
+    docs = spread(objects.select("object_id", "body"), "object_id").select("object_id", tx.tokens(F.col("body")).alias("words"))
     ahead = lambda i, k: F.concat_ws(" ", *[F.get("words", i + j) for j in range(k)])
     runs = lambda k: F.transform(F.slice(F.sequence(F.lit(0), F.size("words")), F.lit(1), F.greatest(F.size("words") - k + 1, F.lit(0))), lambda i: ahead(i, k)) if k > 1 else F.col("words")
-    every = F.flatten(F.array(*[runs(k) for k in lengths])) if lengths else F.array().cast("array<string>")
-    found = docs.select("object_id", F.size("words").alias("len"), F.explode(every).alias("run")).join(phrases.select("run").distinct(), "run", "left_semi")
-    found = found.groupBy("object_id", "len", "run").agg(F.count("*").alias("tf")).join(phrases.select("title", "run"), "run")
-    size = F.regexp_count(F.coalesce("body", F.lit("")), F.lit(r"[\p{L}\p{N}]+"))  # as many as tokens, without making them
-    whole = objects.agg(F.count("*").alias("total"), F.avg(size).alias("mean"))
+    every = F.flatten(F.array(*[runs(k) for k in lengths], F.array(F.lit(""))))  # the empty run stands for the text itself
+    wanted = phrases.select("run").union(phrases.sparkSession.createDataFrame([("",)], "run string")).distinct()
+    found = docs.select("object_id", F.size("words").alias("len"), F.explode(every).alias("run")).join(wanted, "run", "left_semi")
+    found = stored(found.groupBy("object_id", "len", "run").agg(F.count("*").alias("tf")))
+    whole = found.filter("run = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("mean"))
+    found = found.filter("run <> ''").join(phrases.select("title", "run"), "run")
     per = found.groupBy("title").agg(F.count("*").alias("n")).join(F.broadcast(whole))  # one row
     per = per.withColumn("saturated", F.col("n") > F.greatest(F.floor(F.col("total") * saturation), F.lit(1)))
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
