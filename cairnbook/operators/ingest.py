@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairnbook.functions import text as tx
-from cairnbook.functions.lineage import fixed
+from cairnbook.functions.lineage import fixed, stored
 from cairnbook.operators.canonical import NATURAL_KEY, allocate_ids, ingest_outcomes
 
 _KEY = "source_id string, account_id string, native_id string"
@@ -72,7 +72,9 @@ def ingest_batch(spark: SparkSession, path: str, items: DataFrame, batch: int, a
         if name not in items.columns:
             items = items.withColumn(name, F.lit(default).cast("int" if name == "seq" else "string"))
     heads = read_table(spark, path, "source_object").select(*NATURAL_KEY, "object_id", "content_hash", "version_num")
-    outcomes = ingest_outcomes(items.withColumn("seq", F.struct("seq", "content_hash")), heads)
+    # bodies wait beside: only the rows that are written as versions fetch theirs, by the number of the row
+    items = stored(items.withColumn("_row", F.monotonically_increasing_id()))
+    outcomes = ingest_outcomes(items.drop("body").withColumn("seq", F.struct("seq", "content_hash")), heads)
     name = F.concat_ws("\x00", *[F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in NATURAL_KEY])
     outcomes = fixed(outcomes.withColumn("_name", name))
     new = allocate_ids(outcomes.filter("outcome = 'created'").select("_name"), "_name", high).withColumnRenamed("object_id", "_new")
@@ -87,7 +89,7 @@ def ingest_batch(spark: SparkSession, path: str, items: DataFrame, batch: int, a
     made = {
         "source_object": last.withColumn("version_num", F.col("new_version")),
         "object": last.withColumns({"lifecycle_state": F.lit("ACQUIRED"), "current_version": F.col("version_id"), "updated_at": when}),
-        "object_version": changed.withColumns({
+        "object_version": changed.join(items.select("_row", "body"), "_row").withColumns({
             "version_num": F.col("new_version"), "parent_version_id": F.when(F.col("new_version") > 1, tx.version_id(F.col("object_id"), F.col("new_version") - 1)), "created_at": when,
             "change_type": pick("imported", "normalized"), "change_reason": pick("initial acquisition", "source content changed since last acquisition"),
         }),
