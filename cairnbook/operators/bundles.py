@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnbook.functions.lineage import stored
 from cairnbook.operators.replication import blob_plan, refusals
 
 #: Hex digits of the leaves of a tree; about 4096 blobs a leaf at 268 million blobs. Both sides must use the same.
@@ -124,7 +125,7 @@ def account_for_files(listing: DataFrame, blobs: DataFrame) -> DataFrame:
     prunable. A file is ok or corrupt (by a new hash of its bytes) if a blob has its name; `partial` if it is a fragment
     '<hash>.tmp-...' of an interrupted write; else foreign. A blob without a file is missing. A fragment may go only if
     the blob that it was becoming is registered, is there, and hashes to its name. Each file is read once."""
-    f = listing.select("name", F.sha2("content", 256).alias("_real"), F.nullif(F.regexp_extract("name", _FRAGMENT, 1), F.lit("")).alias("_of"))
+    f = stored(listing.select("name", F.sha2("content", 256).alias("_real"), F.nullif(F.regexp_extract("name", _FRAGMENT, 1), F.lit("")).alias("_of")))
     known = blobs.select(F.col("content_hash").alias("_of")).distinct().withColumn("_known", F.lit(True))
     keyed = f.withColumn("_of", F.coalesce("_of", "name")).withColumn("_whole", F.col("_of") == F.col("name"))
     good = keyed.filter(F.col("_whole") & (F.col("_real") == F.col("name"))).select("_of").distinct().withColumn("_good", F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
-from cairnbook.functions.lineage import fixed, new_folder
+from cairnbook.functions.lineage import fixed, new_folder, spread
 from cairnbook.operators import bundles, ingest, rebuild
 from cairnbook.plans import sql
 from cairnbook.plans.registry import query
@@ -83,7 +83,7 @@ def _(s, d):
     two_batches(s, d, path)
     now = ingest.read_table(s, path, "object").select("object_id", F.col("current_version").alias("version_id"))
     names = ingest.read_table(s, path, "source_object").select("object_id", F.substring("native_id", 4, 18).cast("long").alias("doc_id"))
-    return now.join(ingest.read_table(s, path, "object_version").select("version_id", "body"), "version_id").join(names, "object_id").select("object_id", "doc_id", "body")
+    return now.join(names, "object_id").join(ingest.read_table(s, path, "object_version").select("version_id", "body"), "version_id").select("object_id", "doc_id", "body")
 
 
 # bundles and stored files
@@ -171,7 +171,9 @@ def _(s, d):
     torn = b.filter("k in (1, 2, 3)").select(name(h, ".tmp-", k.cast("string")).alias("name"), F.substring("value", 1, 10).alias("value"))
     other = b.filter("k = 4").select(name("x", h).alias("name"), F.lit("who knows").alias("value"))
     path = new_folder(s, "files")
-    whole.unionByName(torn).unionByName(other).repartition("name").write.partitionBy("name").text(path)
+    # tasks move their own files to their place: the driver would move them one by one
+    files = spread(whole.unionByName(torn).unionByName(other), "name")
+    files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(path)
     return bundles.account_for_files(bundles.list_files(s, path), b.select(h.alias("content_hash")))
 
 
