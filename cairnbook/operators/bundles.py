@@ -6,6 +6,12 @@ few blobs is found by a few rows."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +20,8 @@ from cairnbook.operators.replication import blob_plan, refusals
 
 #: Hex digits of the leaves of a tree; about 4096 blobs a leaf at 268 million blobs. Both sides must use the same.
 LEAF_DIGITS = 4
+#: First digits of a file's name that name its folder: 4096 folders, about 65,000 files in each at 268 million blobs.
+FOLDER_DIGITS = 3
 _FRAGMENT = r"^([0-9a-f]{64})\.tmp-"
 
 
@@ -108,16 +116,104 @@ def apply_bundle(spark: SparkSession, path: str, objects: DataFrame | None = Non
     return against, spark.read.parquet(f"{path}/objects"), sent
 
 
+def _full_url(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark takes it to have."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _at(url: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a full URL and the path there. Spark's URLs of local files have no escapes."""
+    if url.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + url.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(url)
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder of that name."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores by number: what a file costs doesn't follow its bytes."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """files: name, content; rows of one name have one content. One file per name below a path, in a folder of the first digits
+    of its name (abc/abcd...; signs that are neither letters nor digits as -). Each task writes its rows (`dealt` spreads
+    them) beside the path, and moves a file to its place when it is whole: what an attempt that was stopped leaves is never
+    below the path, and one that is made again moves equal bytes to the same place."""
+    url = _full_url(files.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _at(url)
+        begun, folders, n = f"{root}-begun/{uuid.uuid4().hex}", set(), 0
+        for folder in (root, f"{root}-begun"):
+            system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
+                name = name.as_py()
+                folder = f"{root}/{re.sub('[^0-9A-Za-z]', '-', name[:FOLDER_DIGITS])}"
+                if folder not in folders:
+                    system.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                with system.open_output_stream(begun, compression=None) as out:
+                    out.write(content.as_buffer())
+                system.move(begun, f"{folder}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content and name of every file below a folder; a file that Spark wrote under name=... bears that
-    name. Spark's readers pass over empty files: they come from the list of paths that the reader keeps on the driver."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    files = found.select(plain(F.col("path")).alias("path"), "length", "content")
-    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(plain(F.url_decode("path")).alias("path"))
-    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
+    """path, length, content and name of every file below a folder, empty ones too; a file that Spark wrote under name=...
+    bears that name. Tasks list the folders, a level at a time, and read the files, so the list is nowhere whole. What
+    Spark's readers take for hidden is passed over."""
+    url = _full_url(spark, path)
+    root = _at(url)[1]
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _at(url)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = [x for x in system.get_file_info(fs.FileSelector(folder)) if not _hidden(x.base_name)]
+                columns = [x.path for x in found], [x.size for x in found], [x.type == fs.FileType.Directory for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["path", "length", "folder"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _at(url)
+
+        def rows(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([len(c) for _, c in held], pa.int64()), pa.array([c for _, c in held], pa.binary())], names=["path", "length", "content"])
+
+        for batch in batches:
+            held, size = [], 0
+            for one in batch.column("path").to_pylist():
+                with system.open_input_file(one) as source:
+                    held.append((one, source.read()))
+                size += len(held[-1][1])
+                if size > 4 << 20:
+                    yield rows(held)
+                    held, size = [], 0
+            yield rows(held)
+
+    folders, files = spark.range(0, 1, 1, 1).select(F.lit(root).alias("path")), None
+    while True:
+        level = stored(folders.mapInArrow(entries, "path string, length long, folder boolean"))
+        here = level.filter("not folder").select("path")
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("folder").select("path")
+        if folders.isEmpty():
+            break
+        folders = dealt(folders, "path")
+    found = dealt(files, "path").mapInArrow(contents, "path string, length long, content binary")
+    whole = F.col("path") if url.startswith("file:") else F.concat(F.lit(url.removesuffix(root)), "path")
     last = F.regexp_replace(F.substring_index("path", "/", -1), r"\.txt$", "")
-    return files.unionByName(empty).select("path", "length", "content", F.coalesce(F.nullif(F.regexp_extract("path", r"/name=([^/]+)/[^/]*$", 1), F.lit("")), last).alias("name"))
+    return found.select(whole.alias("path"), "length", "content", F.coalesce(F.nullif(F.regexp_extract("path", r"/name=([^/]+)/[^/]*$", 1), F.lit("")), last).alias("name"))
 
 
 def account_for_files(listing: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -125,13 +221,13 @@ def account_for_files(listing: DataFrame, blobs: DataFrame) -> DataFrame:
     prunable. A file is ok or corrupt (by a new hash of its bytes) if a blob has its name; `partial` if it is a fragment
     '<hash>.tmp-...' of an interrupted write; else foreign. A blob without a file is missing. A fragment may go only if
     the blob that it was becoming is registered, is there, and hashes to its name. Each file is read once."""
-    f = stored(listing.select("name", F.sha2("content", 256).alias("_real"), F.nullif(F.regexp_extract("name", _FRAGMENT, 1), F.lit("")).alias("_of")))
+    f = stored(listing.select("name", (F.sha2("content", 256) == F.col("name")).alias("_same"), F.nullif(F.regexp_extract("name", _FRAGMENT, 1), F.lit("")).alias("_of")))
     known = blobs.select(F.col("content_hash").alias("_of")).distinct().withColumn("_known", F.lit(True))
     keyed = f.withColumn("_of", F.coalesce("_of", "name")).withColumn("_whole", F.col("_of") == F.col("name"))
-    good = keyed.filter(F.col("_whole") & (F.col("_real") == F.col("name"))).select("_of").distinct().withColumn("_good", F.lit(True))
+    good = keyed.filter(F.col("_whole") & F.col("_same")).select("_of").distinct().withColumn("_good", F.lit(True))
     met = keyed.join(known, "_of", "full_outer").join(good, "_of", "left")
     state = (
-        F.when(F.col("name").isNull(), "missing").when(~F.col("_whole"), "partial").when(F.col("_known").isNull(), "foreign").when(F.col("_real") == F.col("name"), "ok").otherwise("corrupt")
+        F.when(F.col("name").isNull(), "missing").when(~F.col("_whole"), "partial").when(F.col("_known").isNull(), "foreign").when(F.col("_same"), "ok").otherwise("corrupt")
     )
     rows = met.select(F.coalesce("name", "_of").alias("name"), state.alias("state"), (~F.coalesce("_whole", F.lit(True)) & F.coalesce(F.col("_known") & F.col("_good"), F.lit(False))).alias("prunable"), "_of")
     # a blob of which only a fragment is there is missing too

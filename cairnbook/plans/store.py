@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
-from cairnbook.functions.lineage import fixed, new_folder, spread
+from cairnbook.functions.lineage import new_folder, stored
 from cairnbook.operators import bundles, ingest, rebuild
 from cairnbook.plans import sql
 from cairnbook.plans.registry import query
@@ -164,17 +164,18 @@ UNION ALL SELECT h || '.tmp-' || k, 'partial', k = 2 FROM b WHERE k IN (1, 2, 3)
 def _(s, d):
     """A folder of files named by their hash, some lost, some changed, some torn, some of strangers."""
     t = read(s, d, "documents").select("doc_id", "text").withColumn("h", F.sha2(F.concat("text", F.lit("\n")), 256))
-    b = fixed(t.groupBy("h").agg((F.min("doc_id") % 5).alias("k"), F.first("text").alias("value")))
-    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    h, k = F.col("h"), F.col("k")
-    whole = b.filter("k in (1, 2, 4)").select(h.alias("name"), F.when(k == 1, F.concat("value", F.lit("~"))).otherwise(F.col("value")).alias("value"))
-    torn = b.filter("k in (1, 2, 3)").select(name(h, ".tmp-", k.cast("string")).alias("name"), F.substring("value", 1, 10).alias("value"))
-    other = b.filter("k = 4").select(name("x", h).alias("name"), F.lit("who knows").alias("value"))
+    first = stored(t.groupBy("h").agg(F.min("doc_id").alias("doc_id")))
+    h, value, k = F.col("h"), F.col("value"), F.col("doc_id") % 5
+    # of copies the first, of texts what goes into a file; dealt once, for the join and for those who write
+    needed = t.filter(k != 0).select("h", "doc_id", F.when(k == 3, F.substring("text", 1, 10)).otherwise(F.col("text")).alias("value"))
+    b = bundles.dealt(needed, "h", "doc_id").join(first, ["h", "doc_id"])
+    file = lambda when, name, value: F.when(when, F.struct(name.alias("name"), F.concat(value, F.lit("\n")).alias("content")))
+    whole = file(k != 3, h, F.when(k == 1, F.concat(value, F.lit("~"))).otherwise(value))
+    torn = file(k.isin(1, 2, 3), F.concat(h, F.lit(".tmp-"), k.cast("string")), F.substring(value, 1, 10))
+    other = file(k == 4, F.concat(F.lit("x"), h), F.lit("who knows"))
     path = new_folder(s, "files")
-    # tasks move their own files to their place: the driver would move them one by one
-    files = spread(whole.unionByName(torn).unionByName(other), "name")
-    files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(path)
-    return bundles.account_for_files(bundles.list_files(s, path), b.select(h.alias("content_hash")))
+    bundles.write_files(b.select(F.inline(F.array_compact(F.array(whole, torn, other)))), path)
+    return bundles.account_for_files(bundles.list_files(s, path), first.select(h.alias("content_hash")))
 
 
 # graph rebuilds

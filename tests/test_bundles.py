@@ -7,6 +7,7 @@ from hashlib import sha256
 from pyspark.sql import functions as F
 
 from cairnbook.operators import bundles
+from cairnbook.plans import registry, store
 
 
 def blobs_of(spark, texts):
@@ -27,6 +28,39 @@ def test_files_on_disk(spark, tmp_path):
     ])
 
 
+def test_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    rows = [("abcd1", b"one\n"), ("abcd1.tmp-2", b""), ("ab_c d%20", "\u00e9".encode()), ("ab", b"\xff\x00"), ("abab", b"x"), ("t.gz", b"plain")]
+    at = tmp_path / "files"
+    for _ in range(2):  # as by an attempt that is made again
+        bundles.write_files(spark.createDataFrame(rows, "name string, content binary").repartition(3), str(at))
+    assert {str(p.relative_to(at)) for p in at.rglob("*") if p.is_file()} == {"abc/abcd1", "abc/abcd1.tmp-2", "ab-/ab_c d%20", "ab/ab", "aba/abab", "t-g/t.gz"}
+    (tmp_path / "files-begun" / "left").write_bytes(b"half")
+    (at / "name=one").mkdir()
+    (at / "name=one" / "part-0.txt").write_bytes(b"1")
+    (at / "name=one" / ".part-0.txt.crc").write_bytes(b"2")
+    (at / "_SUCCESS").write_bytes(b"")
+    listing = bundles.list_files(spark, f"file://{at}")
+    assert sorted((r["name"], bytes(r["content"]), r["length"]) for r in listing.collect()) == sorted((n, c, len(c)) for n, c in [*rows, ("one", b"1")])
+    assert {r["path"] for r in listing.select("path").collect()} == {str(p) for p in at.rglob("*") if p.is_file() and p.name[0] not in "._"}
+    # the reader's list on the driver would name each file
+    assert not any("abcd1" in p or "name=one" in p for p in listing.inputFiles())
+
+
+def test_an_empty_folder_has_no_files(spark, tmp_path):
+    bundles.write_files(spark.createDataFrame([], "name string, content binary"), str(tmp_path / "none"))
+    assert bundles.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stored_files_lie_by_their_digits(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "new_folder", lambda s, name: str(tmp_path / name))
+    states = {r["name"]: r["state"] for r in registry.QUERIES["V07_stored_files"](spark, small).collect()}
+    found = {p.name: p for p in (tmp_path / "files").rglob("*") if p.is_file()}
+    assert set(found) == {name for name, state in states.items() if state != "missing"}
+    for name, p in found.items():
+        assert p.relative_to(tmp_path / "files").parts == (name[:3], name)
+        assert (sha256(p.read_bytes()).hexdigest() == name) == (states[name] == "ok")
+
+
 def test_trees_show_where_copies_differ(spark):
     all_ = blobs_of(spark, [f"t{k}" for k in range(300)])
     whole, part = bundles.digest_tree(all_), bundles.digest_tree(all_.filter(F.col("content") != F.lit("t7").cast("binary")))
